@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import neardup
+from quirelake.llm import langid, license_scan, lsi, mixing, neardup, ogg, suffix_tree, tokens, toxicity, warc
 from quirelake.session import table
 
 
@@ -14,7 +14,63 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_tokens(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsi.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write(table(spark, sf_dir, "pages"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
+def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = ogg.streams(ogg.encode_texts(table(spark, sf_dir, "documents")))
+    return got.select("doc_id", "serial", "codec", "packets", "payload_bytes", "bad_pages", "lost_packets", "end_granule", "seconds")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash_neardup": op1_simhash_neardup,
+    f.__name__: f for f in (op1_simhash_neardup, op2_token_counts, op3_decontamination, op4_warc, op5_mixing, op6_lm_scoring, op7_ogg, op8_language_id, op9_license_scan, op10_toxicity)
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_ogg": """
+        with lines as (
+            select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i
+            from documents where text is not null
+        ), streams as (
+            select doc_id, serial from documents cross join (select unnest([0, 1])::bigint as serial) where text is not null
+        ), sums as (
+            select doc_id, (i % 2)::bigint as serial, count(*) as n, sum(strlen(line)) as bytes, sum(length(line)) * 960 as granule
+            from lines group by all
+        )
+        select s.doc_id, s.serial, case s.serial when 0 then 'opus' else 'vorbis' end as codec,
+            (coalesce(n, 0) + 1)::bigint as packets,
+            (coalesce(bytes, 0) + case s.serial when 0 then 19 else 30 end)::bigint as payload_bytes,
+            0::bigint as bad_pages, 0::bigint as lost_packets, coalesce(granule, 0)::bigint as end_granule,
+            case s.serial when 0 then greatest(0, coalesce(granule, 0) - 312)::double / 48000 else coalesce(granule, 0)::double / 16000 end as seconds
+        from streams s left join sums using (doc_id, serial)
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
