@@ -41,7 +41,7 @@ LEXICONS = {
     "persons": "loser losers clown clowns scum scumbag jerk bastard creep freak pig swine",
     "refuse": "trash garbage filth vermin rubbish",
     "abuse": "bitch asshole fuck fucking fucker shit bullshit crap cunt dickhead whore slut",
-    "threats": "kys die kill murder hang",
+    "dehumanising": "subhuman parasite parasites cockroach cockroaches degenerate kys",
     "german": "idioten trottel dummkopf arschloch scheiße versager abschaum widerlich erbärmlich wertlos schwachkopf vollidiot",
     "spanish": "idiota idiotas estúpido estúpida imbécil basura asqueroso patético payaso perdedor escoria mierda cabrón",
     "french": "idiote imbécile connard connasse merde salaud ordure pathétique minable crétin débile abruti dégoûtant",
@@ -131,7 +131,11 @@ def fit_label_model(masks: np.ndarray, counts: np.ndarray, voters: list[str], ro
     votes = _unpack(masks, n)
     weight = counts / max(1, counts.sum())
     lexical = len(LEXICONS) + 1
-    q = np.clip(votes[:, :lexical].sum(axis=1) * 0.9, 0.01, 0.95)
+    # a lexicon starts with the share of its firings that another lexicon joins: one that fires alone has no say yet
+    others = votes[:, :lexical].sum(axis=1, keepdims=True) > votes[:, :lexical]
+    fired = (weight[:, None] * votes[:, :lexical]).sum(axis=0)
+    agree = (weight[:, None] * (votes[:, :lexical] & others)).sum(axis=0) / np.maximum(fired, 1e-12)
+    q = np.clip((votes[:, :lexical] * np.minimum(2 * agree, 0.95)).max(axis=1, initial=0), 0.005, 0.95)
     parent = np.full(n, -1)
     strength = 20 / max(1, counts.sum())
 
