@@ -3,13 +3,14 @@
 1. Vocabulary: the words of the benchmark. Every document is scanned once, whole, into the sequence of
    its words' numbers (0 for words outside), written to the shared folder; the same scan counts the
    passages, windows of ``WINDOW`` words every ``STRIDE``, that hold each word.
-2. TF-IDF of passages: (1 + ln tf) x ln(passages / df), rows of length 1. Words in more than ``MAX_DF``
-   of all passages are stop words.
+2. TF-IDF of passages: (1 + ln tf) x ln(1 + passages / df), rows of length 1. Words in more than ``MAX_DF``
+   of all passages, and in more than ``MIN_DF`` of them, are stop words.
 3. Randomised SVD: a Gaussian matrix W is sketched to A'(A W) in one distributed pass, and the
    Nystrom form of A'A gives the leading right singular vectors. The matrix is vocabulary x
    (``RANK`` + oversampling), so its size is bounded by the benchmark.
 4. Search: every passage is projected and compared with every item by cosine; from ``COSINE`` on the
-   pair is a candidate. Nothing limits the number of candidates.
+   pair is a candidate. Nothing limits the number of candidates; those whose words around the passage,
+   taken as a bag, can't reach ``PARAPHRASE`` are dropped before the next step, which changes no result.
 5. Checks: the longest common subsequence of the item and the words around the passage, weighted by
    idf, must cover ``COVERAGE`` of the item; from ``PARAPHRASE`` on it is enough that the item's
    answer (the rare words of its last sentence, or of its second half if it has one sentence) is
@@ -37,9 +38,9 @@ from quirelake.llm.neardup import without
 from quirelake.session import materialize
 
 WINDOW, STRIDE = 48, 24
-MAX_DF = 0.05
-RANK, EXTRA = 64, 16
-COSINE = 0.5
+MAX_DF, MIN_DF = 0.01, 50
+RANK, EXTRA = 256, 16
+COSINE = 0.35
 COVERAGE, PARAPHRASE, ANSWER = 0.6, 0.4, 0.8
 SEED = 5
 MAX_ITEM_WORDS = 20_000_000
@@ -179,14 +180,14 @@ def _sketch(shared, kind: type):
                 part = order[s:e]
                 total[own[start[a : a + 256]]] += np.add.reduceat(y[row[part]] * value[part, None], start[a : a + 256] - s, axis=0)
         at = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([r.tobytes() for r in total[at].astype(np.float64)], pa.binary())], names=["word", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([r.tobytes() for r in total[at].astype(np.float32)], pa.binary())], names=["word", "row"])
 
     return go
 
 
 def _sum_rows(t: pa.Table) -> pa.Table:
     word = t.column("word").to_numpy()
-    rows = np.stack([np.frombuffer(x.as_py(), np.float64) for x in t.column("row")])
+    rows = np.stack([np.frombuffer(x.as_py(), np.float32) for x in t.column("row")]).astype(np.float64)
     # summed in an order that doesn't depend on which task came first
     order = np.lexsort((*rows.T[:4], word))
     word, rows = word[order], rows[order]
@@ -214,35 +215,88 @@ class Index:
     basis: np.ndarray
     vectors: np.ndarray
     usable: np.ndarray
+    keys: np.ndarray | None = None
 
     def match(self, ids: list, words: np.ndarray, bounds: np.ndarray, cosine: float, coverage: float, paraphrase: float, answer: float) -> Iterator[tuple]:
         first, passage, word, value = _matrix(words, bounds, self.idf)
         if not len(first) or not len(self.usable):
             return
-        z = _project(first, word, value, self.basis)
-        norm = np.linalg.norm(z, axis=1)
-        z /= np.maximum(norm, 1e-9)[:, None]
+        if self.keys is None:
+            self.prepare()
         number = passage[first]
-        base = np.concatenate([[0], np.cumsum(passages(np.diff(bounds)))])
-        cos = z @ self.vectors.T
-        row, col = np.nonzero(cos >= cosine)
-        doc = np.searchsorted(base, number[row], side="right") - 1
+        n = passages(np.diff(bounds))
+        base = np.concatenate([[0], np.cumsum(n)])
+        of = np.searchsorted(base, number, side="right") - 1
+        row_of = np.full(int(base[-1]) + 1, -1)
+        row_of[number] = np.arange(len(first))
         best: dict[tuple[int, int], tuple] = {}
-        for r, c, d in zip(row.tolist(), col.tolist(), doc.tolist()):
-            k = int(self.usable[c])
-            start = (int(number[r]) - int(base[d])) * STRIDE
-            own = words[bounds[d] : bounds[d + 1]]
-            more = len(self.items.words[k])
-            low = max(0, start - more)
-            cover, hit = self.coverage(k, own[low : start + WINDOW + more])
-            if cover < paraphrase or cover < coverage and hit < answer:
-                continue
-            found = (cover, hit, float(cos[r, c]), -start)
-            if found > best.get((d, k), (-1.0,)):
-                best[d, k] = found
+        step = max(64, (1 << 21) // len(self.usable))
+        ends = np.r_[first, len(word)]
+        for x in range(0, len(first), step):
+            y = min(x + step, len(first))
+            s, e = ends[x], ends[y]
+            z = _project(first[x:y] - s, word[s:e], value[s:e], self.basis)
+            z /= np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
+            cos = z @ self.vectors.T
+            row, col = np.nonzero(cos >= cosine)
+            near = cos[row, col]
+            row, item = row + x, self.usable[col]
+            able = self.bound(row, item, number, of, base, row_of, ends, word) >= paraphrase - 1e-9
+            for r, k, c in zip(row[able].tolist(), item[able].tolist(), near[able].tolist()):
+                d = int(of[r])
+                start = (int(number[r]) - int(base[d])) * STRIDE
+                more = len(self.items.words[k])
+                cover, hit = self.coverage(k, words[bounds[d] + max(0, start - more) : min(bounds[d] + start + WINDOW + more, bounds[d + 1])])
+                if cover < paraphrase or cover < coverage and hit < answer:
+                    continue
+                found = (cover, hit, c, -start)
+                if found > best.get((d, k), (-1.0,)):
+                    best[d, k] = found
         for (d, k), (cover, hit, c, start) in sorted(best.items()):
             yield ids[d], self.items.ids[k], c, cover, hit, -start
 
+    def prepare(self) -> None:
+        """Item and word as one sorted key, the weight of each, and by item the weight of stop words and of all words."""
+        size = len(self.idf)
+        keys, weights, self.stops, self.whole = [], [], np.zeros(len(self.items.words)), np.ones(len(self.items.words))
+        self.wide = np.zeros(len(self.items.words), np.int64)
+        for k, item in enumerate(self.items.words):
+            weight = self.weight(item)
+            rare = self.idf[item - 1] > 0
+            self.stops[k], self.whole[k] = weight[~rare].sum(), weight.sum() or 1.0
+            self.wide[k] = -(-len(item) // WINDOW) * 2
+            word, n = np.unique(item[rare] - 1, return_counts=True)
+            keys.append(k * size + word)
+            weights.append(self.idf[word] * n)
+        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        self.key_weights = np.concatenate(weights) if weights else np.zeros(0)
+
+    def bound(self, row: np.ndarray, item: np.ndarray, number: np.ndarray, of: np.ndarray, base: np.ndarray, row_of: np.ndarray, ends: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """At least the coverage of each pair: words of the passages around, whatever their order and number, and all stop words."""
+        total = self.stops[item].copy()
+        reach = int(self.wide[item].max(initial=0))
+        for offset in range(-reach, reach + 1, 2):
+            at = number[row] + offset
+            # the last passages of a document may begin within the reach without lying a whole step off
+            inside = (np.abs(offset) <= self.wide[item]) & (at >= base[of[row]]) & (at < base[of[row] + 1])
+            if offset > 0:
+                at = np.minimum(at, base[of[row] + 1] - 1)
+                inside = (offset <= self.wide[item]) & (at > number[row])
+            if offset < 0:
+                at = np.maximum(at, base[of[row]])
+                inside = (-offset <= self.wide[item]) & (at < number[row])
+            pair = np.flatnonzero(inside)
+            r = row_of[at[pair]]
+            pair, r = pair[r >= 0], r[r >= 0]
+            count = ends[r + 1] - ends[r]
+            which = np.repeat(np.arange(len(pair)), count)
+            place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + ends[r][which]
+            key = item[pair][which] * len(self.idf) + word[place]
+            k = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+            hit = self.keys[k] == key if len(self.keys) else np.zeros(len(key), bool)
+            total += np.bincount(pair[which[hit]], self.key_weights[k[hit]], len(row))
+        return total / self.whole[item]
+
     def coverage(self, k: int, text: np.ndarray) -> tuple[float, float]:
         """Weighted share of the item, and of its answer, in a heaviest common subsequence."""
         item = self.items.words[k]
@@ -287,7 +341,7 @@ def build(docs: DataFrame, benchmark: DataFrame, max_df: float = MAX_DF, rank: i
         df += np.frombuffer(r["words"], np.int64)
         total += r["passages"]
     encoded = encoded.where("not counts").select("doc_id", "words")
-    idf = np.where((df > 0) & (df <= max(1, max_df * total)), np.log(max(1, total) / np.maximum(df, 1)), 0.0)
+    idf = np.where((df > 0) & (df <= max(MIN_DF, max_df * total)), np.log1p(max(1, total) / np.maximum(df, 1)), 0.0)
     omega = np.random.default_rng(SEED).standard_normal((size, min(size, rank + EXTRA)))
     pair = spark.sparkContext.broadcast((idf, omega.astype(np.float32)))
     sketch = np.zeros(omega.shape)
