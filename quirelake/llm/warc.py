@@ -1,8 +1,9 @@
 """Deterministic sharded WARC writer for pages, and a reader.
 
 1. Each page becomes a response record: headers, digests and a record id are made from the page
-   alone, and the record is compressed as a gzip member of its own, without time stamp. The
-   members are written to a table in the shared folder.
+   alone, and the record is compressed as a gzip member of its own, without time stamp. A first pass
+   keeps only each member's key and size; the last makes the same members again, which costs less
+   than to write them twice.
 2. The records' keys (url, page_id, payload digest) and compressed sizes are range-sorted; a
    running sum of the sizes over all keys, by ranges and then within, gives each key a file: a file takes
    the keys whose sum falls in its share of ``file_bytes``. That depends on the pages alone, not on the
@@ -77,18 +78,23 @@ def info_record(file: str) -> bytes:
     return _record("warcinfo", str(name), [("WARC-Filename", file), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            rows = []
-            for page_id, url, html in zip(*(c.to_pylist() for c in part.columns)):
-                record, payload, block = page_record(page_id, url, html)
-                member = _member(record)
-                rows.append((page_id, url, url or "", _LOWEST if page_id is None else page_id, payload, block, len(member), member))
-            columns = zip(*rows)
-            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["page_id", "url", "k_url", "k_page", "payload_digest", "block_digest", "size", "member"])
+def _members(whole: bool):
+    """Keys and sizes of the members, and with ``whole`` the members and what the index needs."""
+    names = ["k_url", "k_page", "payload_digest", "size"] + ["page_id", "url", "block_digest", "member"] * whole
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64()] + [pa.int64(), pa.string(), pa.string(), pa.binary()] * whole
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                rows = []
+                for page_id, url, html in zip(*(c.to_pylist() for c in part.columns)):
+                    record, payload, block = page_record(page_id, url, html)
+                    member = _member(record)
+                    rows.append((url or "", _LOWEST if page_id is None else page_id, payload, len(member), page_id, url, block, member)[: len(names)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    return go
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +156,9 @@ def write(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BY
     """Writes the pages to ``folder`` (a new one in the shared folder if none is given) and returns an index: a row for each record."""
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
-    members = materialize(pages.select("page_id", "url", "html").mapInArrow(_members, "page_id long, url string, k_url string, k_page long, payload_digest string, block_digest string, size long, member binary"), "members")
+    pages = pages.select("page_id", "url", "html")
     keys = ["k_url", "k_page", "payload_digest"]
-    sizes = members.groupBy(keys).agg(F.sum("size").alias("size")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    sizes = pages.mapInArrow(_members(False), "k_url string, k_page long, payload_digest string, size long").groupBy(keys).agg(F.sum("size").alias("size")).repartitionByRange(*keys).sortWithinPartitions(*keys)
     sizes = sizes.withColumn("range", F.spark_partition_id())
     sums = materialize(sizes.mapInArrow(_running, "k_url string, k_page long, payload_digest string, size long, range int, before long"), "sums")
     ranges = sums.groupBy("range").agg(F.sum("size").alias("size"), F.min(F.struct(*keys)).alias("least")).orderBy("least").collect()  # one row for each range
@@ -165,13 +171,15 @@ def write(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BY
     firsts = sums.groupBy(share.alias("share")).agg(F.min(F.struct(*keys)).alias("least")).orderBy("share").collect()  # one row for each file
     bounds = spark.sparkContext.broadcast([_sortable(*r.least) for r in firsts])
 
+    make = _members(True)
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [bisect_right(bounds.value, _sortable(u, p, d)) - 1 for u, p, d in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *batch.columns], names=["number", "page_id", "url", "k_url", "k_page", "payload_digest", "block_digest", "size", "member"])
+        for batch in make(batches):
+            own = [bisect_right(bounds.value, _sortable(*key)) - 1 for key in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *batch.columns], names=["number", *batch.schema.names])
 
-    placed = members.mapInArrow(assign, "number int, page_id long, url string, k_url string, k_page long, payload_digest string, block_digest string, size long, member binary")
-    ordered = placed.repartition(max(1, len(firsts)), "number").sortWithinPartitions("number", *keys)
+    placed = pages.mapInArrow(assign, "number int, k_url string, k_page long, payload_digest string, size long, page_id long, url string, block_digest string, member binary")
+    ordered = placed.repartitionById(max(1, len(firsts)), F.col("number")).sortWithinPartitions("number", *keys)
     index = materialize(ordered.select("number", "page_id", "url", "payload_digest", "block_digest", "size", "member").mapInArrow(_writer(folder), INDEX), "index")
     _commit(folder, index)
     return index
