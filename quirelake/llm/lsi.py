@@ -150,15 +150,21 @@ def _matrix(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray) -> tuple[np.
 
 
 def _project(first: np.ndarray, word: np.ndarray, value: np.ndarray, basis: np.ndarray, most: int = 1 << 17) -> np.ndarray:
-    """The rows' products with the basis."""
-    out = np.empty((len(first), basis.shape[1]), np.float32)
+    """The rows' products with the basis: the t-th entries of all rows at once, rows with more entries first."""
+    out = np.zeros((len(first), basis.shape[1]), np.float32)
     ends = np.r_[first, len(word)]
-    a = 0
-    while a < len(first):
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, side="right")) - 1)
-        s, e = ends[a], ends[b]
-        out[a:b] = np.add.reduceat(basis[word[s:e]] * value[s:e, None], ends[a:b] - s, axis=0)
-        a = b
+    step = max(1, most // 8)
+    for a in range(0, len(first), step):
+        begin, count = ends[a : a + step], np.diff(ends[a : a + step + 1])
+        begin = begin[: len(count)]
+        order = np.argsort(-count, kind="stable")
+        begin, falling = begin[order], -count[order]
+        part = np.zeros((len(count), basis.shape[1]), np.float32)
+        for t in range(int(count.max(initial=0))):
+            m = int(np.searchsorted(falling, -t))
+            at = begin[:m] + t
+            part[:m] += basis[word[at]] * value[at, None]
+        out[a + order] = part
     return out
 
 
@@ -175,10 +181,9 @@ def _sketch(shared, kind: type):
             order = np.argsort(word, kind="stable")
             own = word[order]
             start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            for a in range(0, len(start), 256):
-                s, e = start[a], start[a + 256] if a + 256 < len(start) else len(own)
-                part = order[s:e]
-                total[own[start[a : a + 256]]] += np.add.reduceat(y[row[part]] * value[part, None], start[a : a + 256] - s, axis=0)
+            row, weight = row[order], value[order]
+            for w, s, e in zip(own[start].tolist(), start.tolist(), [*start[1:].tolist(), len(own)]):
+                total[w] += weight[s:e] @ y[row[s:e]]
         at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([r.tobytes() for r in total[at].astype(np.float32)], pa.binary())], names=["word", "row"])
 
