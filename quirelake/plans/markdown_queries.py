@@ -1,4 +1,155 @@
-"""Queries over parsed Markdown."""
+"""Queries over Markdown that is made from the tables.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Each order becomes a document: frontmatter, an introduction, a heading, a section for each line item (every
+second one level deeper) with links, a region, a fence with a decoy heading and a bullet, and a table. Spark makes
+the text and parses it; the SQL twins get the same answers from the tables alone, without any Markdown.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quirelake.operators import lines as L
+from quirelake.operators import structure as M
+from quirelake.session import materialize, table
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, content: a document for each order that has line items."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
+    items = items.withColumn("r", r)
+    k, p = F.col("r").cast("string"), F.col("l_partkey").cast("string")
+    section = F.concat(
+        F.when(F.col("r") % 2 == 0, F.lit("### Line ")).otherwise(F.lit("## Line ")), k, F.lit("\nPart [p"), p, F.lit("](http://x.example/"), p, F.lit(") and [[Part "), p, F.lit("|alias "), k, F.lit("]] **bold** <!-- part: "), k, F.lit(" --> body"), F.when(F.col("r") % 4 == 0, F.lit("")).otherwise(F.lit(" <!-- /part -->")),
+        F.lit("\n\n```sql\n# not a heading "), k, F.lit("\n```\n\n* item "), k, F.lit("\n\n"),
+    )
+    row = F.concat(F.lit("| "), p, F.lit(" | "), F.col("l_quantity").cast("int").cast("string"), F.lit(" |\n"))
+    made = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("r", section.alias("section"), row.alias("row")))).alias("parts"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    d = made.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    n = F.col("o_orderkey").cast("string")
+    return d.select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.concat(F.lit("---\ntitle: Order "), n, F.lit("\nstatus: "), "o_orderstatus", F.lit("\npriority: "), "o_orderpriority", F.lit("\n---\nIntro for order "), n, F.lit(".\n\n# Order "), n, F.lit("\n\n"), F.array_join(F.transform("parts", lambda x: x["section"]), ""), F.when(F.col("o_orderkey") % 3 == 0, F.lit("## Links\n")).otherwise(F.lit("## Table\n")), F.lit("| part | qty |\n| --- | --- |\n"), F.array_join(F.transform("parts", lambda x: x["row"]), "")).alias("content"),
+    )
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.parsed(corpus(spark, sf_dir))
+
+
+def _outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.outline(_parsed(spark, sf_dir))
+
+
+def md_outline(spark, sf_dir):
+    return _outline(spark, sf_dir).select("doc_id", "address", "heading", "slug", "level", "line", "end_line", "lines")
+
+
+def md_outline_tokens(spark, sf_dir):
+    docs = materialize(corpus(spark, sf_dir), "md")
+    return M.outline(M.parsed(docs), L.lines(docs)).where("address = '1'").select("doc_id", "lines", "tokens")
+
+
+def md_heading_sections(spark, sf_dir):
+    h = M.headings(_parsed(spark, sf_dir))
+    return h.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("parent_ord").alias("with_parent"), F.max(F.col("section_end_line")).alias("last_line"), F.count_if(F.col("sec_end") == F.col("bytes")).alias("to_the_end"))
+
+
+def section_lookup_numeric(spark, sf_dir):
+    return M.resolve(_outline(spark, sf_dir), "1.01.1").select("doc_id", "heading", "line", "end_line")
+
+
+def section_lookup_slug(spark, sf_dir):
+    return M.resolve(_outline(spark, sf_dir), "Line 3").select("doc_id", "address", "line", "candidates")
+
+
+def shadow_headings(spark, sf_dir):
+    return M.shadows(_outline(spark, sf_dir))
+
+
+def links_all(spark, sf_dir):
+    return M.links(_parsed(spark, sf_dir)).select("doc_id", "kind", "target", "alias", "line")
+
+
+def links_wikilinks(spark, sf_dir):
+    return M.links(_parsed(spark, sf_dir), wikilinks_only=True).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def fm_fields(spark, sf_dir):
+    got = L.fields(corpus(spark, sf_dir))
+    return got.select("doc_id", "key", "value", F.col("line").cast("long").alias("line"))
+
+
+def fm_body_start(spark, sf_dir):
+    return L.body_start_line(corpus(spark, sf_dir)).select("doc_id", F.col("body_start_line").cast("long").alias("body_start_line"))
+
+
+def coverage_stats(spark, sf_dir):
+    return M.stats(_parsed(spark, sf_dir))
+
+
+def code_blocks(spark, sf_dir):
+    got = M.nodes(_parsed(spark, sf_dir)).where("type = 'codeBlock'")
+    return got.select("doc_id", "info", "fence_length", "start_line", "end_line", (F.col("body_end") - F.col("body_start")).alias("body_bytes"))
+
+
+def regions_pairs(spark, sf_dir):
+    return M.regions(_parsed(spark, sf_dir))[0].select("doc_id", "label", "info", "start_line", "end_line", (F.col("body_end") - F.col("body_start")).alias("body_bytes"))
+
+
+def regions_dangling(spark, sf_dir):
+    return M.regions(_parsed(spark, sf_dir))[1].select("doc_id", "kind", "label", "line")
+
+
+def verify_tiling(spark, sf_dir):
+    """Counts of violations over the corpus: both are 0."""
+    docs = materialize(corpus(spark, sf_dir), "md")
+    p = materialize(M.parsed(docs), "parsed")
+    return p.agg(F.count("*").alias("docs")).crossJoin(M.overlaps(p).agg(F.count("*").alias("overlaps"))).crossJoin(M.gaps(docs, p).agg(F.count("*").alias("gaps")))
+
+
+_C = """
+    i as (select l_orderkey as doc_id, l_partkey as pk, l_quantity as q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as r from lineitem where l_orderkey in (select o_orderkey from orders)),
+    d as (select doc_id, max(r) as c from i group by doc_id)
+"""
+_OUTLINE = f"""{_C},
+    o as (
+        select doc_id, '1' as address, 'Order ' || doc_id as heading, 1 as level, 8 as line, 12 + 10 * c as end_line from d
+        union all select i.doc_id, case when r % 2 = 1 then '1.' || ((r + 1) // 2) else '1.' || (r // 2) || '.1' end, 'Line ' || r, case when r % 2 = 1 then 2 else 3 end, 1 + 9 * r, case when r % 2 = 1 then 9 + 9 * least(r + 1, c) else 9 + 9 * r end from i join d using (doc_id)
+        union all select doc_id, '1.' || ((c + 1) // 2 + 1), case when doc_id % 3 = 0 then 'Links' else 'Table' end, 2, 10 + 9 * c, 12 + 10 * c from d
+    )
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (md_outline, md_outline_tokens, md_heading_sections, section_lookup_numeric, section_lookup_slug, shadow_headings, links_all, links_wikilinks, fm_fields, fm_body_start, coverage_stats, code_blocks, regions_pairs, regions_dangling, verify_tiling)
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "md_outline": f"with {_OUTLINE} select doc_id, address, heading, lower(replace(heading, ' ', '-')) as slug, level::bigint as level, line::bigint as line, end_line::bigint as end_line, (end_line - line + 1)::bigint as lines from o",
+    "md_outline_tokens": f"""with {_C},
+        s as (select doc_id, sum(8 + length(r::varchar) + (1 - r % 2 + 0) + 1
+            + length('Part [p' || pk || '](http://x.example/' || pk || ') and [[Part ' || pk || '|alias ' || r || ']] **bold** <!-- part: ' || r || ' --> body' || case when r % 4 = 0 then '' else ' <!-- /part -->' end) + 1
+            + 1 + 7 + length('# not a heading ' || r) + 1 + 4 + 1 + length('* item ' || r) + 1 + 1
+            + length('| ' || pk || ' | ' || q::int || ' |') + 1) as n from i group by doc_id)
+        select d.doc_id, (5 + 10 * c)::bigint as lines, ((length('# Order ' || d.doc_id) + 1 + 1 + n + 9 + 15 + 14 - 1) // 4)::bigint as tokens from d join s using (doc_id)""",
+    "md_heading_sections": f"with {_C} select doc_id, (c + 2)::bigint as n, (c + 1)::bigint as with_parent, (12 + 10 * c)::bigint as last_line, 2::bigint as to_the_end from d",
+    "section_lookup_numeric": f"with {_OUTLINE} select doc_id, heading, line::bigint as line, end_line::bigint as end_line from o where address = '1.1.1'",
+    "section_lookup_slug": f"with {_OUTLINE} select doc_id, address, line::bigint as line, 1::bigint as candidates from o where heading = 'Line 3'",
+    "shadow_headings": f"with {_OUTLINE} select doc_id, 'links' as reading, address, heading from o where heading = 'Links'",
+    "links_all": f"with {_C} select doc_id, 'link' as kind, 'http://x.example/' || pk as target, 'p' || pk as alias, (2 + 9 * r)::bigint as line from i union all select doc_id, 'wikilink', 'Part ' || pk, 'alias ' || r, (2 + 9 * r)::bigint from i",
+    "links_wikilinks": f"with {_C} select doc_id, c::bigint as n from d",
+    "fm_fields": f"with {_C} select doc_id, k as key, case k when 'title' then 'Order ' || doc_id when 'status' then o_orderstatus else o_orderpriority end as value, line::bigint as line from d join orders on o_orderkey = doc_id cross join (values ('title', 2), ('status', 3), ('priority', 4)) as f(k, line)",
+    "fm_body_start": f"with {_C} select doc_id, 6::bigint as body_start_line from d",
+    "coverage_stats": f"""with {_C}, t as (select count(*) as docs, sum(c) as c, sum((c + 1) // 2) as odd, sum(c // 2) as even from d)
+        select "group", label, n::bigint as n from t, lateral (values ('node', 'paragraph', docs + 2 * c), ('node', 'codeBlock', c), ('node', 'list', c), ('node', 'listItem', c), ('node', 'table', docs), ('node', 'tableRow', docs + c), ('node', 'tableCell', 2 * (docs + c)), ('node', 'heading1', docs), ('node', 'heading2', odd + docs), ('node', 'heading3', even), ('inline', 'link', c), ('inline', 'wikilink', c), ('inline', 'strong', c)) as v("group", label, n) where n > 0""",
+    "code_blocks": f"with {_C} select doc_id, 'sql' as info, 3::bigint as fence_length, (4 + 9 * r)::bigint as start_line, (6 + 9 * r)::bigint as end_line, (16 + length(r::varchar))::bigint as body_bytes from i",
+    "regions_pairs": f"with {_C} select doc_id, 'part' as label, r::varchar as info, (2 + 9 * r)::bigint as start_line, (2 + 9 * r)::bigint as end_line, 6::bigint as body_bytes from i where r % 4 <> 0",
+    "regions_dangling": f"with {_C} select doc_id, 'unpaired-open' as kind, 'part' as label, (2 + 9 * r)::bigint as line from i where r % 4 = 0",
+    "verify_tiling": f"with {_C} select count(*) as docs, 0::bigint as overlaps, 0::bigint as gaps from d",
+}
