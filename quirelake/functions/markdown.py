@@ -632,7 +632,7 @@ class _Inlines:
                 else:
                     i += 1
             elif c == "[" and self.wikilinks and t.startswith("[[", i) and (m := _WIKI.match(t, i)):
-                if i and t[i - 1] == "!":
+                if i and t[i - 1] == "!" and (i - 1 - len(t[: i - 1].rstrip("\\"))) % 2 == 0:
                     i = m.end()
                     continue
                 self.emit("wikilink", i, m.end(), target=m[1], alias=None if m[2] is None else unescape(m[3]), alias_span=None if m[2] is None else (self.src(m.start(3)), self.src(m.start(3)) + len(m[3])), embed=False)
