@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirelake.operators import formatting as FO
 from quirelake.operators import lines as L
 from quirelake.operators import structure as M
 from quirelake.session import materialize, table
@@ -114,6 +115,20 @@ def verify_tiling(spark, sf_dir):
     return p.agg(F.count("*").alias("docs")).crossJoin(M.overlaps(p).agg(F.count("*").alias("overlaps"))).crossJoin(M.gaps(docs, p).agg(F.count("*").alias("gaps")))
 
 
+def format_all(spark, sf_dir):
+    got = FO.normal_form(corpus(spark, sf_dir))
+    return got.select("doc_id", F.sha2(F.encode("content", "UTF-8"), 256).alias("sha256"), "changed", F.size("declined").cast("long").alias("declined"))
+
+
+def format_check(spark, sf_dir):
+    found = FO.check(corpus(spark, sf_dir), ("endings", "gaps", "markers"))
+    return found.groupBy("doc_id", "rule", "kind").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+
+
+def partition_report(spark, sf_dir):
+    return FO.partition(corpus(spark, sf_dir)).agg(F.count("*").alias("docs"), F.count_if("ok").alias("ok"), F.sum("blocks").alias("blocks"), F.sum(F.col("content_bytes") - F.col("covered_bytes")).alias("uncovered"))
+
+
 _C = """
     i as (select l_orderkey as doc_id, l_partkey as pk, l_quantity as q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as r from lineitem where l_orderkey in (select o_orderkey from orders)),
     d as (select doc_id, max(r) as c from i group by doc_id)
@@ -127,7 +142,7 @@ _OUTLINE = f"""{_C},
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (md_outline, md_outline_tokens, md_heading_sections, section_lookup_numeric, section_lookup_slug, shadow_headings, links_all, links_wikilinks, fm_fields, fm_body_start, coverage_stats, code_blocks, regions_pairs, regions_dangling, verify_tiling)
+    f.__name__: f for f in (md_outline, md_outline_tokens, md_heading_sections, section_lookup_numeric, section_lookup_slug, shadow_headings, links_all, links_wikilinks, fm_fields, fm_body_start, coverage_stats, code_blocks, regions_pairs, regions_dangling, verify_tiling, format_all, format_check, partition_report)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -152,4 +167,14 @@ ORACLE_SQL: dict[str, str] = {
     "regions_pairs": f"with {_C} select doc_id, 'part' as label, r::varchar as info, (2 + 9 * r)::bigint as start_line, (2 + 9 * r)::bigint as end_line, 6::bigint as body_bytes from i where r % 4 <> 0",
     "regions_dangling": f"with {_C} select doc_id, 'unpaired-open' as kind, 'part' as label, (2 + 9 * r)::bigint as line from i where r % 4 = 0",
     "verify_tiling": f"with {_C} select count(*) as docs, 0::bigint as overlaps, 0::bigint as gaps from d",
+    "format_all": f"""with {_C},
+        w as (select doc_id, greatest(4, max(length(pk::varchar))) as w from i group by doc_id),
+        t as (select doc_id,
+            string_agg(case when r % 2 = 0 then '### Line ' else '## Line ' end || r || chr(10) || chr(10) || 'Part [p' || pk || '](http://x.example/' || pk || ') and [[Part ' || pk || '|alias ' || r || ']] **bold** <!-- part: ' || r || ' --> body' || case when r % 4 = 0 then '' else ' <!-- /part -->' end || chr(10) || chr(10) || '```sql' || chr(10) || '# not a heading ' || r || chr(10) || '```' || chr(10) || chr(10) || '- item ' || r || chr(10) || chr(10), '' order by r) as sections,
+            string_agg('| ' || rpad(pk::varchar, w.w::int, ' ') || ' | ' || q::int || ' |' || chr(10), '' order by r) as body, any_value(w.w) as w
+            from i join w using (doc_id) group by doc_id)
+        select doc_id, sha256('---' || chr(10) || 'title: Order ' || doc_id || chr(10) || 'status: ' || o_orderstatus || chr(10) || 'priority: ' || o_orderpriority || chr(10) || '---' || chr(10) || chr(10) || 'Intro for order ' || doc_id || '.' || chr(10) || chr(10) || '# Order ' || doc_id || chr(10) || chr(10) || sections || case when doc_id % 3 = 0 then '## Links' else '## Table' end || chr(10) || chr(10) || '| ' || rpad('part', w::int, ' ') || ' | qty |' || chr(10) || '| ' || repeat('-', w::int) || ' | --- |' || chr(10) || body) as sha256,
+        true as changed, 0::bigint as declined from t join orders on o_orderkey = doc_id""",
+    "format_check": f"with {_C} select doc_id, 'gaps' as rule, 'departure' as kind, (c + 2)::bigint as n, 5::bigint as first_line, (10 + 9 * c)::bigint as last_line from d union all select doc_id, 'markers', 'departure', c::bigint, 17::bigint, (8 + 9 * c)::bigint from d",
+    "partition_report": f"with {_C} select count(*) as docs, count(*) as ok, sum(5 + 4 * c)::bigint as blocks, 0::bigint as uncovered from d",
 }
