@@ -192,7 +192,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), np.concatenate(ends)
 
 
-def fit_classifier(index: np.ndarray, bounds: np.ndarray, q: np.ndarray, weight: np.ndarray, z: float = 5.0, ridge: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
+def fit_classifier(index: np.ndarray, bounds: np.ndarray, q: np.ndarray, weight: np.ndarray, z: float = 5.0, ridge: float = 1e-3, rounds: int = 1000) -> tuple[np.ndarray, float]:
     """Weights of all buckets and the intercept, by gradient descent on the features that pass a two-sample z test."""
     size = 1 << FEATURE_BITS
     w = np.zeros(size, np.float32)
