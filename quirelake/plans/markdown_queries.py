@@ -34,10 +34,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     d = made.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     n = F.col("o_orderkey").cast("string")
-    return d.select(
+    # parsing costs far more than it reads, so adaptive execution must not merge these partitions by their bytes
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    made = d.select(
         F.col("o_orderkey").alias("doc_id"),
         F.concat(F.lit("---\ntitle: Order "), n, F.lit("\nstatus: "), "o_orderstatus", F.lit("\npriority: "), "o_orderpriority", F.lit("\n---\nIntro for order "), n, F.lit(".\n\n# Order "), n, F.lit("\n\n"), F.array_join(F.transform("parts", lambda x: x["section"]), ""), F.when(F.col("o_orderkey") % 3 == 0, F.lit("## Links\n")).otherwise(F.lit("## Table\n")), F.lit("| part | qty |\n| --- | --- |\n"), F.array_join(F.transform("parts", lambda x: x["row"]), "")).alias("content"),
     )
+    return made.repartition(spread)
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
