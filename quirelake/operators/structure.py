@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from quirelake.functions import text as T
 from quirelake.functions.markdown import Parsed, parse, walk
+from quirelake.operators import lines as L
 
 _L, _S, _B = pa.int64(), pa.string(), pa.bool_()
 HEADING = pa.struct([("ord", _L), ("level", _L), ("setext", _B), ("start_col", _L), ("s_start", _L), ("s_end", _L), ("t_start", _L), ("t_end", _L), ("text", _S), ("start_line", _L), ("end_line", _L)])
@@ -247,3 +248,41 @@ def gaps(docs: DataFrame, p: DataFrame) -> DataFrame:
     text = F.decode(F.expr("substring(raw, cast(a + 1 as int), cast(b - a as int))"), "UTF-8")
     found = spans.join(raw, "doc_id").select("doc_id", F.col("a").alias("g_start"), F.col("b").alias("g_end"), text.alias("text"))
     return found.where(~F.col("text").rlike(r"\A[\s\x{FEFF}]*\z"))
+
+
+def _text_lines(docs: DataFrame) -> DataFrame:
+    """doc_id and all, the array of lines without their endings."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(L.line_array(F.col("content")), lambda x: F.regexp_replace(x, r"(\r\n|\r|\n)\z", "")).alias("all"))
+
+
+def lede(docs: DataFrame, p: DataFrame) -> DataFrame:
+    """The text before the first heading, as the outline's row of address 0: doc_id, line, end_line, lines, tokens. Only where it holds more than white space."""
+    first = p.select("doc_id", "body_start_line", "line_count", F.array_min(F.transform(F.filter("headings", lambda x: (x["text"] != "") & (x["start_line"] >= F.col("body_start_line"))), lambda x: x["start_line"])).alias("first"))
+    own = first.select("doc_id", "body_start_line", F.coalesce(F.col("first") - 1, F.col("line_count")).alias("end_line")).where("end_line >= body_start_line")
+    rows = own.join(_text_lines(docs), "doc_id")
+    part = F.slice("all", F.col("body_start_line").cast("int"), (F.col("end_line") - F.col("body_start_line") + 1).cast("int"))
+    skipped = F.array_position(F.transform(part, lambda x: F.trim(F.translate(x, "\t", " ")) != ""), True)
+    rows = rows.withColumn("skipped", skipped).where("skipped > 0").withColumn("line", F.col("body_start_line") + F.col("skipped") - 1)
+    text = F.array_join(F.slice("all", F.col("line").cast("int"), (F.col("end_line") - F.col("line") + 1).cast("int")), "\n")
+    return rows.select("doc_id", F.lit("0").alias("address"), F.lit("(text)").alias("heading"), F.lit("text").alias("slug"), F.lit(0).cast("long").alias("level"), "line", "end_line", (F.col("end_line") - F.col("line") + 1).alias("lines"), T.estimate_tokens(text).alias("tokens"))
+
+
+def unfold(docs: DataFrame, outline_: DataFrame, address: str, depth: int | None = None, full: bool = False, threshold: int = 2000) -> DataFrame:
+    """doc_id, content: the section at a dotted address with each subsection's text, or its line of the tree if it is deeper than ``depth`` or larger than ``threshold`` tokens. ``outline_`` needs tokens.
+
+    A section is hidden if a folded one before it reaches over its start: a running maximum, no recursion.
+    """
+    address = ".".join(str(int(x)) for x in address.split("."))
+    inside = outline_.where((F.col("address") == address) | F.col("address").startswith(address + "."))
+    level = F.length("address") - F.length(F.replace("address", F.lit("."), F.lit(""))) - address.count(".")
+    open_ = F.lit(True) if full else (F.col("tokens") <= threshold) & (F.lit(True) if depth is None else level - 1 < depth)
+    rows = inside.withColumn("folded", (level > 0) & ~open_)
+    w = Window.partitionBy("doc_id").orderBy("start_line")
+    rows = rows.withColumns({"reach": F.max(F.when(F.col("folded"), F.col("end_line"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), "next": F.lead("start_line").over(w)})
+    shown = rows.where("reach is null or reach < start_line")
+    own_end = F.when(F.col("next") <= F.col("end_line"), F.col("next") - 1).otherwise(F.col("end_line"))
+    prose = F.array_join(F.slice("all", F.col("start_line").cast("int"), (own_end - F.col("start_line") + 1).cast("int")), "\n")
+    ended = F.when((prose == "") | prose.endswith("\n"), prose).otherwise(F.concat(prose, F.lit("\n")))
+    line = F.concat(T.tree_line(F.lit(True), F.col("address"), F.col("heading"), F.col("line"), F.col("lines"), F.col("tokens")), F.lit("\n"))
+    parts = shown.join(_text_lines(docs), "doc_id").select("doc_id", "start_line", F.when(F.col("folded"), line).otherwise(ended).alias("part"))
+    return parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "part"))), lambda x: x["part"]), "").alias("content"))

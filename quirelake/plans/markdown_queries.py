@@ -132,6 +132,17 @@ def partition_report(spark, sf_dir):
     return FO.partition(corpus(spark, sf_dir)).agg(F.count("*").alias("docs"), F.count_if("ok").alias("ok"), F.sum("blocks").alias("blocks"), F.sum(F.col("content_bytes") - F.col("covered_bytes")).alias("uncovered"))
 
 
+def lede(spark, sf_dir):
+    docs = materialize(corpus(spark, sf_dir), "md")
+    return M.lede(docs, M.parsed(docs)).select("doc_id", "line", "end_line", "lines", "tokens")
+
+
+def unfold_depth(spark, sf_dir):
+    docs = materialize(corpus(spark, sf_dir), "md")
+    found = M.outline(M.parsed(docs), L.lines(docs))
+    return M.unfold(docs, found, "1", depth=1).select("doc_id", F.sha2(F.encode("content", "UTF-8"), 256).alias("sha256"))
+
+
 _C = """
     i as (select l_orderkey as doc_id, l_partkey as pk, l_quantity as q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as r from lineitem where l_orderkey in (select o_orderkey from orders)),
     d as (select doc_id, max(r) as c from i group by doc_id)
@@ -145,7 +156,7 @@ _OUTLINE = f"""{_C},
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (md_outline, md_outline_tokens, md_heading_sections, section_lookup_numeric, section_lookup_slug, shadow_headings, links_all, links_wikilinks, fm_fields, fm_body_start, coverage_stats, code_blocks, regions_pairs, regions_dangling, verify_tiling, format_all, format_check, partition_report)
+    f.__name__: f for f in (md_outline, md_outline_tokens, md_heading_sections, section_lookup_numeric, section_lookup_slug, shadow_headings, links_all, links_wikilinks, fm_fields, fm_body_start, coverage_stats, code_blocks, regions_pairs, regions_dangling, verify_tiling, format_all, format_check, partition_report, lede, unfold_depth)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -180,4 +191,9 @@ ORACLE_SQL: dict[str, str] = {
         true as changed, 0::bigint as declined from t join orders on o_orderkey = doc_id""",
     "format_check": f"with {_C} select doc_id, 'gaps' as rule, 'departure' as kind, (c + 2)::bigint as n, 5::bigint as first_line, (10 + 9 * c)::bigint as last_line from d union all select doc_id, 'markers', 'departure', c::bigint, 17::bigint, (8 + 9 * c)::bigint from d",
     "partition_report": f"with {_C} select count(*) as docs, count(*) as ok, sum(5 + 4 * c)::bigint as blocks, 0::bigint as uncovered from d",
+    "lede": f"with {_C} select doc_id, 6::bigint as line, 7::bigint as end_line, 2::bigint as lines, ((length('Intro for order ' || doc_id || '.') + 1) // 4)::bigint as tokens from d",
+    "unfold_depth": f"""with {_C},
+        p as (select doc_id, r, 'Part [p' || pk || '](http://x.example/' || pk || ') and [[Part ' || pk || '|alias ' || r || ']] **bold** <!-- part: ' || r || ' --> body' || case when r % 4 = 0 then '' else ' <!-- /part -->' end || chr(10) || chr(10) || '```sql' || chr(10) || '# not a heading ' || r || chr(10) || '```' || chr(10) || chr(10) || '* item ' || r || chr(10) as tail, '| ' || pk || ' | ' || q::int || ' |' || chr(10) as line from i),
+        t as (select doc_id, string_agg(case when r % 2 = 1 then '## Line ' || r || chr(10) || tail else '+     ' || rpad('1.' || (r // 2) || '.1', 6, ' ') || ' ' || rpad('Line ' || r, 14, ' ') || ' L' || (1 + 9 * r) || '   9 lines · ~' || ((length('### Line ' || r) + 1 + length(tail)) // 4) || ' tok' || chr(10) end, '' order by r) as sections, string_agg(line, '' order by r) as body from p group by doc_id)
+        select doc_id, sha256('# Order ' || doc_id || chr(10) || sections || case when doc_id % 3 = 0 then '## Links' else '## Table' end || chr(10) || '| part | qty |' || chr(10) || '| --- | --- |' || chr(10) || body) as sha256 from t""",
 }
