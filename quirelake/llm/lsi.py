@@ -40,7 +40,7 @@ from quirelake.session import materialize
 WINDOW, STRIDE = 48, 24
 MAX_DF, MIN_DF = 0.01, 50
 RANK, EXTRA = 256, 16
-COSINE = 0.35
+COSINE = 0.3
 COVERAGE, PARAPHRASE, ANSWER = 0.6, 0.4, 0.8
 SEED = 5
 MAX_ITEM_WORDS = 20_000_000
