@@ -1,0 +1,263 @@
+"""Language-model scoring with a suffix tree over bytes that grows with the corpus.
+
+Symbols are the UTF-8 bytes of the texts as they are: no letters, cases, scripts or digits are folded.
+Before each document stand bytes 0xFF, which UTF-8 doesn't have.
+
+Fit: contexts grow over the whole corpus, to ``FIRST`` bytes in the first round and by one byte in each other, until a round keeps
+none at its full length. Each round counts, in the cluster, the symbols after each context that one that passed in the round before ends.
+A context is kept if it occurs ``min_count`` times and its next symbols diverge from its suffix's:
+count x Kullback-Leibler divergence of at least ``divergence`` nats. The suffixes of kept contexts are kept.
+Every context of up to ``FIRST`` bytes and every extension of a longer one that passes is counted, so neither depth nor
+number of contexts has a limit; extensions of contexts of ``FIRST`` bytes and more that don't pass aren't looked at.
+A kept context's distribution is smoothed with its suffix's: (n(x) + g * p_suffix(x)) / (n + g); the root's with 1 / 256 each.
+
+Counts, pruning and divergence stay in distributed tables. The kept contexts, which occur ``min_count`` times each
+and grow with the corpus, are gathered and broadcast for scoring. Contexts are known by 64-bit hashes.
+
+Scoring: each byte's state is the longest kept suffix of the bytes before it; a document's score is the mean
+negative log2 probability of its characters (``symbols`` counts characters, so scripts compare).
+
+Defined results: a null or empty text has 0 symbols and a null score; without any text in the corpus
+all bytes are equally likely. A null doc_id and repeated rows are counted and scored like others. An
+empty table gives an empty result. Other columns aren't read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quirelake.llm import textscan
+from quirelake.session import materialize
+
+FIRST, START, GROUP, PART = 4, 0xFF, 1 << 19, 800_000
+MIN_COUNT, DIVERGENCE, SMOOTHING = 50, 8.0, 4.0
+_M = 0x9E3779B97F4A7C15
+_VAL = np.random.default_rng(20240601).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+GRAMS = "key long, n long"
+
+
+def steps(depth: int) -> int:
+    """Bytes by which contexts of this length grow in a round."""
+    return 1 if depth else FIRST
+
+
+def _power(k: int) -> np.uint64:
+    return np.uint64(pow(_M, k, 1 << 64))
+
+
+def _bytes(texts: list[str | None], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes, each text after ``pad`` start bytes; the places of their bytes and the text of each."""
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    gap = bytes([START]) * pad
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    doc = np.repeat(np.arange(len(raw)), size)
+    return np.frombuffer(gap + gap.join(raw), np.uint8), np.arange(len(doc)) + (doc + 1) * pad, doc
+
+
+def _hashes(s: np.ndarray, at: np.ndarray, begin: int, end: int, h: np.ndarray) -> np.ndarray:
+    """Hashes of the ``end`` bytes before each place from those of ``begin`` bytes."""
+    for k in range(begin, end):
+        h = h + _VAL[s[at - k - 1]] * _power(k)
+    return h
+
+
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = (np.concatenate(x) for x in zip(*parts))
+    key, of = np.unique(key, return_inverse=True)
+    return key, np.bincount(of, n, len(key)).astype(np.int64)
+
+
+def _count(depth: int, shared):
+    """key: place of the context among those that grow, then the bytes before it (the nearest lowest) and the symbol."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grown, step = pa.array(shared.value), steps(depth)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in textscan.groups(texts, GROUP):
+                s, at, _ = _bytes(texts[a:b], depth + step)
+                base = np.zeros(len(at), np.int64)
+                if depth:
+                    base = pc.index_in(pa.array(_hashes(s, at, 0, depth, np.zeros(len(at), np.uint64))), value_set=grown).fill_null(-1).to_numpy().astype(np.int64)
+                    at, base = at[base >= 0], base[base >= 0]
+                if not len(at):
+                    continue
+                key = base << 8 * (step + 1) | s[at]
+                for k in range(step):
+                    key |= s[at - depth - k - 1].astype(np.int64) << 8 * (k + 1)
+                coded = pa.array(key).dictionary_encode()
+                parts.append((coded.dictionary.to_numpy(), np.bincount(coded.indices.to_numpy())))
+                rows += len(parts[-1][0])
+                if rows > PART:
+                    parts = [_merge(parts)]
+                    rows = len(parts[0][0])
+                    if rows > PART // 2:  # the cluster adds up what a task sends in several parts
+                        yield from _batches(*parts[0])
+                        rows, parts = 0, []
+        if parts:
+            yield from _batches(*_merge(parts))
+
+    return go
+
+
+def _batches(key: np.ndarray, n: np.ndarray, size: int = 50_000) -> Iterator[pa.RecordBatch]:
+    yield from pa.table({"key": pa.array(key), "n": pa.array(n)}).to_batches(size)
+
+
+def _prefix(ext: str, depth: str) -> F.Column:
+    return F.expr(f"{ext} & (shiftleft(1L, 8 * ({depth})) - 1)")
+
+
+def _round(docs: DataFrame, depth: int, grown: np.ndarray, min_count: int, divergence: float) -> pa.Table:
+    """Transitions (base, depth, ext, symbol, n, own, passes) of the contexts kept in this round; those of depth 0 are the given ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(grown)
+    grams = docs.where("text is not null").select("text").mapInArrow(_count(depth, shared), GRAMS)
+    step = steps(depth)
+    levels = grams.groupBy("key").agg(F.sum("n").alias("n"))
+    levels = levels.selectExpr(f"shiftright(key, {8 * step + 8}) as base", f"shiftright(key, 8) & {(1 << 8 * step) - 1}L as ext", "cast(key & 255 as int) as symbol", "n")
+    levels = levels.select("base", "symbol", "n", "ext", F.explode(F.sequence(F.lit(0), F.lit(step))).alias("depth")).withColumn("ext", _prefix("ext", "depth"))
+    levels = levels.groupBy("base", "depth", "ext", "symbol").agg(F.sum("n").alias("n"))
+    levels = levels.withColumn("own", F.sum("n").over(Window.partitionBy("base", "depth", "ext")))
+    levels = materialize(levels.where(f"depth = 0 or own >= {int(min_count)}"), "contexts")
+    above = levels.select("base", (F.col("depth") + 1).alias("depth"), F.col("ext").alias("suffix"), "symbol", F.col("n").alias("n_above"), F.col("own").alias("own_above"))
+    both = levels.where("depth > 0").where(f"own >= {int(min_count)}").withColumn("suffix", _prefix("ext", "depth - 1")).join(above, ["base", "depth", "suffix", "symbol"])
+    gain = both.groupBy("base", "depth", "ext").agg(F.sum(F.expr("n * ln((n / own) / (n_above / own_above))")).alias("gain"))
+    passing = materialize(gain.where(F.col("gain") >= float(divergence)).select("base", "depth", "ext"), "passing")
+    closed = passing.select("base", "ext", "depth", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("to"))
+    closed = closed.select("base", F.col("to").alias("depth"), _prefix("ext", "to").alias("ext"), (F.col("to") == F.col("depth")).alias("own_pass"))
+    closed = closed.groupBy("base", "depth", "ext").agg(F.max("own_pass").alias("passes"))
+    got = levels.where("depth > 0").join(closed, ["base", "depth", "ext"]).select("base", "depth", "ext", "symbol", "n", "own", "passes")
+    if not depth:
+        got = got.unionByName(levels.where("depth = 0").withColumn("passes", F.lit(True)).select(got.columns))
+    return got.toArrow()
+
+
+@dataclass
+class Tree:
+    """By depth from 1 the contexts' hashes, whose states follow one another from 1 on (0 is the root); of each state its suffix's state
+    and log2 of what a symbol not seen after it takes from the suffix; keys (state << 8 | symbol) and log2 p of those seen."""
+
+    contexts: list[np.ndarray]
+    suffix: np.ndarray
+    back: np.ndarray
+    keys: np.ndarray
+    log2p: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return len(self.suffix)
+
+    def states(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
+        state = np.zeros(len(at), np.int64)
+        live, h, base = np.arange(len(at)), np.zeros(len(at), np.uint64), 1
+        for k, names in enumerate(self.contexts):
+            h = _hashes(s, at[live], k, k + 1, h)
+            found = pc.index_in(pa.array(h), value_set=pa.array(names)).fill_null(-1).to_numpy()
+            hit = found >= 0
+            live, h = live[hit], h[hit]
+            state[live] = base + found[hit]
+            base += len(names)
+            if not len(live):
+                break
+        return state
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and bits of each text."""
+        n, bits = np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), np.zeros(len(texts))
+        keys = pa.array(self.keys)
+        for a, b in textscan.groups(texts, GROUP):
+            s, at, doc = _bytes(texts[a:b], max(1, len(self.contexts)))
+            state, symbol = self.states(s, at), s[at].astype(np.int64)
+            p, rest = np.zeros(len(at)), np.arange(len(at))
+            while len(rest):
+                found = pc.index_in(pa.array(state << 8 | symbol[rest]), value_set=keys).fill_null(-1).to_numpy()
+                hit = found >= 0
+                p[rest[hit]] += self.log2p[found[hit]]
+                rest, state = rest[~hit], state[~hit]
+                p[rest] += self.back[state]
+                state = self.suffix[state]
+            bits[a:b] = -np.bincount(doc, p, b - a)
+        return n, bits
+
+
+def _lookup(names: np.ndarray, want: np.ndarray) -> np.ndarray:
+    order = np.argsort(names, kind="stable")
+    at = order[np.minimum(np.searchsorted(names, want, sorter=order), len(names) - 1)]
+    assert (names[at] == want).all()
+    return at
+
+
+def _extended(base: np.ndarray, ext: np.ndarray, by: np.ndarray, depth: int) -> np.ndarray:
+    """Hashes of contexts of ``depth`` bytes with ``by`` of the bytes in ``ext`` before them."""
+    h = base.copy()
+    for k in range(steps(depth)):
+        at = np.flatnonzero(by > k)
+        h[at] += _VAL[(ext[at] >> 8 * k) & 0xFF] * _power(depth + k)
+    return h
+
+
+def build(rounds: list[tuple[int, np.ndarray, pa.Table]], smoothing: float) -> Tree:
+    """Of rounds of a depth, the hashes of the contexts that grow from it, and the transitions found."""
+    columns = {c: np.concatenate([t.column(c).to_numpy() for _, _, t in rounds]) for c in ("symbol", "n", "own")}
+    depths, longs, shorts = [], [], []
+    for start, grown, t in rounds:
+        by, ext, base = t.column("depth").to_numpy(), t.column("ext").to_numpy(), grown[t.column("base").to_numpy()]
+        depths.append(by.astype(np.int64) + start)
+        longs.append(_extended(base, ext, by, start))
+        shorts.append(_extended(base, ext, by - 1, start))
+    depth, h, shorter = np.concatenate(depths), np.concatenate(longs), np.concatenate(shorts)
+    root = np.zeros(256)
+    at = np.flatnonzero(depth == 0)
+    root[columns["symbol"][at]] = columns["n"][at]
+    p = (root + smoothing / 256) / (root.sum() + smoothing)
+    contexts, suffix, back, keys, ps = [], [np.zeros(1, np.int64)], [np.zeros(1)], [np.arange(256)], [p]
+    last_names, last_base, base = np.zeros(1, np.uint64), 0, 1
+    for d in range(1, int(depth.max(initial=0)) + 1):
+        at = np.flatnonzero(depth == d)
+        names, first, of = np.unique(h[at], return_index=True, return_inverse=True)
+        parent = last_base + _lookup(last_names, shorter[at][first])
+        own = columns["own"][at][first]
+        key, symbol = (base + of) << 8 | columns["symbol"][at], columns["symbol"][at]
+        p_suffix = ps[-1][_lookup(keys[-1], parent[of] << 8 | symbol)]
+        contexts.append(names)
+        suffix.append(parent)
+        back.append(np.log2(smoothing / (own + smoothing)))
+        keys.append(key)
+        ps.append((columns["n"][at] + smoothing * p_suffix) / (own[of] + smoothing))
+        last_names, last_base, base = names, base, base + len(names)
+    return Tree(contexts, np.concatenate(suffix), np.concatenate(back), np.concatenate(keys), np.log2(np.concatenate(ps)))
+
+
+def fit(docs: DataFrame, min_count: int = MIN_COUNT, divergence: float = DIVERGENCE, smoothing: float = SMOOTHING) -> Tree:
+    rounds: list[tuple[int, np.ndarray, pa.Table]] = []
+    depth, grown = 0, np.zeros(1, np.uint64)
+    while len(grown):
+        got = _round(docs, depth, grown, min_count, divergence)
+        rounds.append((depth, grown, got))
+        last = got.filter(pc.and_(pc.equal(got["depth"], steps(depth)), got["passes"])).group_by(["base", "ext"]).aggregate([])
+        ext = last["ext"].to_numpy()
+        grown = _extended(grown[last["base"].to_numpy()], ext, np.full(len(ext), steps(depth)), depth)
+        depth += steps(depth)
+    return build(rounds, smoothing)
+
+
+def score(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
+    """doc_id, symbols, bits, bits_per_symbol for each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(tree or fit(docs))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, bits = shared.value.score(batch.column(1).to_pylist())
+            some = n > 0
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(bits), pa.array(np.where(some, bits / np.maximum(n, 1), 0), mask=~some)], names=["doc_id", "symbols", "bits", "bits_per_symbol"])
+
+    return docs.select("doc_id", "text").mapInArrow(go, "doc_id long, symbols long, bits double, bits_per_symbol double")

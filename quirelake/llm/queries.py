@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import langid, license_scan, lsi, mixing, neardup, ogg, suffix_tree, tokens, toxicity, warc
+from quirelake.llm import context_tree, langid, license_scan, lsi, mixing, neardup, ogg, tokens, toxicity, warc
 from quirelake.session import table
 
 
@@ -31,7 +31,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_tree.score(table(spark, sf_dir, "documents"))
+    return context_tree.score(table(spark, sf_dir, "documents"))
 
 
 def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:

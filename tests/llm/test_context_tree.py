@@ -1,0 +1,98 @@
+import math
+import random
+from collections import Counter
+
+import pytest
+
+from quirelake.llm import context_tree as ct
+from quirelake.llm.queries import op6_lm_scoring
+
+
+def texts(n=60, seed=1):
+    rng = random.Random(seed)
+    parts = ["the ", "cat ", "sat ", "internationally ", "interns ", "été ", "42 ", "\n", "Ωμέγα ", "人工 "]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 80))) for _ in range(n)]
+
+
+def deep(n=60, size=200, reach=8, seed=2):
+    """Each letter depends on the last ``reach`` letters."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        t = "ab" * reach
+        for _ in range(size):
+            t += "ab"[rng.random() < 1 / (1 + math.exp(sum(0.6 if c == "a" else -0.6 for c in t[-reach:])))]
+        out.append(t)
+    return out
+
+
+class Brute:
+    """The same rules by dictionaries, one depth after the other."""
+
+    def __init__(self, corpus, min_count, divergence, smoothing):
+        self.smoothing, self.n, self.total, kept, grown = smoothing, Counter(), Counter(), {b""}, {b""}
+        self.add(corpus, 0, {b""})
+        while grown:
+            base, passed = len(next(iter(grown))), set()
+            for d in range(base + 1, base + ct.steps(base) + 1):
+                for c in self.add(corpus, d, grown):
+                    gain = sum(k * math.log((k / self.total[c]) / (self.n[c[1:], x] / self.total[c[1:]])) for x in range(256) if (k := self.n[c, x]))
+                    if self.total[c] >= min_count and gain >= divergence:
+                        passed.add(c)
+                        kept |= {c[i:] for i in range(d + 1)}
+            grown = {c for c in passed if len(c) == base + ct.steps(base)}
+        self.kept = kept
+
+    def add(self, corpus, d, bases):
+        found, size = set(), len(next(iter(bases)))
+        for t in corpus:
+            s = b"\xff" * d + t.encode()
+            for i in range(d, len(s)):
+                if s[i - size : i] in bases:
+                    c = s[i - d : i]
+                    self.n[c, s[i]] += 1
+                    self.total[c] += 1
+                    found.add(c)
+        return found
+
+    def p(self, c, x):
+        below = self.p(c[1:], x) if c else 1 / 256
+        return (self.n[c, x] + self.smoothing * below) / (self.total[c] + self.smoothing)
+
+    def bits(self, t):
+        deep = max(map(len, self.kept))
+        s = b"\xff" * deep + t.encode()
+        return -sum(math.log2(self.p(next(s[i - d : i] for d in range(deep, -1, -1) if s[i - d : i] in self.kept), s[i])) for i in range(deep, len(s)))
+
+
+def test_tree_and_scores_equal_brute_force(spark):
+    corpus = texts() + deep() + ["", "a"]
+    docs = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string")
+    tree, brute = ct.fit(docs, min_count=5, divergence=2.0), Brute(corpus, 5, 2.0, 4.0)
+    assert tree.size == len(brute.kept)
+    assert len(tree.contexts) == max(map(len, brute.kept)) > 4
+    for r in ct.score(docs, tree).collect():
+        assert r.symbols == len(corpus[r.doc_id])
+        assert r.bits == pytest.approx(brute.bits(corpus[r.doc_id]), rel=1e-6, abs=1e-6)
+
+
+@pytest.mark.parametrize("seen, other", [("été ", "ütü "), ("один ", "окно "), ("人工 ", "大小 "), ("1234 ", "9876 ")])
+def test_query_tells_letters_of_every_script_apart(spark, tmp_path, seen, other):
+    spark.createDataFrame([(i, seen * 40) for i in range(40)] + [(99, other * 40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.bits_per_symbol for r in op6_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[99] > 1.5 * got[0]
+
+
+def test_kept_contexts_grow_with_the_corpus(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(400)]
+    docs = [" ".join(rng.choice(words[: 20 + i // 2]) for _ in range(60)) for i in range(760)]
+    sizes = [ct.fit(spark.createDataFrame(list(enumerate(docs[:n])), "doc_id long, text string")).size for n in (95, 760)]
+    assert sizes[1] > 3 * sizes[0]
+
+
+def test_edges(spark):
+    rows = [(1, None), (2, ""), (None, "some text"), (3, "long " * 200_000), (3, "long " * 200_000)]
+    got = ct.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.symbols, r.bits_per_symbol is None) for r in got) == [(0, 9, False), (1, 0, True), (2, 0, True), (3, 1_000_000, False), (3, 1_000_000, False)]
+    assert ct.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert ct.score(spark.createDataFrame([(1, None)], "doc_id long, text string")).first().symbols == 0
