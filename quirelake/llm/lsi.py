@@ -3,8 +3,8 @@
 1. Vocabulary: the words of the benchmark. Every document is scanned once, whole, into the sequence of
    its words' numbers (0 for words outside), written to the shared folder; the same scan counts the
    passages, windows of ``WINDOW`` words every ``STRIDE``, that hold each word.
-2. TF-IDF of passages: (1 + ln tf) x ln(1 + passages / df), rows of length 1. Words in more than ``MAX_DF``
-   of all passages, and in more than ``MIN_DF`` of them, are stop words.
+2. TF-IDF of passages: (1 + ln tf) x ln(1 + passages / df), rows of length 1. Every word
+   that occurs has a positive weight, however frequent: the leaks themselves count in df, so a limit would hide an item copied often.
 3. Randomised SVD: a Gaussian matrix W is sketched to A'(A W) in one distributed pass, and the
    Nystrom form of A'A gives the leading right singular vectors. The matrix is vocabulary x
    (``RANK`` + oversampling), so its size is bounded by the benchmark.
@@ -16,8 +16,7 @@
    answer (the rare words of its last sentence, or of its second half if it has one sentence) is
    covered by ``ANSWER`` too.
 
-Defined results: null and wordless texts and items match nothing. Items whose words are all stop words can't
-be told from common text and match nothing. A null doc_id is carried like others; repeated
+Defined results: null and wordless texts and items match nothing. A null doc_id is carried like others; repeated
 rows give repeated pairs, made distinct. An empty corpus or benchmark gives an empty result. Other columns
 are neither read nor changed.
 """
@@ -38,7 +37,6 @@ from quirelake.llm.neardup import without
 from quirelake.session import materialize
 
 WINDOW, STRIDE = 48, 24
-MAX_DF, MIN_DF = 0.01, 50
 RANK, EXTRA = 256, 16
 COSINE = 0.3
 COVERAGE, PARAPHRASE, ANSWER = 0.6, 0.4, 0.8
@@ -330,7 +328,7 @@ class Index:
         return np.where(self.idf[item - 1] > 0, self.idf[item - 1], 0.25)
 
 
-def build(docs: DataFrame, benchmark: DataFrame, max_df: float = MAX_DF, rank: int = RANK) -> tuple[Index, DataFrame]:
+def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> tuple[Index, DataFrame]:
     """The index of the benchmark in the corpus's latent space, and the encoded documents."""
     spark = docs.sparkSession
     words = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -346,7 +344,7 @@ def build(docs: DataFrame, benchmark: DataFrame, max_df: float = MAX_DF, rank: i
         df += np.frombuffer(r["words"], np.int64)
         total += r["passages"]
     encoded = encoded.where("not counts").select("doc_id", "words")
-    idf = np.where((df > 0) & (df <= max(MIN_DF, max_df * total)), np.log1p(max(1, total) / np.maximum(df, 1)), 0.0)
+    idf = np.where(df > 0, np.log1p(max(1, total) / np.maximum(df, 1)), 0.0)
     omega = np.random.default_rng(SEED).standard_normal((size, min(size, rank + EXTRA)))
     pair = spark.sparkContext.broadcast((idf, omega.astype(np.float32)))
     sketch = np.zeros(omega.shape)
@@ -367,9 +365,9 @@ def build(docs: DataFrame, benchmark: DataFrame, max_df: float = MAX_DF, rank: i
     return Index(items, idf, basis, np.array(vectors, np.float32).reshape(len(usable), basis.shape[1]), np.array(usable, np.int64)), encoded
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, coverage: float = COVERAGE, paraphrase: float = PARAPHRASE, answer: float = ANSWER, max_df: float = MAX_DF, rank: int = RANK) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, coverage: float = COVERAGE, paraphrase: float = PARAPHRASE, answer: float = ANSWER, rank: int = RANK) -> DataFrame:
     """doc_id, item_id, cosine, coverage, answer, word_start: the best passage of each document for each item it holds."""
-    index, encoded = build(docs, benchmark, max_df, rank)
+    index, encoded = build(docs, benchmark, rank)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = np.uint16 if len(index.items.vocabulary) < 65_535 else np.uint32
 

@@ -107,3 +107,11 @@ def test_edge_cases(spark):
     assert lsi.contamination(docs, nothing).count() == 0
     assert lsi.decontaminate(docs, nothing).count() == len(rows)
     assert lsi.contamination(spark.createDataFrame([], d), bench).count() == 0
+
+
+def test_item_copied_into_many_documents_is_found_in_all(spark):
+    docs, items, _ = fixture()
+    docs = [(i, f"{t} {items[3][1]}" if i % 2 else t) for i, t in docs]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in lsi.contamination(d, b).collect()}
+    assert {(i, 3) for i, _ in docs if i % 2} <= got
