@@ -60,6 +60,12 @@ def md_outline_tokens(spark, sf_dir):
     return M.outline(M.parsed(docs), L.lines(docs)).where("address = '1'").select("doc_id", "lines", "tokens")
 
 
+def md_outline_tokens_all(spark, sf_dir):
+    """Every section's size, the nested ones' too."""
+    docs = materialize(corpus(spark, sf_dir), "md")
+    return M.outline(M.parsed(docs), L.lines(docs)).select("doc_id", "address", "lines", "tokens")
+
+
 def md_heading_sections(spark, sf_dir):
     h = M.headings(_parsed(spark, sf_dir))
     return h.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("parent_ord").alias("with_parent"), F.max(F.col("section_end_line")).alias("last_line"), F.count_if(F.col("sec_end") == F.col("bytes")).alias("to_the_end"))
@@ -128,6 +134,12 @@ def format_check(spark, sf_dir):
     return found.groupBy("doc_id", "rule", "kind").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
 
 
+def format_check_all(spark, sf_dir):
+    """All rules, that of tables too."""
+    found = FO.check(corpus(spark, sf_dir))
+    return found.groupBy("doc_id", "rule", "kind").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+
+
 def partition_report(spark, sf_dir):
     return FO.partition(corpus(spark, sf_dir)).agg(F.count("*").alias("docs"), F.count_if("ok").alias("ok"), F.sum("blocks").alias("blocks"), F.sum(F.col("content_bytes") - F.col("covered_bytes")).alias("uncovered"))
 
@@ -156,7 +168,7 @@ _OUTLINE = f"""{_C},
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (md_outline, md_outline_tokens, md_heading_sections, section_lookup_numeric, section_lookup_slug, shadow_headings, links_all, links_wikilinks, fm_fields, fm_body_start, coverage_stats, code_blocks, regions_pairs, regions_dangling, verify_tiling, format_all, format_check, partition_report, lede, unfold_depth)
+    f.__name__: f for f in (md_outline, md_outline_tokens, md_outline_tokens_all, md_heading_sections, section_lookup_numeric, section_lookup_slug, shadow_headings, links_all, links_wikilinks, fm_fields, fm_body_start, coverage_stats, code_blocks, regions_pairs, regions_dangling, verify_tiling, format_all, format_check, format_check_all, partition_report, lede, unfold_depth)
 }
 
 ORACLE_SQL: dict[str, str] = {
