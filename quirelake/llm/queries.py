@@ -48,7 +48,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxic_documents(table(spark, sf_dir, "documents"))
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -9,7 +9,7 @@ UTF-8 bytes alone. Null texts have no words.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -41,8 +41,8 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _block(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of ``b``, whose first and last bytes are separators."""
+def _block(b: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Starts, ends and hashes of the words of ``b``, whose first and last bytes are separators; hashes of their first characters."""
     w = _ISWORD[b]
     if len(hi := np.flatnonzero(b >= 0xC2)):
         lead, second = b[hi], b[np.minimum(hi + 1, len(b) - 1)]
@@ -55,7 +55,13 @@ def _block(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = edge[0::2], edge[1::2]
     power, inverse = _powers(len(b))
     total = np.cumsum(_VAL[b] * power[: len(b)], dtype=np.uint64)
-    return starts, ends, mix((total[ends - 1] - total[starts - 1]) * inverse[starts])
+    before, shift = total[starts - 1], inverse[starts]
+    heads = []
+    if prefixes:
+        lead = np.append(np.flatnonzero((b & 0xC0) != 0x80), len(b))
+        number = np.searchsorted(lead, starts)
+        heads = [mix((total[np.minimum(lead[np.minimum(number + k, len(lead) - 1)], ends) - 1] - before) * shift, k) for k in prefixes]
+    return starts, ends, mix((total[ends - 1] - before) * shift), heads
 
 
 @dataclass
@@ -66,23 +72,26 @@ class Words:
     bounds: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    heads: dict[int, np.ndarray] = field(default_factory=dict)
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def scan(texts: list[str | None]) -> Words:
+def scan(texts: list[str | None], prefixes: tuple[int, ...] = ()) -> Words:
+    """Words of the texts; ``heads`` has hashes of each word's first k characters (of the whole word if it is shorter) for the k in ``prefixes``."""
     raw = [t.lower().encode("utf-8", "replace") if t else b"" for t in texts]
     offsets = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(x) + 1 for x in raw], out=offsets[1:])
     data = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
-    starts, ends, hashes, at = [], [], [], 0
+    starts, ends, hashes, heads, at = [], [], [], [], 0
     while at < len(data) - 1:
         to = min(at + BLOCK, len(data) - 1)
         while to < len(data) - 1 and (_ISWORD[data[to]] or data[to] >= 0x80):
             to += 1
-        s, e, h = _block(np.append(data[at : to + 1], np.uint8(10)) if _ISWORD[data[to]] else data[at : to + 1])
+        s, e, h, first = _block(np.append(data[at : to + 1], np.uint8(10)) if _ISWORD[data[to]] else data[at : to + 1], prefixes)
+        heads.append(first)
         starts.append(s + at)
         ends.append(e + at)
         hashes.append(h)
@@ -92,7 +101,7 @@ def scan(texts: list[str | None]) -> Words:
     end = np.concatenate(ends) - 1 if ends else empty
     bounds = np.searchsorted(start, offsets)
     base = np.repeat(offsets[:-1], np.diff(bounds))
-    return Words(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), bounds, start - base, end - base)
+    return Words(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), bounds, start - base, end - base, {k: np.concatenate([x[i] for x in heads]) if heads else np.zeros(0, np.uint64) for i, k in enumerate(prefixes)})
 
 
 def word_hashes(text: str) -> np.ndarray:

@@ -80,3 +80,59 @@ def test_edges(spark):
     assert toxicity.toxic_documents(empty).count() == 0 and toxicity.keep_clean(empty).count() == 0
     calm = spark.createDataFrame([(1, "nothing here to see")], "doc_id long, text string")
     assert toxicity.toxic_documents(calm).count() == 0 and toxicity.keep_clean(calm).count() == 1
+
+
+def stem_fixture(n=1200, seed=5):
+    """Texts in two made languages; toxic ones have the head "zorv" or "kelm" on some words, clean ones now and then."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = prose(rng, rng.randint(60, 160))
+        toxic = i % 8 == 0
+        for _ in range(len(words) // 15 + 2 if toxic else rng.random() < 0.1):
+            words[rng.randrange(len(words))] = rng.choice(["zorv", "kelm"]) + rng.choice(prose(rng, 5))
+        rows.append((i, " ".join(words), int(toxic)))
+    return rows
+
+
+def test_stems_mined_from_part_find_the_rest(spark):
+    rows = stem_fixture()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows if i % 3], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels=labels)
+    assert model.stems and {s.size for s in model.stems} <= {0, *toxicity.HEADS}
+    got = {r.doc_id for r in toxicity.toxic_documents(docs, model).collect()}
+    held = {i for i, _, t in rows if t and i % 3 == 0}
+    assert len(got & held) >= 0.95 * len(held)
+    assert len(got - {i for i, _, t in rows if t}) <= 0.005 * len(rows)
+    assert toxicity.toxic_documents(docs).count() == 0  # no label, no stem
+
+
+def test_stem_votes_equal_brute_force():
+    rng = random.Random(4)
+    texts = ["", None, "zorvo", *(t for _, t, _ in stem_fixture(60))]
+    heads = {w: int(toxicity.textscan.scan([w], (4,)).heads[4][0]) for w in ("zorv", "kelm")}
+    for least, share in ((1, 0.0), (2, 0.0), (2, 0.05), (3, 0.02)):
+        own = rng.choice([["zorv"], ["kelm"], ["zorv", "kelm"]])
+        v = toxicity.Voters([toxicity.Stem(4, tuple(heads[w] for w in own), least, share)])
+        got = (v.votes(texts, v.scan(texts)) >> (len(v.names) - 1)) & 1
+        for t, g in zip(texts, got):
+            words = (t or "").split()
+            hits = sum(w[:4] in own for w in words)
+            assert g == (hits >= least and hits >= share * len(words))
+
+
+def test_labels_with_nulls_doubles_and_strangers(spark):
+    rows = stem_fixture(400)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(None, "zorvo kelmo"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t, 1) for i, _, t in rows] + [(None, 1, 1), (3, None, 0), (99_999, 1, 1), (0, 0, 0)], "doc_id long, toxic int, text int")
+    assert toxicity.toxic_documents(docs, labels=labels).count() >= 45
+    none = spark.createDataFrame([], labels.schema)
+    assert toxicity.toxic_documents(docs, labels=none).count() == 0
+    assert toxicity.keep_clean(docs, labels=labels).columns == docs.columns
+
+
+def test_forest_takes_every_edge_that_closes_no_circle():
+    information = np.zeros((5, 5))
+    information[0, 1], information[2, 3], information[1, 3], information[0, 3] = 5, 4, 3, 2
+    assert toxicity.forest(information, 0.1).tolist() == [-1, 0, 3, 1, -1]
