@@ -11,12 +11,18 @@ Documents are laid out along each pattern in seeded order, pass after pass; the
 the pattern's pools (by name) cover a first part of that line, and each pass of a document whose first
 token is covered is selected for the pool there. A pool is overdrawn by less than a document.
 
-Positions are running sums in two levels, buckets of the seeded hash and rows within one, so no
-window holds a whole pattern.
+Positions are running sums in two levels, buckets of the seeded hash and rows within one, and rows are
+placed only in the buckets in which an amount ends, so no window holds a whole pattern. What an amount
+covers is then a range of keys; the documents are compared with the broadcast ranges as they are
+read, and no text is shuffled.
+
+With the defaults small pools weigh more than their share of the tokens, so large ones are cut and
+small ones repeated.
 
 Defined results: tokens are UTF-8 bytes over 4, rounded up; documents with null or empty text, or
-with neither pool, are never selected. A null doc_id is selected like others. Repeated rows
-count as documents of their own. An empty table gives an empty result. Other columns aren't read.
+with neither pool, are never selected. A null doc_id is selected like others. Repeated rows are selected
+together or not at all. An empty table gives an empty result. Other columns are carried through, but for
+those named pool, epoch or tokens, which give way.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from quirelake.session import materialize
 
 COSTS = (0, 1, 3, 6)
 BUDGET = 1.0
-TEMPERATURE = 0.7
+TEMPERATURE = 0.3
 SEED = 17
 BUCKETS = 4096
 MAX_PATTERNS = 100_000
@@ -160,12 +166,16 @@ def quotas(sizes: dict[str, int], budget: int, weights: dict[str, float] | None,
 
 
 def mix(docs: DataFrame, pools: Column | None = None, weights: dict[str, float] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, costs: Sequence[int] = COSTS, seed: int = SEED, max_patterns: int = MAX_PATTERNS) -> DataFrame:
-    """doc_id, pool, epoch (from 0), tokens: a row for each selected pass of a document. budget: in tokens of the whole corpus."""
+    """doc_id, pool, epoch (from 0), tokens and the other columns of ``docs``: a row for each selected pass of a document. budget: in tokens of the whole corpus."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.array_join(F.array_sort(F.array_distinct(default_pools() if pools is None else pools)), SEPARATOR).alias("pattern"), F.ceil(F.octet_length("text") / 4).cast("long").alias("tokens"))
-    rows = rows.where("tokens > 0 and pattern <> ''").withColumn("draw", F.xxhash64("doc_id", F.lit(seed)))
-    rows = materialize(rows.withColumn("bucket", F.pmod(F.shiftright("draw", 40), F.lit(BUCKETS)).cast("int")), "mix")
-    cells = materialize(rows.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("size")), "cells")
+    pattern = F.array_join(F.array_sort(F.array_distinct(default_pools() if pools is None else pools)), SEPARATOR)
+    tokens = F.ceil(F.octet_length("text") / 4).cast("long")
+    draw = F.xxhash64("doc_id", F.lit(seed))
+    bucket = F.pmod(F.shiftright(draw, 40), F.lit(BUCKETS)).cast("int")
+    key = F.struct(bucket.alias("bucket"), draw.alias("draw"), F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("id"), tokens.alias("tokens"))
+    rows = docs.select(pattern.alias("pattern"), key.alias("key")).where("key.tokens > 0 and pattern <> ''")
+    rows = materialize(rows.groupBy("pattern", "key").agg(F.sum("key.tokens").alias("size")), "mix")
+    cells = materialize(rows.groupBy("pattern", F.col("key.bucket").alias("bucket")).agg(F.sum("size").alias("size")), "cells")
     table = cells.groupBy("pattern").agg(F.sum("size").alias("size")).orderBy("pattern").limit(max_patterns + 1).collect()
     if len(table) > max_patterns:
         raise ValueError(f"more than {max_patterns} patterns of pools: use coarser pools, or raise max_patterns")
@@ -176,21 +186,25 @@ def mix(docs: DataFrame, pools: Column | None = None, weights: dict[str, float]
             sizes[p] = sizes.get(p, 0) + r["size"]
     quota = quotas(sizes, int(budget * sum(r["size"] for r in table)), weights, temperature)
     flow = solve([r["size"] for r in table], members, quota, costs)
-    parts = []
+    parts = []  # of each pattern's line, from 0 to its size, pass by pass
     for i, r in enumerate(table):
         begin = 0
         for p in sorted(members[i]):
             if n := flow.amount.get((i, p), 0):
-                parts.append((r.pattern, p, begin, begin + n, r["size"]))
+                for epoch in range(begin // r["size"], (begin + n - 1) // r["size"] + 1):
+                    parts.append((r.pattern, p, epoch, max(0, begin - epoch * r["size"]), min(r["size"], begin + n - epoch * r["size"])))
                 begin += n
-    plan = F.broadcast(spark.createDataFrame(parts, "pattern string, pool string, first long, last long, size long"))  # at most patterns x pools rows
-    cells = cells.withColumn("base", F.sum("size").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    cells = cells.select("pattern", "bucket", F.coalesce("base", F.lit(0)).alias("base"))
-    within = Window.partitionBy("pattern", "bucket").orderBy("draw", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(cells, ["pattern", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-    got = placed.join(plan, "pattern")
-    # passes k with first <= start + k * size < last
-    low = F.greatest(F.lit(0), F.ceil((F.col("first") - F.col("start")) / F.col("size")).cast("long"))
-    high = F.floor((F.col("last") - 1 - F.col("start")) / F.col("size")).cast("long")
-    got = got.withColumns({"low": low, "high": high}).where("low <= high")
-    return got.select("doc_id", "pool", F.explode(F.sequence("low", "high")).alias("epoch"), "tokens")
+    plan = F.broadcast(spark.createDataFrame(parts, "pattern string, pool string, epoch long, first long, last long"))  # at most patterns x pools x passes rows
+    cells = cells.withColumn("base", F.coalesce(F.sum("size").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ends = plan.select("pattern", F.explode(F.array("first", "last")).alias("at")).distinct()
+    cut = cells.join(F.broadcast(ends), "pattern").where("base < at and at <= base + size").select("pattern", "bucket", "base", "at")
+    cut = F.broadcast(cut)  # a bucket for each end
+    within = Window.partitionBy("pattern", "at").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("bucket", F.col("key.bucket")).join(cut, ["pattern", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    # the last key that begins before an end: what follows lies behind it
+    cut = placed.where("start < at").groupBy("pattern", "at").agg(F.max("key").alias("key"))
+    both = plan.join(F.broadcast(cut.select("pattern", F.col("at").alias("first"), F.col("key").alias("after"))), ["pattern", "first"], "left").join(F.broadcast(cut.select("pattern", F.col("at").alias("last"), F.col("key").alias("to"))), ["pattern", "last"])
+    both = F.broadcast(materialize(both.select(F.col("pattern").alias("_pattern"), F.col("pool").alias("_pool"), F.col("epoch").alias("_epoch"), F.col("after").alias("_after"), F.col("to").alias("_to")), "plan"))
+    rest = [docs[c] for c in docs.columns if c not in ("doc_id", "pool", "epoch", "tokens")]
+    got = docs.join(both, (pattern == both["_pattern"]) & (tokens > 0) & (both["_after"].isNull() | (key > both["_after"])) & (key <= both["_to"]))
+    return got.select(docs["doc_id"], both["_pool"].alias("pool"), both["_epoch"].alias("epoch"), tokens.alias("tokens"), *rest)

@@ -107,7 +107,7 @@ def test_selection_equals_brute_force(spark, budget):
     rows += [(300, None, "s1", "en"), (301, "text of no pool", None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     draw = {r.doc_id: r.d for r in docs.selectExpr("doc_id", f"xxhash64(doc_id, {mixing.SEED}) d").collect()}
-    got = sorted(tuple(r) for r in mixing.mix(docs, budget=budget).collect())
+    got = sorted(tuple(r) for r in mixing.mix(docs, budget=budget).select("doc_id", "pool", "epoch", "tokens").collect())
     assert got == brute(rows, budget, mixing.TEMPERATURE, mixing.SEED, draw)
 
 
@@ -119,3 +119,23 @@ def test_edges(spark):
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(spark.createDataFrame(rows, schema), max_patterns=1)
+
+
+def test_defaults_repeat_small_pools_cut_large_ones_and_carry_columns(spark):
+    rng = random.Random(3)
+    rows = [(i, "x" * rng.randint(40, 400), "big" if rng.random() < 0.9 else f"small{i % 3}", rng.choice(["en", "en", "en", "de"]), f"n{i}", i) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, note string, tokens int")
+    got = mixing.mix(docs).collect()
+    assert {(r.doc_id, r.text, r.note) for r in got} <= {(r[0], r[1], r[4]) for r in rows}
+    assert all(r.tokens == -(-len(r.text) // 4) for r in got)
+    assert len({r.doc_id for r in got}) < len(rows) and max(r.epoch for r in got) > 0
+    assert len({(r.doc_id, r.epoch) for r in got}) == len(got)
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in rows:
+        for p in (r[2], f"lang:{r[3]}"):
+            sizes[p] += -(-len(r[1]) // 4)
+    for r in got:
+        taken[r.pool] += r.tokens
+    quota = mixing.quotas(sizes, sum(-(-len(r[1]) // 4) for r in rows), None, mixing.TEMPERATURE)
+    assert all(taken[p] <= quota[p] + 100 * 4 for p in quota)  # a pool's last document in each of its patterns
+    assert sum(taken.values()) >= 0.9 * sum(quota.values())

@@ -34,6 +34,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(r[0], int(r[0] in planted["toxic"])) for r in rows if r[0] % 2], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
     kept = []
@@ -59,6 +60,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_stages_on_awkward_rows(spark, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([(1, "some benchmark item words here.")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(1, 0), (2, None), (None, 1), (3, 1)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
     schema = "doc_id long, text string, lang string, source string, n_chars long, group_id string, pattern int, words double"
     rows = [(None, None, None, None, None, None, None, None), (1, "", "en", "s", 0, "g", 1, 1.0), (2, "plain words of text " * 20_000, None, None, None, None, None, None), (3, "a few words", "en", "s", 11, "g", 1, 2.0), (3, "a few words", "en", "s", 11, "g", 1, 2.0)]
     for data in (rows, []):
@@ -66,4 +68,7 @@ def test_stages_on_awkward_rows(spark, tmp_path):
         for k, (_, stage) in enumerate(cp.STAGES):
             out = stage(spark, docs, sf)
             assert k == 4 or out.columns == docs.columns
-            out.count()
+            got = sorted(tuple(r) for r in out.select("doc_id", "text", "lang", "source").collect() if k < 4)
+            texts = [r for r in data if r[1] is not None and r[1].strip()]
+            assert k == 4 or set(got) <= {tuple(r[:4]) for r in data} and all(got.count(tuple(r[:4])) <= data.count(r) for r in texts)
+            docs = out if k < 4 else docs
