@@ -3,11 +3,13 @@
 ``read`` walks a binary value: it finds each capture pattern, verifies the page's checksum over
 the whole page, reassembles packets from the lacing values across pages, keeps logical streams
 apart by serial number and reads the rate from the codec's first packet (Opus, Vorbis,
-Speex, FLAC). Granule positions over the rate give times.
+Speex, FLAC). Granule positions over the rate give times: of the last packet that ends on each page, and of the stream's end.
 
 Defined results: a page whose checksum fails or that is cut off is skipped, and reading goes on at
-the next capture pattern; a packet that loses a part, or whose page is missing by sequence number, is
-counted as lost and not returned. Bytes that belong to no page are ignored. Streams with an unknown codec
+the next capture pattern; a packet that loses a part isn't returned. How many packets a missing page held
+can't be known, so ``lost_runs`` counts the places where one or more packets in a row are missing: before
+the first, between two that are whole, or after the last (no page with the end flag). A stream whose first
+page is missing has no codec. Bytes that belong to no page are ignored. Streams with an unknown codec
 have null times. Null and empty values have no streams. Repeated rows each give rows. An empty
 table gives none. Other columns aren't read.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 
 _MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 CONTINUED, FIRST, LAST = 1, 2, 4
-SCHEMA = "doc_id long, serial long, codec string, rate long, packets long, payload_bytes long, pages long, bad_pages long, lost_packets long, end_granule long, seconds double"
+SCHEMA = "doc_id long, serial long, codec string, rate long, packets long, payload_bytes long, pages long, bad_pages long, lost_runs long, end_granule long, seconds double, page_granules array<long>, page_seconds array<double>"
 
 
 def checksum(data: bytes) -> int:
@@ -43,8 +45,11 @@ class Stream:
     lost: int = 0
     end_granule: int | None = None
     packets: list[tuple[bytes, int | None]] = field(default_factory=list)
+    granules: list[int] = field(default_factory=list)
     _part: bytearray | None = None
-    _next: int | None = None
+    _next: int = 0
+    _ended: bool = False
+    _lost_now: bool = False
 
     def identify(self, packet: bytes) -> None:
         if packet.startswith(b"OpusHead") and len(packet) >= 19:
@@ -61,41 +66,54 @@ class Stream:
             return None
         return max(0, granule - self.preskip) / self.rate
 
+    def _hole(self) -> None:
+        """Something between the last whole packet and the next one isn't here."""
+        self.lost += not self._lost_now
+        self._lost_now = True
+
     def page(self, flags: int, sequence: int, granule: int, lacing: bytes, body: bytes) -> None:
         self.pages += 1
-        gap = self._next is not None and sequence != self._next
+        gap = sequence != self._next
         self._next = (sequence + 1) & 0xFFFFFFFF
-        skip = False
-        if self._part is not None and (gap or not flags & CONTINUED):
-            self.lost += 1
-            self._part = None
-        if flags & CONTINUED and self._part is None:
-            skip = True  # the packet began on a page that isn't here
-            self.lost += gap is False or self.pages == 1
-        at, part, done = 0, self._part, 0
-        self._part = None
+        self._ended = bool(flags & LAST)
+        part, self._part = self._part, None
+        if part is not None and (gap or not flags & CONTINUED):
+            part = None
+            self._hole()
+        if gap:
+            self._hole()
+        skip = bool(flags & CONTINUED) and part is None  # the packet began on a page that isn't here
+        if skip:
+            self._hole()
+        at, done = 0, 0
         part = bytearray() if part is None else part
-        open_ = bool(part) or bool(flags & CONTINUED)
         for n in lacing:
             part += body[at : at + n]
             at += n
-            open_ = True
             if n < 255:
                 if skip:
                     skip = False
                 else:
                     self.packets.append((bytes(part), None))
+                    self._lost_now = False
                     done += 1
-                    if self.rate is None and len(self.packets) == 1:
+                    if sequence == 0 and len(self.packets) == 1:
                         self.identify(self.packets[0][0])
-                part, open_ = bytearray(), False
-        if open_ and lacing and lacing[-1] == 255 and not skip:
+                part = bytearray()
+        if lacing and lacing[-1] == 255 and not skip:
             self._part = part
+        elif skip:  # goes on; the next page's continuation is headless, too
+            self._part = None
         if granule != -1:
             self.end_granule = granule
+            self.granules.append(granule)
             if done:
                 self.packets[-1] = (self.packets[-1][0], granule)
 
+    def end(self) -> None:
+        if self._part is not None or not self._ended:
+            self._hole()
+
 
 def read(data: bytes | None) -> tuple[dict[int, Stream], int]:
     """Streams by serial number, in order of appearance, and the number of damaged pages."""
@@ -120,7 +138,7 @@ def read(data: bytes | None) -> tuple[dict[int, Stream], int]:
         streams[serial].page(flags, sequence, granule, lacing, data[at + 27 + len(lacing) : end])
         at = end
     for s in streams.values():
-        s.lost += s._part is not None
+        s.end()
     return streams, bad
 
 
@@ -177,14 +195,25 @@ def text_to_ogg(text: str) -> bytes:
     return write(streams)
 
 
-def encode_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, ogg: each text as an Ogg value; null for a null text."""
+def harm(doc: int | None, data: bytes) -> bytes:
+    """Damage by doc_id: a flipped bit in the first page (2 of 5), half a page at the end (3 of 5), else none."""
+    kind = -1 if doc is None else doc % 5
+    if kind == 2:
+        return data[:31] + bytes([data[31] ^ 1]) + data[32:]
+    return data + data[:40] if kind == 3 else data
+
+
+def encode_texts(docs: DataFrame, damaged: bool = False) -> DataFrame:
+    """doc_id, ogg: each text as an Ogg value; null for a null text. damaged: with the damage of ``harm``."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([None if t is None else text_to_ogg(t) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "ogg"])
+                made = [None if t is None else text_to_ogg(t) for t in part.column(1).to_pylist()]
+                if damaged:
+                    made = [v and harm(i, v) for i, v in zip(part.column(0).to_pylist(), made)]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "ogg"])
 
     return docs.select("doc_id", "text").mapInArrow(go, "doc_id long, ogg binary")
 
@@ -197,7 +226,7 @@ def streams(media: DataFrame, column: str = "ogg") -> DataFrame:
             rows = []
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found, bad = read(data.as_py())
-                rows += [(doc, s.serial, s.codec, s.rate, len(s.packets), sum(len(p) for p, _ in s.packets), s.pages, bad, s.lost, s.end_granule, s.time(s.end_granule)) for s in found.values()]
+                rows += [(doc, s.serial, s.codec, s.rate, len(s.packets), sum(len(p) for p, _ in s.packets), s.pages, bad, s.lost, s.end_granule, s.time(s.end_granule), s.granules, [s.time(g) for g in s.granules]) for s in found.values()]
             columns = list(zip(*rows)) or [[]] * len(_TYPES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
 
@@ -205,4 +234,4 @@ def streams(media: DataFrame, column: str = "ogg") -> DataFrame:
 
 
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-_TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in SCHEMA.split(", ")]
+_TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}[x.split()[1]] for x in SCHEMA.split(", ")]

@@ -62,7 +62,7 @@ def test_packet_over_a_missing_page_is_lost():
     parts = pages(data)
     assert len(parts) == 6  # head, four full ones of 255 lacing values or the rest, end
     got, _ = ogg.read(parts[0] + parts[1] + b"".join(parts[3:]))
-    assert [p for p, _ in got[1].packets][0] == b"head" and got[1].lost >= 1
+    assert [p for p, _ in got[1].packets][0] == b"head" and got[1].lost == 1
     assert b"a" * 200_000 not in [p for p, _ in got[1].packets]
 
 
@@ -77,5 +77,41 @@ def test_codecs_and_times():
 def test_edges(spark):
     rows = [(1, "a\nbb", "x"), (2, None, None), (None, "", "y"), (3, "z" * 3_000_000, None), (1, "a\nbb", "x")]
     got = ogg.streams(ogg.encode_texts(spark.createDataFrame(rows, "doc_id long, text string, serial string"))).collect()
-    assert sorted((r.doc_id or 0, r.serial, r.packets, r.payload_bytes, r.lost_packets) for r in got) == [(0, 0, 2, 19, 0), (0, 1, 1, 30, 0), (1, 0, 2, 20, 0), (1, 0, 2, 20, 0), (1, 1, 2, 32, 0), (1, 1, 2, 32, 0), (3, 0, 2, 3_000_019, 0), (3, 1, 1, 30, 0)]
+    assert sorted((r.doc_id or 0, r.serial, r.packets, r.payload_bytes, r.lost_runs) for r in got) == [(0, 0, 2, 19, 0), (0, 1, 1, 30, 0), (1, 0, 2, 20, 0), (1, 0, 2, 20, 0), (1, 1, 2, 32, 0), (1, 1, 2, 32, 0), (3, 0, 2, 3_000_019, 0), (3, 1, 1, 30, 0)]
     assert ogg.streams(spark.createDataFrame([], "doc_id long, ogg binary")).count() == 0
+
+
+def runs(want, got):
+    """Runs of packets of ``want`` that aren't in ``got``; the packets are all different."""
+    missing = [p not in got for p in want]
+    return sum(m and (i == 0 or not missing[i - 1]) for i, m in enumerate(missing))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lost_runs_for_every_set_of_dropped_pages(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([3, 200, 254, 255, 600, 70_000]) for _ in range(rng.randint(3, 6))]
+    want = [bytes([i]) + rng.randbytes(n) for i, n in enumerate(sizes)]
+    parts = pages(ogg.write({5: [(p, 10 * i) for i, p in enumerate(want)]}, page_bytes=300))[:10]
+    whole = len(pages(ogg.write({5: [(p, 10 * i) for i, p in enumerate(want)]}, page_bytes=300))) == len(parts)
+    for keep in range(1, 1 << len(parts)):
+        got, bad = ogg.read(b"".join(p for k, p in enumerate(parts) if keep >> k & 1))
+        packets = [p for p, _ in got[5].packets]
+        assert bad == 0 and packets == [p for p in want if p in packets]
+        assert got[5].lost == runs(want, packets), (keep, sizes, whole)
+
+
+def test_page_times():
+    data = ogg.write({1: [(ogg.VORBIS_HEAD, 0), (b"a" * 5000, 16_000), (b"b", 24_000), (b"c" * 70_000, 32_000)]})
+    got, _ = ogg.read(data)
+    assert got[1].granules == [0, 16_000, 24_000, 32_000]
+    assert [got[1].time(g) for g in got[1].granules] == [0, 1.0, 1.5, 2.0]
+
+
+def test_damage_of_the_query():
+    data = ogg.text_to_ogg("one\ntwo\nthree")
+    got, bad = ogg.read(ogg.harm(2, data))
+    assert bad == 1 and got[0].codec is None and got[0].lost == 1 and [p for p, _ in got[0].packets] == [b"one", b"three"]
+    got, bad = ogg.read(ogg.harm(3, data))
+    assert bad == 1 and [s.lost for s in got.values()] == [0, 0]
+    assert ogg.harm(None, data) == data == ogg.harm(5, data)
