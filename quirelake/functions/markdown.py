@@ -43,10 +43,17 @@ _ESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
 _LABEL = re.compile(r"\[((?:[^\\\[\]]|\\.){1,1000})\]", re.S)
 _WIKI = re.compile(r"\[\[([^\[\]\r\n|]+?)(?:(\\?\|)([^\[\]\r\n|]*))?\]\]")
 _EMBED = re.compile(r"!\[\[([^\[\]\r\n|]+?)(?:\\?\|([^\[\]\r\n]*))?\]\]")
+_HOLDERS = frozenset(("document", "blockQuote", "listItem"))
+_BEGINS = frozenset(">#`~<=-*+_|:0123456789\x0b\x0c")
+_INTERRUPTS = frozenset("><#`~-*+_0123456789")
+_INTERRUPTING_MARKER = re.compile(r"[*+-](?:[ \t]|$)|\d{1,9}[.)](?:[ \t]|$)")
+_SPECIAL = re.compile(r"[\\`*_~<\[\]!@]|(?<![^ \t\n*_~(])(?:https?://|ftp://|www\.)", re.I)
+_TICKS = re.compile("`+")
+_SAME = {c: re.compile(re.escape(c) + "+") for c in "*_~"}
 _PUNCT = re.compile(r"[!-/:-@\[-`{-~\u00A1-\u00BF\u2010-\u2027\u2030-\u205E\u3000-\u3003\u3008-\u3011]")
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class Node:
     kind: str
     start: int
@@ -59,7 +66,7 @@ class Node:
     blank: bool = False
 
 
-@dataclass
+@dataclass(slots=True)
 class Inline:
     kind: str
     start: int
@@ -98,6 +105,22 @@ def unescape(text: str) -> str:
     return html.unescape(_ESCAPE.sub(r"\1", text))
 
 
+def _rows(source: str) -> list[tuple[int, str, int]]:
+    """Start, text and end with the ending of each line."""
+    if "\r" in source:
+        return [(m.start(), m[0].rstrip("\r\n"), m.end()) for m in _LINE.finditer(source)]
+    rows, at = [], 0
+    for text in source.split("\n"):
+        end = at + len(text) + 1
+        rows.append((at, text, end))
+        at = end
+    if rows[-1][1]:
+        rows[-1] = (rows[-1][0], rows[-1][1], len(source))
+    else:
+        rows.pop()
+    return rows
+
+
 class _Blocks:
     def __init__(self, source: str) -> None:
         self.source = source
@@ -107,9 +130,7 @@ class _Blocks:
         self.starts: list[int] = []
 
     def run(self) -> tuple[int, int, int] | None:
-        at, rows = 0, []
-        for m in _LINE.finditer(self.source):
-            rows.append((m.start(), m[0].rstrip("\r\n"), m.end()))
+        rows = _rows(self.source)
         self.starts = [r[0] for r in rows] or [0]
         front, first = None, 0
         bom = 1 if self.source.startswith("\ufeff") else 0
@@ -151,12 +172,16 @@ class _Blocks:
             n -= 1
 
     def find(self) -> None:
-        i, c = self.at, self.column
-        while i < len(self.text) and self.text[i] in " \t":
-            c += 4 - c % 4 if self.text[i] == "\t" else 1
+        text, i = self.text, self.at
+        if i < len(text) and text[i] not in " \t":
+            self.next, self.indent, self.blank = i, 0, False
+            return
+        c = self.column
+        while i < len(text) and text[i] in " \t":
+            c += 4 - c % 4 if text[i] == "\t" else 1
             i += 1
         self.next, self.indent = i, c - self.column
-        self.blank = i == len(self.text)
+        self.blank = i == len(text)
 
     def rest(self) -> str:
         if self.split:
@@ -164,7 +189,7 @@ class _Blocks:
         return self.text[self.at :]
 
     def add(self, kind: str, start: int, **data) -> Node:
-        while self.tip.kind not in ("document", "blockQuote", "listItem") and not (self.tip.kind == "list" and kind == "listItem") or self.tip.kind == "list" and kind != "listItem":
+        while (up := self.tip.kind) not in _HOLDERS and (up != "list" or kind != "listItem"):
             self.close(self.tip)
         node = Node(kind, start, parent=self.tip, data=data)
         self.tip.children.append(node)
@@ -306,8 +331,7 @@ class _Blocks:
 
     def drop(self, keep: Node) -> None:
         """Closes open blocks below ``keep``."""
-        while self.tip is not keep and any(self.tip is not a for a in (keep,)):
-            n = self.tip
+        while (n := self.tip) is not keep:
             up = keep
             while up is not None and up is not n:
                 up = up.parent
@@ -355,7 +379,7 @@ class _Blocks:
             return False
         if k == "codeBlock":
             if node.data["fenced"]:
-                if self.indent <= 3 and not self.blank:
+                if self.indent <= 3 and not self.blank and self.text[self.next] == node.data["char"]:
                     m = re.match(rf"{re.escape(node.data['char'])}{{{node.data['length']},}}[ \t]*$", self.text[self.next :])
                     if m:
                         node.end = self.base + len(self.text.rstrip(" \t"))
@@ -385,11 +409,15 @@ class _Blocks:
         return False
 
     def interrupts(self) -> bool:
+        if self.text[self.next] not in _INTERRUPTS:
+            return False
         t = self.text[self.next :]
-        return bool(t[:1] == ">" or _ATX.match(t) or _BREAK.match(t) or _FENCE.match(t) or any(o.match(t) for o, _ in _HTML[:6]) or re.match(r"[*+-](?:[ \t]|$)|\d{1,9}[.)](?:[ \t]|$)", t))
+        return bool(t[:1] == ">" or _ATX.match(t) or _BREAK.match(t) or _FENCE.match(t) or any(o.match(t) for o, _ in _HTML[:6]) or _INTERRUPTING_MARKER.match(t))
 
     def begin(self, container: Node) -> Node | None:
         self.done = False
+        if self.text[self.next] not in _BEGINS:
+            return None
         t, at = self.text[self.next :], self.base + self.next
         if t[0] == ">":
             self.drop(container)
@@ -522,6 +550,11 @@ class _Blocks:
 def split_row(text: str, at: int) -> list[tuple[str, int]]:
     """Cells of a row, trimmed, with their offsets; a pipe after an odd run of backslashes is content."""
     cells, begin, i, n = [], 0, 0, len(text)
+    if "\\" not in text:
+        while (i := text.find("|", begin)) >= 0:
+            cells.append((begin, i))
+            begin = i + 1
+        i = n
     while i < n:
         if text[i] == "\\":
             i += 2
@@ -597,15 +630,19 @@ class _Inlines:
 
     def run(self) -> list[Inline]:
         t, i = self.text, 0
+        if not (first := _SPECIAL.search(t)):
+            return self.out
+        i = first.start()
         delims: list[list] = []  # [char, count, at, opens, closes, original]
         brackets: list[list] = []  # [at, image, active, delims below]
         missing: set[int] = set()
-        while i < len(t):
+        while m := _SPECIAL.search(t, i):
+            i = m.start()
             c = t[i]
             if c == "\\":
                 i += 2 if i + 1 < len(t) else 1
             elif c == "`":
-                n = len(re.compile("`+").match(t, i)[0])
+                n = len(_TICKS.match(t, i)[0])
                 close = None if n in missing else re.compile(rf"(?<!`)`{{{n}}}(?!`)").search(t, i + n)
                 if close:
                     self.emit("codeSpan", i, close.end())
@@ -614,7 +651,7 @@ class _Inlines:
                     missing.add(n)
                     i += n
             elif c in "*_~":
-                n = len(re.compile(re.escape(c) + "+").match(t, i)[0])
+                n = len(_SAME[c].match(t, i)[0])
                 before, after = t[i - 1] if i else "\n", t[i + n] if i + n < len(t) else "\n"
                 left = not after.isspace() and (not _PUNCT.match(after) or before.isspace() or bool(_PUNCT.match(before)))
                 right = not before.isspace() and (not _PUNCT.match(before) or after.isspace() or bool(_PUNCT.match(after)))
@@ -755,22 +792,29 @@ class _Inlines:
 _LEAVES = ("paragraph", "heading", "tableCell")
 
 
-def walk(node: Node):
+def walk(node: Node) -> list[Node]:
     """Blocks in document order, the root left out."""
-    for c in node.children:
-        yield c
-        yield from walk(c)
+    out, todo = [], node.children[::-1]
+    while todo:
+        n = todo.pop()
+        out.append(n)
+        if n.children:
+            todo += n.children[::-1]
+    return out
 
 
-def parse(source: str, wikilinks: bool = True) -> Parsed:
+def parse(source: str, wikilinks: bool = True, inlines: bool = True) -> Parsed:
+    """``inlines``: False leaves them out, and what only they need."""
     b = _Blocks(source)
     front = b.run()
+    if not inlines:
+        return Parsed(source, b.root, front, [], b.starts)
     inlines: list[Inline] = []
     for n in walk(b.root):
-        if n.kind in _LEAVES and n.lines:
+        if n.kind in _LEAVES and n.lines and any(_SPECIAL.search(t) for t, _ in n.lines):
             table = n.kind == "tableCell"
             got = _Inlines(n.lines, b.references, wikilinks, table).run()
-            inlines += [x for x in got if not table or x.kind in ("wikilink", "emph", "strong")]
+            inlines += [x for x in got if not table or x.kind in ("wikilink", "emph", "strong")] if table else got
     if wikilinks:
         inlines += embeds(source, b.root, inlines, front)
     inlines.sort(key=lambda x: x.start)

@@ -2,14 +2,14 @@
 
 ``parsed`` runs the grammar once for each row of (doc_id, content) and keeps all arrays in one row, so
 persisting it gives a columnar table whose arrays are pruned apart. All else is DataFrame algebra:
-the heading tree, addresses, sections, sizes, region pairing and checks are windows partitioned by doc_id,
-which share one exchange. Offsets are bytes, lines count from 1.
+region pairing and checks are windows partitioned by doc_id, which share one exchange. The heading tree
+with its addresses, sections and sizes is made with the parse. Offsets are bytes, lines count from 1.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,61 +21,125 @@ from quirelake.functions.markdown import Parsed, parse, walk
 from quirelake.operators import lines as L
 
 _L, _S, _B = pa.int64(), pa.string(), pa.bool_()
-HEADING = pa.struct([("ord", _L), ("level", _L), ("setext", _B), ("start_col", _L), ("s_start", _L), ("s_end", _L), ("t_start", _L), ("t_end", _L), ("text", _S), ("start_line", _L), ("end_line", _L)])
-NODE = pa.struct([("node_id", _L), ("parent_id", _L), ("depth", _L), ("type", _S), ("s_start", _L), ("s_end", _L), ("start_line", _L), ("end_line", _L), ("fenced", _B), ("fence_char", _S), ("fence_length", _L), ("info", _S), ("body_start", _L), ("body_end", _L), ("ordered", _B), ("tight", _B), ("marker", _S), ("list_start", _L), ("task", _B), ("header", _B)])
-INLINE = pa.struct([("ord", _L), ("type", _S), ("s_start", _L), ("s_end", _L), ("start_line", _L), ("url", _S), ("title", _S), ("alias", _S), ("embed", _B), ("label", _S)])
-ANCHOR = pa.struct([("ord", _L), ("label", _S), ("info", _S), ("is_open", _B), ("whole_line", _B), ("a_start", _L), ("a_end", _L), ("line_start", _L), ("line_end", _L), ("line", _L)])
-_SCHEMA = pa.schema([("doc_id", _L), ("bytes", _L), ("line_count", _L), ("body_start_line", _L), ("body_start_byte", _L), ("headings", pa.list_(HEADING)), ("nodes", pa.list_(NODE)), ("inlines", pa.list_(INLINE)), ("anchors", pa.list_(ANCHOR))])
+HEADING = {"ord": _L, "level": _L, "setext": _B, "start_col": _L, "s_start": _L, "s_end": _L, "t_start": _L, "t_end": _L, "text": _S, "start_line": _L, "end_line": _L, "parent_ord": _L, "sec_end": _L, "section_end_line": _L, "address": _S, "last": _L, "tokens": _L, "strict_address": _S, "strict_last": _L, "strict_tokens": _L}
+NODE = {"node_id": _L, "parent_id": _L, "depth": _L, "type": _S, "s_start": _L, "s_end": _L, "start_line": _L, "end_line": _L, "fenced": _B, "fence_char": _S, "fence_length": _L, "info": _S, "body_start": _L, "body_end": _L, "ordered": _B, "tight": _B, "marker": _S, "list_start": _L, "task": _B, "header": _B}
+INLINE = {"ord": _L, "type": _S, "s_start": _L, "s_end": _L, "start_line": _L, "url": _S, "title": _S, "alias": _S, "embed": _B, "label": _S}
+ANCHOR = {"ord": _L, "label": _S, "info": _S, "is_open": _B, "whole_line": _B, "a_start": _L, "a_end": _L, "line_start": _L, "line_end": _L, "line": _L}
+_DOCUMENT = {"doc_id": _L, "bytes": _L, "line_count": _L, "body_start_line": _L, "body_start_byte": _L}
+ARRAYS = {"headings": HEADING, "nodes": NODE, "inlines": INLINE, "anchors": ANCHOR}
 _ANCHOR = re.compile(r"<!--[ \t]*(/)?([A-Za-z][\w.-]*)(?:[ \t]*:[ \t]*([^\r\n]*?))?[ \t]*-->")
 
 
-def document_row(doc_id: int, content: str) -> dict:
-    """All tables of a document as one row."""
-    p = parse(content)
+def document_row(doc_id: int, content: str, want: Iterable[str] = tuple(ARRAYS)) -> tuple:
+    """doc_id and sizes of a document, and of each wanted array the list of its rows as tuples."""
+    want = tuple(want)
+    p = parse(content, inlines="inlines" in want or "anchors" in want and "<!--" in content and "`" in content)
     m = p.byte_map()
+    b = (lambda i: i) if m is None else m.__getitem__
+    blocks = walk(p.root) if "headings" in want or "nodes" in want else []
+    front, size = p.frontmatter, b(len(content))
+    body_line = front[2] + 1 if front else 1
+    found = {"headings": _headings, "nodes": _nodes, "inlines": _inlines, "anchors": lambda p, b, *_: _anchors(p, b)}
+    body_byte = (b(p.line_starts[front[2]]) if front[2] < len(p.line_starts) else size) if front else 0
+    return (doc_id, size, len(p.line_starts) if content else 0, body_line, body_byte, *(found[a](p, b, blocks, body_line) for a in want))
+
+
+def _headings(p: Parsed, b, blocks: list, body_line: int) -> list[tuple]:
+    own = [n for n in blocks if n.kind == "heading" and n.parent is p.root]
+    if not own:
+        return []
+    end, count = b(len(p.source)), len(p.line_starts)
+    first = [p.line_of(n.start) for n in own]
+    texts = [re.sub(r"[*_`]", "", "\n".join(t for t, _ in n.lines)) for n in own]
+    chars = None
+    trees = []
+    for strict in (False, True):
+        at = [k for k, n in enumerate(own) if texts[k] and first[k] >= body_line and not (strict and (n.data["setext"] or n.data["col"] != 1))]
+        if strict and len(at) == len(trees[0][0]):
+            trees.append(trees[0])
+            continue
+        if at and chars is None:
+            chars = _upto(p)
+        trees.append(_tree([own[k].data["level"] for k in at], [first[k] for k in at], count, at, chars))
+    parents, nexts = _nesting([n.data["level"] for n in own])
+    out = []
+    for k, n in enumerate(own):
+        t0, t1 = (n.lines[0][1], n.lines[-1][1] + len(n.lines[-1][0])) if n.lines else (n.end, n.end)
+        after = nexts[k]
+        up = parents[k]
+        out.append((k + 1, n.data["level"], n.data["setext"], n.data["col"], b(n.start), b(n.end), b(t0), b(t1), texts[k], first[k], p.line_of(max(n.start, n.end - 1)), None if up is None else up + 1, end if after is None else b(own[after].start), count if after is None else first[after] - 1, *trees[0][1].get(k, _NONE), *trees[1][1].get(k, _NONE)))
+    return out
 
-    def b(i: int) -> int:
-        return i if m is None else m[i]
 
-    headings, nodes = [], []
+_NONE = (None, None, None)
+
+
+def _nesting(levels: list[int]) -> tuple[list, list]:
+    """For each heading the nearest earlier one of a higher level, and the next one of the same or a higher level."""
+    parents, nexts, stack = [None] * len(levels), [None] * len(levels), []
+    for k, level in enumerate(levels):
+        while stack and levels[stack[-1]] >= level:
+            nexts[stack.pop()] = k
+        parents[k] = stack[-1] if stack else None
+        stack.append(k)
+    return parents, nexts
+
+
+def _tree(levels: list[int], first: list[int], count: int, places: list[int], chars: list[int] | None) -> tuple[list[int], dict[int, tuple]]:
+    """Address, last line and tokens of each heading, by its place."""
+    parents, nexts = _nesting(levels)
+    children: dict[int | None, int] = {}
+    addresses, out = [], {}
+    for k, up in enumerate(parents):
+        children[up] = children.get(up, 0) + 1
+        addresses.append(str(children[up]) if up is None else f"{addresses[up]}.{children[up]}")
+        last = count if nexts[k] is None else first[nexts[k]] - 1
+        out[places[k]] = addresses[k], last, (chars[last] - chars[first[k] - 1] - 1) // 4
+    return places, out
+
+
+def _upto(p: Parsed) -> list[int]:
+    """Characters of the first n lines, without their endings, and one more for each."""
+    starts, source = p.line_starts, p.source
+    if "\r" not in source:
+        return [*starts, len(source) + (not source.endswith("\n"))]
+    out = [0]
+    for s, e in zip(starts, [*starts[1:], len(source)]):
+        out.append(out[-1] + len(source[s:e].rstrip("\r\n")) + 1)
+    return out
+
+
+def _nodes(p: Parsed, b, blocks: list, _: int) -> list[tuple]:
+    out = []
     ids: dict[int, int] = {}
-    for n in walk(p.root):
-        if n.kind == "heading":
-            if n.parent is p.root:
-                if n.lines:
-                    t0, t1 = n.lines[0][1], n.lines[-1][1] + len(n.lines[-1][0])
-                else:
-                    t0 = t1 = n.end
-                headings.append({"ord": len(headings) + 1, "level": n.data["level"], "setext": n.data["setext"], "start_col": n.data["col"], "s_start": b(n.start), "s_end": b(n.end), "t_start": b(t0), "t_end": b(t1), "text": re.sub(r"[*_`]", "", "\n".join(t for t, _ in n.lines)), "start_line": p.line_of(n.start), "end_line": p.line_of(max(n.start, n.end - 1))})
+    depths = {id(p.root): 0}
+    line_of = p.line_of
+    for n in blocks:
+        depth = depths[id(n)] = depths[id(n.parent)] + 1
+        kind, d = n.kind, n.data
+        if kind == "heading":
             continue
-        ids[id(n)] = len(nodes) + 1
-        d = n.data
-        row = dict.fromkeys(f.name for f in NODE)
-        row |= {"node_id": len(nodes) + 1, "parent_id": ids.get(id(n.parent)), "depth": _depth(n), "type": n.kind, "s_start": b(n.start), "s_end": b(n.end), "start_line": p.line_of(n.start), "end_line": p.line_of(max(n.start, n.end - 1))}
-        if n.kind == "codeBlock":
-            row |= {"fenced": d["fenced"], "fence_char": d.get("char"), "fence_length": d.get("length"), "info": d.get("info") or None}
-            body = [(s, s + len(t)) for t, s in n.lines]
-            row |= {"body_start": b(body[0][0]), "body_end": b(body[-1][1])} if body else {}
-        elif n.kind == "list":
-            row |= {"ordered": d["ordered"], "tight": d["tight"], "marker": d["marker"], "list_start": d["number"]}
-        elif n.kind == "listItem":
-            row["task"] = d["task"]
-        elif n.kind == "tableRow":
-            row["header"] = d["header"]
-        nodes.append(row)
-    inlines = [{"ord": k, "type": x.kind, "s_start": b(x.start), "s_end": b(x.end), "start_line": p.line_of(x.start), "url": x.data.get("url", x.data.get("target")), "title": x.data.get("title"), "alias": x.data.get("alias"), "embed": x.data.get("embed"), "label": x.data.get("label")} for k, x in enumerate(p.inlines, 1)]
-    front = p.frontmatter
-    return {"doc_id": doc_id, "bytes": b(len(content)), "line_count": len(p.line_starts) if content else 0, "body_start_line": front[2] + 1 if front else 1, "body_start_byte": (b(p.line_starts[front[2]]) if front[2] < len(p.line_starts) else b(len(content))) if front else 0, "headings": headings, "nodes": nodes, "inlines": inlines, "anchors": _anchors(p, b)}
-
-
-def _depth(n) -> int:
-    d = 0
-    while n.parent is not None:
-        n, d = n.parent, d + 1
-    return d
-
-
-def _anchors(p: Parsed, b) -> list[dict]:
+        ids[id(n)] = len(out) + 1
+        fenced = char = length = info = body_start = body_end = ordered = tight = marker = number = task = header = None
+        if kind == "codeBlock":
+            fenced, char, length, info = d["fenced"], d.get("char"), d.get("length"), d.get("info") or None
+            if n.lines:
+                body_start, body_end = b(n.lines[0][1]), b(n.lines[-1][1] + len(n.lines[-1][0]))
+        elif kind == "list":
+            ordered, tight, marker, number = d["ordered"], d["tight"], d["marker"], d["number"]
+        elif kind == "listItem":
+            task = d["task"]
+        elif kind == "tableRow":
+            header = d["header"]
+        out.append((len(out) + 1, ids.get(id(n.parent)), depth, kind, b(n.start), b(n.end), line_of(n.start), line_of(max(n.start, n.end - 1)), fenced, char, length, info, body_start, body_end, ordered, tight, marker, number, task, header))
+    return out
+
+
+def _inlines(p: Parsed, b, *_) -> list[tuple]:
+    return [(k, x.kind, b(x.start), b(x.end), p.line_of(x.start), x.data.get("url", x.data.get("target")), x.data.get("title"), x.data.get("alias"), x.data.get("embed"), x.data.get("label")) for k, x in enumerate(p.inlines, 1)]
+
+
+def _anchors(p: Parsed, b) -> list[tuple]:
     """Region anchors outside code and multi-line comments."""
     if "<!--" not in p.source:
         return []
@@ -90,34 +154,35 @@ def _anchors(p: Parsed, b) -> list[dict]:
         line = p.line_of(m.start())
         s = p.line_starts[line - 1]
         e = p.line_starts[line] if line < len(p.line_starts) else len(p.source)
-        out.append({"ord": len(out) + 1, "label": m[2], "info": m[3] or None, "is_open": m[1] is None, "whole_line": p.source[s:e].strip() == m[0], "a_start": b(m.start()), "a_end": b(m.end()), "line_start": b(s), "line_end": b(e), "line": line})
+        out.append((len(out) + 1, m[2], m[3] or None, m[1] is None, p.source[s:e].strip() == m[0], b(m.start()), b(m.end()), b(s), b(e), line))
     return out
 
 
-def parsed(docs: DataFrame) -> DataFrame:
-    """A row for each document with its headings, nodes, inlines and anchors. Null content has no row."""
+def parsed(docs: DataFrame, *want: str) -> DataFrame:
+    """A row for each document with the wanted arrays (by default all of headings, nodes, inlines and anchors). Null content has no row."""
+    want = want or tuple(ARRAYS)
+    sizes = list(_DOCUMENT.items())
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [document_row(i, c) for i, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "content").where("content is not null").mapInArrow(go, _spark_schema())
+                rows = list(zip(*(document_row(i, c, want) for i, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist()))))
+                flat = [pa.array(c, t) for c, (_, t) in zip(rows, sizes)]
+                yield pa.RecordBatch.from_arrays([*flat, *(_list_array(c, ARRAYS[a]) for c, a in zip(rows[len(sizes) :], want))], names=[*_DOCUMENT, *want])
 
+    names = {_L: "bigint", _S: "string", _B: "boolean"}
+    schema = [f"{n} {names[t]}" for n, t in sizes] + [f"{a} array<struct<{', '.join(f'{n}: {names[t]}' for n, t in ARRAYS[a].items())}>>" for a in want]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "content").where("content is not null").mapInArrow(go, ", ".join(schema))
 
-def _spark_schema() -> str:
-    names = {"int64": "bigint", "string": "string", "bool": "boolean"}
 
-    def of(t: pa.DataType) -> str:
-        if pa.types.is_list(t):
-            return f"array<{of(t.value_type)}>"
-        if pa.types.is_struct(t):
-            return "struct<" + ", ".join(f"{f.name}: {of(f.type)}" for f in t) + ">"
-        return names[str(t)]
-
-    return ", ".join(f"{f.name} {of(f.type)}" for f in _SCHEMA)
+def _list_array(lists: tuple, kind: dict[str, pa.DataType]) -> pa.ListArray:
+    columns = list(zip(*(row for own in lists for row in own))) or [()] * len(kind)
+    values = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kind.values())], names=list(kind))
+    ends = [0]
+    for own in lists:
+        ends.append(ends[-1] + len(own))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
 def _explode(p: DataFrame, array: str, *keep: str) -> DataFrame:
@@ -132,56 +197,22 @@ def inlines(p: DataFrame) -> DataFrame:
     return _explode(p, "inlines")
 
 
+_OUTLINE = ("address", "last", "tokens")
+
+
 def headings(p: DataFrame) -> DataFrame:
     """Headings with parent_ord, sec_start, sec_end and section_end_line: to the next heading of the same or a higher level, or the end."""
     h = _explode(p, "headings", "bytes", "line_count")
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    after, before = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
-    return h.select(
-        "*",
-        _by_level(lambda n: F.max(F.when(F.col("level") < n, F.col("ord"))).over(before)).alias("parent_ord"),
-        F.col("s_start").alias("sec_start"),
-        F.coalesce(_by_level(lambda n: F.min(F.when(F.col("level") <= n, F.col("s_start"))).over(after)), F.col("bytes")).alias("sec_end"),
-        F.coalesce(_by_level(lambda n: F.min(F.when(F.col("level") <= n, F.col("start_line"))).over(after)) - 1, F.col("line_count")).alias("section_end_line"),
-    )
-
-
-def _by_level(f) -> Column:
-    out = F.when(F.col("level") == 1, f(1))
-    for n in range(2, 7):
-        out = out.when(F.col("level") == n, f(n))
-    return out
+    return h.drop(*_OUTLINE, *(f"strict_{c}" for c in _OUTLINE)).withColumn("sec_start", F.col("s_start"))
 
 
-def outline(p: DataFrame, lines: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """address, heading, slug, level, line, start_line, end_line, lines and, with a table of lines, tokens. Headings without text, or within the frontmatter's lines, are left out; ``strict`` takes only ATX headings at column 1."""
-    keep = (F.col("x.text") != "") & (F.col("x.start_line") >= F.col("body_start_line"))
-    if strict:
-        keep &= (F.col("x.start_col") == 1) & ~F.col("x.setext")
-    chosen = p.select("doc_id", "bytes", "line_count", "body_start_line", F.explode("headings").alias("x")).where(keep).select("doc_id", "bytes", "line_count", "x.*")
-    w = Window.partitionBy("doc_id").orderBy("start_line")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    h = chosen.withColumn("ord", F.row_number().over(w))
-    h = h.select("*", _by_level(lambda n: F.max(F.when(F.col("level") < n, F.col("ord"))).over(before)).alias("parent"), F.coalesce(_by_level(lambda n: F.min(F.when(F.col("level") <= n, F.col("start_line"))).over(after)) - 1, F.col("line_count")).alias("last"))
-    h = h.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("ord")).cast("string"))
-    # an address is at most 6 numbers: the array of a document's (parent, k) is enough to climb
-    tree = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    h = h.withColumn("all", F.collect_list(F.struct(F.col("parent").cast("int").alias("parent"), "k")).over(tree))
-    address, at = F.col("k"), F.col("parent").cast("int")
-    for _ in range(5):
-        up = F.get(F.col("all"), at - 1)
-        address = F.when(at.isNotNull(), F.concat(up["k"], F.lit("."), address)).otherwise(address)
-        at = up["parent"]
-        h = h.withColumn("address_", address).withColumn("at_", at)
-        address, at = F.col("address_"), F.col("at_")
-    out = h.select("doc_id", F.col("address_").alias("address"), F.col("text").alias("heading"), T.slug(F.col("text")).alias("slug"), "level", F.col("start_line").alias("line"), "start_line", F.col("last").alias("end_line"), (F.col("last") - F.col("start_line") + 1).alias("lines"))
-    if lines is None:
-        return out
-    chars = lines.select("doc_id", F.col("line").cast("long").alias("n"), F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id").orderBy("line")).alias("upto"))
-    first = chars.select("doc_id", (F.col("n") + 1).alias("start_line"), F.col("upto").alias("low"))
-    last = chars.select("doc_id", F.col("n").alias("end_line"), F.col("upto").alias("high"))
-    sized = out.join(last, ["doc_id", "end_line"], "left").join(first, ["doc_id", "start_line"], "left")
-    return sized.select(*out.columns, F.floor((F.coalesce("high", F.lit(0)) - F.coalesce("low", F.lit(0)) - 1) / 4).cast("long").alias("tokens"))
+def outline(p: DataFrame, strict: bool = False) -> DataFrame:
+    """address, heading, slug, level, line, start_line, end_line, lines, tokens. Headings without text, or within the frontmatter's lines, are left out; ``strict`` takes only ATX headings at column 1.
+
+    The parse has made the tree, so rows stay where they are."""
+    address, last, tokens = (F.col(f"strict_{c}" if strict else c) for c in _OUTLINE)
+    h = _explode(p, "headings").where(address.isNotNull())
+    return h.select("doc_id", address.alias("address"), F.col("text").alias("heading"), T.slug(F.col("text")).alias("slug"), "level", F.col("start_line").alias("line"), "start_line", last.alias("end_line"), (last - F.col("start_line") + 1).alias("lines"), tokens.alias("tokens"))
 
 
 def resolve(outline_: DataFrame, address: str) -> DataFrame:

@@ -43,12 +43,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.repartition(spread)
 
 
-def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.parsed(corpus(spark, sf_dir))
+def _parsed(spark: SparkSession, sf_dir: str, *want: str) -> DataFrame:
+    return M.parsed(corpus(spark, sf_dir), *want)
 
 
 def _outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.outline(_parsed(spark, sf_dir))
+    return M.outline(_parsed(spark, sf_dir, "headings"))
 
 
 def md_outline(spark, sf_dir):
@@ -56,18 +56,16 @@ def md_outline(spark, sf_dir):
 
 
 def md_outline_tokens(spark, sf_dir):
-    docs = materialize(corpus(spark, sf_dir), "md")
-    return M.outline(M.parsed(docs), L.lines(docs)).where("address = '1'").select("doc_id", "lines", "tokens")
+    return _outline(spark, sf_dir).where("address = '1'").select("doc_id", "lines", "tokens")
 
 
 def md_outline_tokens_all(spark, sf_dir):
     """Every section's size, the nested ones' too."""
-    docs = materialize(corpus(spark, sf_dir), "md")
-    return M.outline(M.parsed(docs), L.lines(docs)).select("doc_id", "address", "lines", "tokens")
+    return _outline(spark, sf_dir).select("doc_id", "address", "lines", "tokens")
 
 
 def md_heading_sections(spark, sf_dir):
-    h = M.headings(_parsed(spark, sf_dir))
+    h = M.headings(_parsed(spark, sf_dir, "headings"))
     return h.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("parent_ord").alias("with_parent"), F.max(F.col("section_end_line")).alias("last_line"), F.count_if(F.col("sec_end") == F.col("bytes")).alias("to_the_end"))
 
 
@@ -84,11 +82,11 @@ def shadow_headings(spark, sf_dir):
 
 
 def links_all(spark, sf_dir):
-    return M.links(_parsed(spark, sf_dir)).select("doc_id", "kind", "target", "alias", "line")
+    return M.links(_parsed(spark, sf_dir, "inlines")).select("doc_id", "kind", "target", "alias", "line")
 
 
 def links_wikilinks(spark, sf_dir):
-    return M.links(_parsed(spark, sf_dir), wikilinks_only=True).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return M.links(_parsed(spark, sf_dir, "inlines"), wikilinks_only=True).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def fm_fields(spark, sf_dir):
@@ -101,26 +99,26 @@ def fm_body_start(spark, sf_dir):
 
 
 def coverage_stats(spark, sf_dir):
-    return M.stats(_parsed(spark, sf_dir))
+    return M.stats(_parsed(spark, sf_dir, "nodes", "headings", "inlines"))
 
 
 def code_blocks(spark, sf_dir):
-    got = M.nodes(_parsed(spark, sf_dir)).where("type = 'codeBlock'")
+    got = M.nodes(_parsed(spark, sf_dir, "nodes")).where("type = 'codeBlock'")
     return got.select("doc_id", "info", "fence_length", "start_line", "end_line", (F.col("body_end") - F.col("body_start")).alias("body_bytes"))
 
 
 def regions_pairs(spark, sf_dir):
-    return M.regions(_parsed(spark, sf_dir))[0].select("doc_id", "label", "info", "start_line", "end_line", (F.col("body_end") - F.col("body_start")).alias("body_bytes"))
+    return M.regions(_parsed(spark, sf_dir, "anchors"))[0].select("doc_id", "label", "info", "start_line", "end_line", (F.col("body_end") - F.col("body_start")).alias("body_bytes"))
 
 
 def regions_dangling(spark, sf_dir):
-    return M.regions(_parsed(spark, sf_dir))[1].select("doc_id", "kind", "label", "line")
+    return M.regions(_parsed(spark, sf_dir, "anchors"))[1].select("doc_id", "kind", "label", "line")
 
 
 def verify_tiling(spark, sf_dir):
     """Counts of violations over the corpus: both are 0."""
     docs = materialize(corpus(spark, sf_dir), "md")
-    p = materialize(M.parsed(docs), "parsed")
+    p = materialize(M.parsed(docs, "nodes", "headings"), "parsed")
     return p.agg(F.count("*").alias("docs")).crossJoin(M.overlaps(p).agg(F.count("*").alias("overlaps"))).crossJoin(M.gaps(docs, p).agg(F.count("*").alias("gaps")))
 
 
@@ -146,12 +144,12 @@ def partition_report(spark, sf_dir):
 
 def lede(spark, sf_dir):
     docs = materialize(corpus(spark, sf_dir), "md")
-    return M.lede(docs, M.parsed(docs)).select("doc_id", "line", "end_line", "lines", "tokens")
+    return M.lede(docs, M.parsed(docs, "headings")).select("doc_id", "line", "end_line", "lines", "tokens")
 
 
 def unfold_depth(spark, sf_dir):
     docs = materialize(corpus(spark, sf_dir), "md")
-    found = M.outline(M.parsed(docs), L.lines(docs))
+    found = M.outline(M.parsed(docs, "headings"))
     return M.unfold(docs, found, "1", depth=1).select("doc_id", F.sha2(F.encode("content", "UTF-8"), 256).alias("sha256"))
 
 

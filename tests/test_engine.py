@@ -102,7 +102,7 @@ def test_outline_and_links(spark):
     got = [(r.address, r.heading, r.level, r.line, r.end_line) for r in M.outline(p).orderBy("line").collect()]
     assert got == [("1", "One", 1, 6, 13), ("1.1", "Deep", 3, 8, 10), ("1.2", "Two", 2, 11, 13), ("2", "Links", 1, 14, 14), ("3", "Setext", 1, 15, 16)]
     assert [r.heading for r in M.outline(p, strict=True).orderBy("line").collect()] == ["One", "Deep", "Two", "Links"]
-    sized = {r.heading: r.tokens for r in M.outline(p, L.lines(d)).collect()}
+    sized = {r.heading: r.tokens for r in M.outline(p).collect()}
     assert sized["Two"] == len("## Two\n[x](y)\n") // 4
     assert [(r.kind, r.target, r.alias, r.line) for r in M.links(p).orderBy("ord").collect()] == [("wikilink", "A", "b", 9), ("link", "y", "x", 12)]
     assert [(r.reading, r.address) for r in M.shadows(M.outline(p)).collect()] == [("links", "2")]
