@@ -14,7 +14,8 @@
    isn't part of the dataset.
 
 Defined results: a null url gives a record without target, sorted first; null html gives an empty
-payload, as empty html does. A null page_id sorts first. Repeated rows give repeated records. An empty
+payload, as empty html does. A null page_id sorts first. Repeated rows give records with ids of their own,
+by their number among equals. A null date is the default one. An empty
 table gives an empty manifest and index. Control characters and spaces in urls are percent-encoded. Other
 columns aren't read.
 """
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.session import materialize, scratch_path
@@ -56,26 +57,35 @@ def _member(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def _record(kind: str, record_id: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{record_id}>"), ("WARC-Date", DATE), *fields, ("Content-Length", str(len(block)))]
+def _record(kind: str, record_id: str, date: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{record_id}>"), ("WARC-Date", date), *fields, ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, html: str | None) -> tuple[bytes, str, str]:
+def _uuid(*parts: object) -> str:
+    return str(uuid.UUID(bytes=hashlib.sha256("\0".join(map(str, parts)).encode("utf-8", "replace")).digest()[:16], version=5))
+
+
+def page_record(page_id: int | None, url: str | None, html: str | None, date: str = DATE) -> tuple[bytes, str, str]:
     """The record of a page, its payload digest and its block digest."""
     payload = (html or "").encode("utf-8", "replace")
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     payload_digest, block_digest = _sha1(payload), _sha1(block)
-    name = hashlib.sha256(f"{page_id}\0{url}\0{payload_digest}".encode("utf-8", "replace")).digest()[:16]
     target = [] if url is None else [("WARC-Target-URI", _UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url))]
     number = [] if page_id is None else [("WARC-Page-ID", str(page_id))]
     fields = [*target, *number, ("WARC-Payload-Digest", payload_digest), ("WARC-Block-Digest", block_digest), ("Content-Type", "application/http; msgtype=response")]
-    return _record("response", str(uuid.UUID(bytes=name, version=5)), fields, block), payload_digest, block_digest
+    return _record("response", _uuid(page_id, url, payload_digest), date, fields, block), payload_digest, block_digest
+
 
+def _repeated(member: bytes, number: int) -> bytes:
+    """The member with a record id of its own, for the ``number``-th repetition of a page."""
+    record = gzip.decompress(member)
+    old = re.search(rb"urn:uuid:([0-9a-f-]+)", record)[1]
+    return _member(record.replace(old, _uuid(old.decode(), number).encode(), 1))
 
-def info_record(file: str) -> bytes:
-    name = uuid.UUID(bytes=hashlib.sha256(file.encode()).digest()[:16], version=5)
-    return _record("warcinfo", str(name), [("WARC-Filename", file), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+
+def info_record(file: str, date: str = DATE) -> bytes:
+    return _record("warcinfo", _uuid(file), date, [("WARC-Filename", file), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
 
 
 def _members(whole: bool):
@@ -88,8 +98,8 @@ def _members(whole: bool):
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 rows = []
-                for page_id, url, html in zip(*(c.to_pylist() for c in part.columns)):
-                    record, payload, block = page_record(page_id, url, html)
+                for page_id, url, html, date in zip(*(c.to_pylist() for c in part.columns)):
+                    record, payload, block = page_record(page_id, url, html, date or DATE)
                     member = _member(record)
                     rows.append((url or "", _LOWEST if page_id is None else page_id, payload, len(member), page_id, url, block, member)[: len(names)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -122,14 +132,15 @@ def _writer(folder: str):
         system, root = _filesystem(folder)
         system.create_dir(root, recursive=True)
         name, stream, temporary, offset = None, None, "", 0
+        last, repetition = None, 0
 
         def close() -> None:
             stream.close()
             _replace(system, temporary, f"{root}/{name}")
 
         for batch in batches:
-            files, offsets = [], []
-            for number, member in zip(batch.column(0).to_pylist(), batch.column(6)):
+            files, offsets, sizes = [], [], []
+            for number, *key, member in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3)), batch.column(6)):
                 file = f"part-{number:06d}.warc.gz"
                 if file != name:
                     if stream:
@@ -141,22 +152,31 @@ def _writer(folder: str):
                     stream.write(info)
                     offset += len(info)
                 data = member.as_py()
+                repetition = repetition + 1 if key == last else 0
+                last = key
+                if repetition:
+                    data = _repeated(data, repetition)
                 stream.write(data)
+                sizes.append(len(data))
                 files.append(file)
                 offsets.append(offset)
                 offset += len(data)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(files), pa.array(offsets, pa.int64()), batch.column(5), batch.column(3), batch.column(4)], names=["page_id", "url", "file", "offset", "length", "payload_digest", "block_digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(files), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), batch.column(3), batch.column(4)], names=["page_id", "url", "file", "offset", "length", "payload_digest", "block_digest"])
         if stream:
             close()
 
     return go
 
 
-def write(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes the pages to ``folder`` (a new one in the shared folder if none is given) and returns an index: a row for each record."""
+def write(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES, date: Column | str = DATE) -> DataFrame:
+    """Writes the pages to ``folder`` (a new one in the shared folder if none is given) and returns an index: a row for each record.
+
+    date: the time of capture, one for all or a column of text or timestamps."""
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
-    pages = pages.select("page_id", "url", "html")
+    if not isinstance(date, str):
+        date = F.date_format(date.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    pages = pages.select("page_id", "url", "html", (F.lit(date) if isinstance(date, str) else date).alias("date"))
     keys = ["k_url", "k_page", "payload_digest"]
     sizes = pages.mapInArrow(_members(False), "k_url string, k_page long, payload_digest string, size long").groupBy(keys).agg(F.sum("size").alias("size")).repartitionByRange(*keys).sortWithinPartitions(*keys)
     sizes = sizes.withColumn("range", F.spark_partition_id())
@@ -179,7 +199,7 @@ def write(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BY
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *batch.columns], names=["number", *batch.schema.names])
 
     placed = pages.mapInArrow(assign, "number int, k_url string, k_page long, payload_digest string, size long, page_id long, url string, block_digest string, member binary")
-    ordered = placed.repartitionById(max(1, len(firsts)), F.col("number")).sortWithinPartitions("number", *keys)
+    ordered = placed.repartitionById(max(1, len(firsts)), F.col("number")).sortWithinPartitions("number", *keys, "member")
     index = materialize(ordered.select("number", "page_id", "url", "payload_digest", "block_digest", "size", "member").mapInArrow(_writer(folder), INDEX), "index")
     _commit(folder, index)
     return index

@@ -59,3 +59,22 @@ def test_edges(spark, tmp_path):
     assert warc.write(spark.createDataFrame([], SCHEMA), empty).count() == 0
     assert os.listdir(empty) == ["MANIFEST.jsonl"] or "MANIFEST.jsonl" in os.listdir(empty)
     assert warc.read(spark, empty).count() == 0
+
+
+def test_every_record_has_an_id_of_its_own_and_its_date(spark, tmp_path):
+    import gzip
+    import re
+
+    rows = [(1, "http://x", "same", "2020-01-02 03:04:05")] * 5 + [(1, "http://x", "same", "2021-01-01 00:00:00"), (2, "http://x", "other", None)] + [(None, None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, seen string")
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    index = warc.write(docs, one, 1 << 20, date=docs["seen"]).collect()
+    warc.write(docs.repartition(3), two, 1 << 20, date=docs["seen"])
+    assert files(one) == files(two)
+    data = open(os.path.join(one, index[0].file), "rb").read()
+    records = [gzip.decompress(data[r.offset : r.offset + r.length]).decode() for r in index]
+    ids = [re.search("WARC-Record-ID: <(.*)>", r)[1] for r in records]
+    assert len(set(ids)) == len(rows)
+    dates = sorted(re.search("WARC-Date: (.*)\r", r)[1] for r in records)
+    assert dates == sorted(["2020-01-02T03:04:05Z"] * 5 + ["2021-01-01T00:00:00Z"] + [warc.DATE] * 4)
+    assert all(r.intact for r in warc.read(spark, one).collect())
