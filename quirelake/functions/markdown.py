@@ -121,6 +121,11 @@ def _rows(source: str) -> list[tuple[int, str, int]]:
     return rows
 
 
+def line_texts(source: str) -> list[str]:
+    """The lines without their endings."""
+    return [text for _, text, _ in _rows(source)]
+
+
 class _Blocks:
     def __init__(self, source: str) -> None:
         self.source = source

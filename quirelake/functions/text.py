@@ -55,12 +55,12 @@ def is_numeric_address(address: Column) -> Column:
 def reserved_reading(address: Column) -> Column:
     """text, links, frontmatter or field for the reserved addresses, else null."""
     low = F.lower(address)
-    return F.when(low.isin("0", "text"), "text").when(low == "links", "links").when(low.isin("fm", "frontmatter"), "frontmatter").when(low.startswith("fm.") & (F.length(address) > 3), "field")
+    return F.when(low.isin("0", "text"), "text").when(low == "links", "links").when(low.isin("fm", "frontmatter"), "frontmatter").when(low.startswith("fm.") & (F.length(address) > 3) | low.startswith("frontmatter.") & (F.length(address) > 12), "field")
 
 
 def reserved_path(address: Column) -> Column:
     """The path of a field address, in its own case."""
-    return F.when(reserved_reading(address) == "field", address.substr(F.lit(4), F.length(address)))
+    return F.when(reserved_reading(address) == "field", F.regexp_replace(address, r"^[^.]*\.", ""))
 
 
 def truncate_heading(heading: Column) -> Column:

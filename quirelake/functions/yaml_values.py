@@ -9,7 +9,6 @@ import pyarrow as pa
 import yaml
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 class _Loader(yaml.SafeLoader):
@@ -41,30 +40,62 @@ def block_text(content: str) -> str | None:
     return None
 
 
+def _path(path: str) -> list[tuple[str, list[int]]]:
+    """The keys of a dotted path, each with the indices after it."""
+    out = []
+    for part in path.split("."):
+        key, bracket, rest = part.partition("[")
+        rest = bracket + rest
+        if not key:
+            raise KeyError(f"malformed path segment in '{path}': empty key")
+        indices = []
+        while rest:
+            if not rest.startswith("["):
+                raise KeyError(f"malformed index in '{path}': expected '['")
+            digits, close, after = rest[1:].partition("]")
+            if not close:
+                raise KeyError(f"malformed index in '{path}': unclosed '['")
+            if not re.fullmatch(r"[0-9]+", digits) or int(digits) >= 1 << 64:
+                raise KeyError(f"malformed index in '{path}': '[{digits}]' is not a number")
+            indices.append(int(digits))
+            rest = after
+        out.append((key, indices))
+    return out
+
+
 def value_at(root: object, path: str) -> object:
     """The value at ``a.b[0].c``; KeyError with a message if there's none."""
-    if not path:
-        raise KeyError("empty path")
     here = root
-    for part in path.split("."):
-        m = re.fullmatch(r"([^\[\]]*)((?:\[[0-9]+\])*)", part)
-        if not m or not part:
-            raise KeyError(f"malformed segment '{part}'")
-        if m[1]:
-            if not isinstance(here, dict):
-                raise KeyError(f"'{m[1]}': not a mapping")
-            if m[1] not in here:
-                raise KeyError(f"no field '{m[1]}'")
-            here = here[m[1]]
-        for i in map(int, re.findall(r"[0-9]+", m[2])):
+    for key, indices in _path(path):
+        if not isinstance(here, dict):
+            raise KeyError(f"'{path}': cannot read key '{key}' on a non-mapping value")
+        if key not in here:
+            raise KeyError(f"'{path}': key '{key}' not found")
+        here = here[key]
+        for i in indices:
             if not isinstance(here, list):
-                raise KeyError(f"'{part}': not a sequence")
+                raise KeyError(f"'{path}': cannot index '{key}[{i}]' into a non-sequence value")
             if i >= len(here):
-                raise KeyError(f"'{part}': index {i} out of range (len {len(here)})")
+                raise KeyError(f"'{path}': index {i} out of range for '{key}' (len {len(here)})")
             here = here[i]
     return here
 
 
+class _Dumper(yaml.SafeDumper):
+    yaml_implicit_resolvers = _Loader.yaml_implicit_resolvers
+
+
+def to_text(value: object) -> str:
+    """A scalar bare; a sequence or mapping as YAML in block style."""
+    if value is None:
+        return ""
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, (list, dict)):
+        return yaml.dump(value, Dumper=_Dumper, default_flow_style=False, sort_keys=False, allow_unicode=True, width=1 << 30).rstrip()
+    return str(value)
+
+
 def to_json(value: object) -> str:
     """JSON; a mapping with a key that isn't text is null."""
 
@@ -93,16 +124,28 @@ def display(value: object) -> str:
 
 def frontmatter_value(content: Column, path: str) -> Column:
     """The JSON of the value at ``path``; null without a closed block, with invalid YAML, or without the path."""
+    return frontmatter_lookup(content, path)["value"]
+
+
+def frontmatter_lookup(content: Column, path: str) -> Column:
+    """value (JSON), text, and error, which says why there's no value; all null for a null content."""
 
-    @F.arrow_udf(StringType())
+    @F.arrow_udf("value string, text string, error string")
     def go(texts: pa.Array) -> pa.Array:
-        out = []
+        rows = []
         for t in texts.to_pylist():
             block = None if t is None else block_text(t)
+            if block is None:
+                rows.append((None, None, None if t is None else "no frontmatter block"))
+                continue
             try:
-                out.append(None if block is None else to_json(value_at(load(block), path)))
-            except (KeyError, yaml.YAMLError):
-                out.append(None)
-        return pa.array(out, pa.string())
+                found = value_at(load(block), path)
+                rows.append((to_json(found), to_text(found), None))
+            except KeyError as e:
+                rows.append((None, None, e.args[0]))
+            except yaml.YAMLError as e:
+                rows.append((None, None, f"frontmatter is not valid YAML: {' '.join(str(e).split())}"))
+        columns = list(zip(*rows)) or [(), (), ()]
+        return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names=["value", "text", "error"])
 
     return go(content)

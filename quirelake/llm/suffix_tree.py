@@ -13,7 +13,8 @@ longest state that ends before it; a document's score is the mean negative log2
 How it runs. Documents are cut into chunks of about ``CHUNK`` bytes (whole documents; one at least), each kept as one
 compressed row. A chunk's (context, symbol) grams fit one integer, nearest byte first, so its distinct grams are a
 sorted array that compresses to little more than a byte each; it is cut by a hash of the three nearest bytes into as many
-buckets as the corpus needs for equal work. A bucket thus holds whole subtrees from depth 3 on. Arrays are merged
+buckets as the corpus needs for small tasks, up to ``MOST_BUCKETS`` (a large corpus has more chunks, not many more
+distinct grams). A bucket thus holds whole subtrees from depth 3 on. Arrays are merged
 ``FAN`` at a time, level by level, so a bucket that a third of all texts hit is never gathered in one task but
 as distinct grams. Then each bucket's tree answers the grams of ``FAN`` chunks a task, and the answers go back
 to the chunks. Nothing that grows with the corpus is broadcast or sent to the driver: only statistics of contexts of two bytes
@@ -38,7 +39,7 @@ from quirelake.llm import textscan
 from quirelake.session import materialize
 
 ORDER, START, LOW = 6, 0xFF, 2
-CHUNK, FAN, BUCKET_BYTES = 8 << 20, 64, 16 << 20
+CHUNK, FAN, BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 64, 4 << 20, 4096
 MIN_COUNT, DIVERGENCE, SMOOTHING = 50, 8.0, 4.0
 UNIT = 1024  # answers are rounded to 1 / UNIT bit
 CHUNKS = "chunk long, ids array<long>, sizes array<int>, chars array<int>, text binary, bucket int, grams binary, counts binary, n long"
@@ -56,13 +57,15 @@ def grams(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each byte of the texts laid end to end: the bytes before it in its text, the nearest highest, and lowest the byte itself."""
     size = np.maximum(sizes, 0)
     key = np.zeros(len(data), np.int64)
-    since = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-    edge = np.flatnonzero(since < ORDER)
+    near = np.arange(ORDER)
+    inside = near < size[:, None]
+    edge = ((np.cumsum(size) - size)[:, None] + near)[inside]
+    since = np.broadcast_to(near, inside.shape)[inside]
+    before = np.empty(len(data), np.uint8)
     for k in range(1, ORDER + 1):
         key <<= 8
-        before = np.empty(len(data), np.uint8)
         before[k:], before[:k] = data[: max(0, len(data) - k)], START
-        before[edge[since[edge] < k]] = START
+        before[edge[since < k]] = START
         key |= before
     key <<= 8
     key |= data
@@ -99,7 +102,8 @@ def _cut(buckets: int):
                 sizes = np.array([-1 if r is None else len(r) for r in raw], np.int64)
                 joined = b"".join(r or b"" for r in raw)
                 rows = [(chunk, ids[a:b], sizes.tolist(), [len(t or "") for t in texts[a:b]], pa.compress(joined, "zstd", asbytes=True), None, None, None, len(joined))]
-                key = np.sort(grams(np.frombuffer(joined, np.uint8), sizes))
+                key = grams(np.frombuffer(joined, np.uint8), sizes)
+                key.sort()
                 first, count = _runs(key)
                 key = key[first]
                 own = bucket_of(key, buckets)
@@ -205,7 +209,7 @@ def chunks(docs: DataFrame, buckets: int, name: str) -> DataFrame:
 
 def buckets_for(docs: DataFrame) -> int:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(8, -(-size // BUCKET_BYTES))
+    return min(MOST_BUCKETS, max(8, -(-size // BUCKET_BYTES)))
 
 
 def merged(cut: DataFrame) -> DataFrame:
@@ -253,12 +257,16 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, min_count: int = MIN
             order = np.argsort(gram)
             gram = gram[order]
             first, count = _runs(gram)
-            own = bucket_of(gram[first], buckets)
-            at, p = np.argsort(own, kind="stable"), np.zeros(len(first))
+            gram = gram[first]
+            own = bucket_of(gram, buckets)
+            at, units = np.argsort(own, kind="stable"), np.zeros(len(first), np.uint16)
             if len(at):
-                p[at] = np.concatenate([_unpack(*answered[b], np.uint16) for b in np.unique(own).tolist()]) / UNIT
-            doc = np.repeat(np.arange(len(size)), size)[order]
-            bits = np.bincount(doc, np.repeat(p, count), len(size)).astype(float)
+                units[at] = np.concatenate([_unpack(*answered[b], np.uint16) for b in np.unique(own).tolist()])
+            placed = np.empty(len(order), np.uint16)
+            placed[order] = np.repeat(units, count)
+            bits = np.zeros(len(size))
+            if len(full := np.flatnonzero(size)):
+                bits[full] = np.add.reduceat(placed, (np.cumsum(size) - size)[full], dtype=np.int64) / UNIT
             some = size > 0
             symbols = np.array(row["chars"], np.int64)
             parts.append(pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "symbols": pa.array(symbols), "bits": pa.array(bits), "bits_per_symbol": pa.array(np.where(some, bits / np.maximum(symbols, 1), 0), mask=~some)}))

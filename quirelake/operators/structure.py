@@ -22,24 +22,28 @@ from quirelake.operators import lines as L
 
 _L, _S, _B = pa.int64(), pa.string(), pa.bool_()
 HEADING = {"ord": _L, "level": _L, "setext": _B, "start_col": _L, "s_start": _L, "s_end": _L, "t_start": _L, "t_end": _L, "text": _S, "start_line": _L, "end_line": _L, "parent_ord": _L, "sec_end": _L, "section_end_line": _L, "address": _S, "last": _L, "tokens": _L, "strict_address": _S, "strict_last": _L, "strict_tokens": _L}
-NODE = {"node_id": _L, "parent_id": _L, "depth": _L, "type": _S, "s_start": _L, "s_end": _L, "start_line": _L, "end_line": _L, "fenced": _B, "fence_char": _S, "fence_length": _L, "info": _S, "body_start": _L, "body_end": _L, "ordered": _B, "tight": _B, "marker": _S, "list_start": _L, "task": _B, "header": _B}
-INLINE = {"ord": _L, "type": _S, "s_start": _L, "s_end": _L, "start_line": _L, "url": _S, "title": _S, "alias": _S, "embed": _B, "label": _S}
+NODE = {"node_id": _L, "parent_id": _L, "depth": _L, "type": _S, "s_start": _L, "s_end": _L, "start_line": _L, "end_line": _L, "fenced": _B, "fence_char": _S, "fence_length": _L, "info": _S, "body_start": _L, "body_end": _L, "ordered": _B, "tight": _B, "marker": _S, "list_start": _L, "task": _B, "header": _B, "info_start": _L, "info_end": _L, "kind": _S}
+INLINE = {"ord": _L, "type": _S, "s_start": _L, "s_end": _L, "start_line": _L, "url": _S, "title": _S, "alias": _S, "embed": _B, "label": _S, "sub_start": _L, "sub_end": _L}
 ANCHOR = {"ord": _L, "label": _S, "info": _S, "is_open": _B, "whole_line": _B, "a_start": _L, "a_end": _L, "line_start": _L, "line_end": _L, "line": _L}
+REGION = {"label": _S, "info": _S, "s_start": _L, "s_end": _L, "body_start": _L, "body_end": _L, "start_line": _L, "end_line": _L}
+DANGLING = {"kind": _S, "label": _S, "s_start": _L, "s_end": _L, "line": _L}
 _DOCUMENT = {"doc_id": _L, "bytes": _L, "line_count": _L, "body_start_line": _L, "body_start_byte": _L}
-ARRAYS = {"headings": HEADING, "nodes": NODE, "inlines": INLINE, "anchors": ANCHOR}
+ARRAYS = {"headings": HEADING, "nodes": NODE, "inlines": INLINE, "anchors": ANCHOR, "regions": REGION, "dangling": DANGLING}
+_ANCHORED = frozenset(("anchors", "regions", "dangling"))
 _ANCHOR = re.compile(r"<!--[ \t]*(/)?([A-Za-z][\w.-]*)(?:[ \t]*:[ \t]*([^\r\n]*?))?[ \t]*-->")
 
 
-def document_row(doc_id: int, content: str, want: Iterable[str] = tuple(ARRAYS)) -> tuple:
+def document_row(doc_id: int, content: str, want: Iterable[str] = ("headings", "nodes", "inlines", "anchors")) -> tuple:
     """doc_id and sizes of a document, and of each wanted array the list of its rows as tuples."""
     want = tuple(want)
-    p = parse(content, inlines="inlines" in want or "anchors" in want and "<!--" in content and "`" in content)
+    p = parse(content, inlines="inlines" in want or not _ANCHORED.isdisjoint(want) and "<!--" in content and "`" in content)
     m = p.byte_map()
     b = (lambda i: i) if m is None else m.__getitem__
     blocks = walk(p.root) if "headings" in want or "nodes" in want else []
     front, size = p.frontmatter, b(len(content))
     body_line = front[2] + 1 if front else 1
-    found = {"headings": _headings, "nodes": _nodes, "inlines": _inlines, "anchors": lambda p, b, *_: _anchors(p, b)}
+    anchors = [] if _ANCHORED.isdisjoint(want) else _anchors(p, b)
+    found = {"headings": _headings, "nodes": _nodes, "inlines": _inlines, "anchors": lambda *_: anchors, "regions": lambda *_: _pair(anchors)[0], "dangling": lambda *_: _pair(anchors)[1]}
     body_byte = (b(p.line_starts[front[2]]) if front[2] < len(p.line_starts) else size) if front else 0
     return (doc_id, size, len(p.line_starts) if content else 0, body_line, body_byte, *(found[a](p, b, blocks, body_line) for a in want))
 
@@ -120,9 +124,11 @@ def _nodes(p: Parsed, b, blocks: list, _: int) -> list[tuple]:
         if kind == "heading":
             continue
         ids[id(n)] = len(out) + 1
-        fenced = char = length = info = body_start = body_end = ordered = tight = marker = number = task = header = None
+        fenced = char = length = info = body_start = body_end = ordered = tight = marker = number = task = header = info_start = info_end = None
         if kind == "codeBlock":
             fenced, char, length, info = d["fenced"], d.get("char"), d.get("length"), d.get("info") or None
+            if info:
+                info_start, info_end = b(d["info_at"]), b(d["info_at"] + len(d["info"]))
             if n.lines:
                 body_start, body_end = b(n.lines[0][1]), b(n.lines[-1][1] + len(n.lines[-1][0]))
         elif kind == "list":
@@ -131,12 +137,17 @@ def _nodes(p: Parsed, b, blocks: list, _: int) -> list[tuple]:
             task = d["task"]
         elif kind == "tableRow":
             header = d["header"]
-        out.append((len(out) + 1, ids.get(id(n.parent)), depth, kind, b(n.start), b(n.end), line_of(n.start), line_of(max(n.start, n.end - 1)), fenced, char, length, info, body_start, body_end, ordered, tight, marker, number, task, header))
+        out.append((len(out) + 1, ids.get(id(n.parent)), depth, kind, b(n.start), b(n.end), line_of(n.start), line_of(max(n.start, n.end - 1)), fenced, char, length, info, body_start, body_end, ordered, tight, marker, number, task, header, info_start, info_end, None))
     return out
 
 
 def _inlines(p: Parsed, b, *_) -> list[tuple]:
-    return [(k, x.kind, b(x.start), b(x.end), p.line_of(x.start), x.data.get("url", x.data.get("target")), x.data.get("title"), x.data.get("alias"), x.data.get("embed"), x.data.get("label")) for k, x in enumerate(p.inlines, 1)]
+    out = []
+    for k, x in enumerate(p.inlines, 1):
+        d = x.data
+        sub = d.get("text_span") or d.get("alias_span")
+        out.append((k, x.kind, b(x.start), b(x.end), p.line_of(x.start), d.get("url", d.get("target")), d.get("title"), d.get("alias"), d.get("embed"), d.get("label"), b(sub[0]) if sub else None, b(sub[1]) if sub else None))
+    return out
 
 
 def _anchors(p: Parsed, b) -> list[tuple]:
@@ -158,9 +169,27 @@ def _anchors(p: Parsed, b) -> list[tuple]:
     return out
 
 
+def _pair(anchors: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """Regions and unpaired anchors: within a label a close takes the last open; labels may interleave."""
+    opens: dict[str, list[tuple]] = {}
+    found, left = [], []
+    for a in anchors:
+        _, label, info, is_open, whole, start, end, line_start, line_end, line = a
+        if is_open:
+            opens.setdefault(label, []).append(a)
+        elif own := opens.get(label):
+            o = own.pop()
+            found.append((label, o[2], o[7] if o[4] else o[5], line_end if whole else end, o[8] if o[4] else o[6], line_start if whole else start, o[9], line))
+        else:
+            left.append(("unpaired-close", label, start, end, line))
+    left += [("unpaired-open", label, a[5], a[6], a[9]) for label, own in opens.items() for a in own]
+    return sorted(found, key=lambda r: r[2:]), sorted(left, key=lambda d: d[2])
+
+
 def parsed(docs: DataFrame, *want: str) -> DataFrame:
-    """A row for each document with the wanted arrays (by default all of headings, nodes, inlines and anchors). Null content has no row."""
-    want = want or tuple(ARRAYS)
+    """A row for each document with the wanted arrays (by default headings, nodes, inlines and anchors), and, if wanted, ``content``. Null content has no row."""
+    text = "content" in want
+    want = tuple(w for w in want if w != "content") or ("headings", "nodes", "inlines", "anchors")
     sizes = list(_DOCUMENT.items())
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +198,11 @@ def parsed(docs: DataFrame, *want: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 rows = list(zip(*(document_row(i, c, want) for i, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist()))))
                 flat = [pa.array(c, t) for c, (_, t) in zip(rows, sizes)]
-                yield pa.RecordBatch.from_arrays([*flat, *(_list_array(c, ARRAYS[a]) for c, a in zip(rows[len(sizes) :], want))], names=[*_DOCUMENT, *want])
+                arrays = [_list_array(c, ARRAYS[a]) for c, a in zip(rows[len(sizes) :], want)]
+                yield pa.RecordBatch.from_arrays([*flat, *arrays, *[part.column(1)] * text], names=[*_DOCUMENT, *want, *["content"] * text])
 
     names = {_L: "bigint", _S: "string", _B: "boolean"}
-    schema = [f"{n} {names[t]}" for n, t in sizes] + [f"{a} array<struct<{', '.join(f'{n}: {names[t]}' for n, t in ARRAYS[a].items())}>>" for a in want]
+    schema = [f"{n} {names[t]}" for n, t in sizes] + [f"{a} array<struct<{', '.join(f'{n}: {names[t]}' for n, t in ARRAYS[a].items())}>>" for a in want] + ["content string"] * text
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "content").where("content is not null").mapInArrow(go, ", ".join(schema))
 
 
@@ -225,9 +255,11 @@ def resolve(outline_: DataFrame, address: str) -> DataFrame:
 
 
 def shadows(outline_: DataFrame) -> DataFrame:
-    """Headings whose slug is a reserved reading: doc_id, reading, address, heading in reading order."""
+    """Headings whose slug is a reserved reading: doc_id, ord, reading, address, heading. ``ord`` counts a document's in reading order (text, frontmatter, links), and within one in document order."""
     reading = F.when(F.col("slug") == "text", "text").when(F.col("slug").isin("fm", "frontmatter"), "frontmatter").when(F.col("slug") == "links", "links")
-    return outline_.select("doc_id", reading.alias("reading"), "address", "heading").where("reading is not null")
+    found = outline_.withColumn("reading", reading).where("reading is not null")
+    rank = F.when(F.col("reading") == "text", 0).when(F.col("reading") == "frontmatter", 1).otherwise(2)
+    return found.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(rank, "start_line")).cast("long").alias("ord"), "reading", "address", "heading")
 
 
 def links(p: DataFrame, wikilinks_only: bool = False) -> DataFrame:
@@ -239,7 +271,11 @@ def links(p: DataFrame, wikilinks_only: bool = False) -> DataFrame:
 
 
 def regions(p: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Regions, and dangling anchors: within a document and label a close takes the last open; labels may interleave."""
+    """Regions, and dangling anchors: within a document and label a close takes the last open; labels may interleave.
+
+    Arrays of them in ``p`` are taken as they are; a table of anchors alone is paired by windows."""
+    if "regions" in p.columns and "dangling" in p.columns:
+        return _explode(p, "regions"), _explode(p, "dangling")
     a = _explode(p, "anchors").withColumn("k", F.when(F.col("is_open"), 1).otherwise(-1))
     w = Window.partitionBy("doc_id", "label").orderBy("a_start")
     a = a.withColumn("s", F.sum("k").over(w))
@@ -278,7 +314,7 @@ def gaps(docs: DataFrame, p: DataFrame) -> DataFrame:
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("content", "UTF-8").alias("raw"))
     text = F.decode(F.expr("substring(raw, cast(a + 1 as int), cast(b - a as int))"), "UTF-8")
     found = spans.join(raw, "doc_id").select("doc_id", F.col("a").alias("g_start"), F.col("b").alias("g_end"), text.alias("text"))
-    return found.where(~F.col("text").rlike(r"\A[\s\x{FEFF}]*\z"))
+    return found.where(~F.col("text").rlike(r"\A\x{FEFF}?[ \t\r\n]*\z"))
 
 
 def _text_lines(docs: DataFrame) -> DataFrame:
@@ -314,6 +350,6 @@ def unfold(docs: DataFrame, outline_: DataFrame, address: str, depth: int | None
     own_end = F.when(F.col("next") <= F.col("end_line"), F.col("next") - 1).otherwise(F.col("end_line"))
     prose = F.array_join(F.slice("all", F.col("start_line").cast("int"), (own_end - F.col("start_line") + 1).cast("int")), "\n")
     ended = F.when((prose == "") | prose.endswith("\n"), prose).otherwise(F.concat(prose, F.lit("\n")))
-    line = F.concat(T.tree_line(F.lit(True), F.col("address"), F.col("heading"), F.col("line"), F.col("lines"), F.col("tokens")), F.lit("\n"))
+    line = F.concat(T.tree_line(F.coalesce(F.col("next") <= F.col("end_line"), F.lit(False)), F.col("address"), F.col("heading"), F.col("line"), F.col("lines"), F.col("tokens")), F.lit("\n"))
     parts = shown.join(_text_lines(docs), "doc_id").select("doc_id", "start_line", F.when(F.col("folded"), line).otherwise(ended).alias("part"))
     return parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "part"))), lambda x: x["part"]), "").alias("content"))

@@ -15,7 +15,9 @@ from pyspark.sql.window import Window
 
 from quirelake.operators import formatting as FO
 from quirelake.operators import lines as L
+from quirelake.operators import reader as R
 from quirelake.operators import structure as M
+from quirelake.operators import validate as V
 from quirelake.session import materialize, table
 
 
@@ -108,11 +110,11 @@ def code_blocks(spark, sf_dir):
 
 
 def regions_pairs(spark, sf_dir):
-    return M.regions(_parsed(spark, sf_dir, "anchors"))[0].select("doc_id", "label", "info", "start_line", "end_line", (F.col("body_end") - F.col("body_start")).alias("body_bytes"))
+    return M.regions(_parsed(spark, sf_dir, "regions", "dangling"))[0].select("doc_id", "label", "info", "start_line", "end_line", (F.col("body_end") - F.col("body_start")).alias("body_bytes"))
 
 
 def regions_dangling(spark, sf_dir):
-    return M.regions(_parsed(spark, sf_dir, "anchors"))[1].select("doc_id", "kind", "label", "line")
+    return M.regions(_parsed(spark, sf_dir, "regions", "dangling"))[1].select("doc_id", "kind", "label", "line")
 
 
 def verify_tiling(spark, sf_dir):
@@ -153,6 +155,74 @@ def unfold_depth(spark, sf_dir):
     return M.unfold(docs, found, "1", depth=1).select("doc_id", F.sha2(F.encode("content", "UTF-8"), 256).alias("sha256"))
 
 
+def read_overview(spark, sf_dir):
+    """The overview of every document, as the reader prints it."""
+    got = R.read(corpus(spark, sf_dir))
+    return got.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), F.length("text").cast("long").alias("chars"))
+
+
+def read_section(spark, sf_dir):
+    """Section 1.2, or why a document has none."""
+    got = R.read(corpus(spark, sf_dir), "1.02")
+    return got.select("doc_id", F.get_json_object("json", "$.heading").alias("heading"), F.get_json_object("json", "$.lines").cast("long").alias("lines"), F.get_json_object("json", "$.tokens").cast("long").alias("tokens"), F.get_json_object("json", "$.children[0].heading").alias("child"), "error")
+
+
+def read_slug(spark, sf_dir):
+    got = R.read(corpus(spark, sf_dir), "Line 6")
+    return got.select("doc_id", F.get_json_object("json", "$.address").alias("address"), "error")
+
+
+def read_links(spark, sf_dir):
+    """The links as text, with a note where a heading answers to the same word."""
+    got = R.read(corpus(spark, sf_dir), "links")
+    return got.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), "note")
+
+
+def read_frontmatter(spark, sf_dir):
+    got = R.read(corpus(spark, sf_dir), "fm")
+    return got.select("doc_id", "text", F.get_json_object("json", "$.fields[1].value").alias("second"))
+
+
+def read_value(spark, sf_dir):
+    got = R.read(corpus(spark, sf_dir), "frontmatter.priority")
+    return got.select("doc_id", "text", "error")
+
+
+def read_value_missing(spark, sf_dir):
+    return R.read(corpus(spark, sf_dir), "fm.title[0]").select("doc_id", "reading", "error")
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed documents with some spans spoiled, by doc_id."""
+    p = M.parsed(corpus(spark, sf_dir), *V.WANT)
+
+    def spoil(p: DataFrame, kind: int, array: str, test, name: str, value) -> DataFrame:
+        spoiled = F.transform(array, lambda x: F.when(test(x), x.withField(name, value(x))).otherwise(x))
+        return p.withColumn(array, F.when(F.col("doc_id") % 6 == kind, spoiled).otherwise(F.col(array)))
+
+    p = spoil(p, 1, "inlines", lambda x: x["type"] == "link", "s_end", lambda x: x["s_end"] - 1)
+    p = spoil(p, 2, "nodes", lambda x: x["type"] == "codeBlock", "body_end", lambda x: x["s_end"] + 1)
+    p = spoil(p, 3, "nodes", lambda x: (x["type"] == "paragraph") & (x["start_line"] == 6), "type", lambda x: F.lit("unknown"))
+    p = spoil(p, 4, "headings", lambda x: x["level"] == 1, "s_end", lambda x: x["s_end"] + 3)
+    return spoil(p, 5, "inlines", lambda x: x["type"] == "strong", "s_end", lambda x: x["s_end"] + 100_000)
+
+
+def verify_damaged(spark, sf_dir):
+    """Violations found in spoiled parses, by check."""
+    return V.violations(_damaged(spark, sf_dir)).groupBy("stage", "rule", "subject").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+def check_summary(spark, sf_dir):
+    """The verdict over the corpus when some parses are spoiled."""
+    return V.summary(V.verify(_damaged(spark, sf_dir)))
+
+
+def check_region(spark, sf_dir):
+    """Unpaired anchors with a label."""
+    p = M.parsed(corpus(spark, sf_dir), "regions", "dangling")
+    return V.dangling(p, ["part", "other"]).groupBy("kind", "label").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
+
+
 _C = """
     i as (select l_orderkey as doc_id, l_partkey as pk, l_quantity as q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as r from lineitem where l_orderkey in (select o_orderkey from orders)),
     d as (select doc_id, max(r) as c from i group by doc_id)
@@ -165,8 +235,22 @@ _OUTLINE = f"""{_C},
     )
 """
 
+#: Characters of each item's section, a line feed for each line counted.
+_SIZED = f"""{_OUTLINE},
+    e as (select doc_id, r, pk, q, 8 + length(r::varchar) + (1 - r % 2) + 1
+        + length('Part [p' || pk || '](http://x.example/' || pk || ') and [[Part ' || pk || '|alias ' || r || ']] **bold** <!-- part: ' || r || ' --> body' || case when r % 4 = 0 then '' else ' <!-- /part -->' end) + 1
+        + 1 + 7 + length('# not a heading ' || r) + 1 + 4 + 1 + length('* item ' || r) + 1 + 1 as n, length('| ' || pk || ' | ' || q::int || ' |') + 1 as t from i),
+    z as (select doc_id, sum(n) as n, sum(t) as t from e group by doc_id),
+    s as (
+        select doc_id, '1' as address, ((length('# Order ' || doc_id) + 2 + n + t + 38 - 1) // 4)::bigint as tokens, true as more from z
+        union all select a.doc_id, case when a.r % 2 = 1 then '1.' || ((a.r + 1) // 2) else '1.' || (a.r // 2) || '.1' end, ((a.n + case when a.r % 2 = 1 then coalesce(b.n, 0) else 0 end - 1) // 4)::bigint, a.r % 2 = 1 and b.n is not null from e a left join e b on a.doc_id = b.doc_id and b.r = a.r + 1
+        union all select d.doc_id, '1.' || ((c + 1) // 2 + 1), ((t + 38 - 1) // 4)::bigint, false from d join z using (doc_id)
+    ),
+    os as (select o.*, s.tokens, s.more, end_line - line + 1 as lines from o join s using (doc_id, address))
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (md_outline, md_outline_tokens, md_outline_tokens_all, md_heading_sections, section_lookup_numeric, section_lookup_slug, shadow_headings, links_all, links_wikilinks, fm_fields, fm_body_start, coverage_stats, code_blocks, regions_pairs, regions_dangling, verify_tiling, format_all, format_check, format_check_all, partition_report, lede, unfold_depth)
+    f.__name__: f for f in (md_outline, md_outline_tokens, md_outline_tokens_all, md_heading_sections, section_lookup_numeric, section_lookup_slug, shadow_headings, links_all, links_wikilinks, fm_fields, fm_body_start, coverage_stats, code_blocks, regions_pairs, regions_dangling, verify_tiling, format_all, format_check, format_check_all, partition_report, lede, unfold_depth, read_overview, read_section, read_slug, read_links, read_frontmatter, read_value, read_value_missing, verify_damaged, check_summary, check_region)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -180,7 +264,7 @@ ORACLE_SQL: dict[str, str] = {
     "md_heading_sections": f"with {_C} select doc_id, (c + 2)::bigint as n, (c + 1)::bigint as with_parent, (12 + 10 * c)::bigint as last_line, 2::bigint as to_the_end from d",
     "section_lookup_numeric": f"with {_OUTLINE} select doc_id, heading, line::bigint as line, end_line::bigint as end_line from o where address = '1.1.1'",
     "section_lookup_slug": f"with {_OUTLINE} select doc_id, address, line::bigint as line, 1::bigint as candidates from o where heading = 'Line 3'",
-    "shadow_headings": f"with {_OUTLINE} select doc_id, 'links' as reading, address, heading from o where heading = 'Links'",
+    "shadow_headings": f"with {_OUTLINE} select doc_id, 1::bigint as ord, 'links' as reading, address, heading from o where heading = 'Links'",
     "links_all": f"with {_C} select doc_id, 'link' as kind, 'http://x.example/' || pk as target, 'p' || pk as alias, (2 + 9 * r)::bigint as line from i union all select doc_id, 'wikilink', 'Part ' || pk, 'alias ' || r, (2 + 9 * r)::bigint from i",
     "links_wikilinks": f"with {_C} select doc_id, c::bigint as n from d",
     "fm_fields": f"with {_C} select doc_id, k as key, case k when 'title' then 'Order ' || doc_id when 'status' then o_orderstatus else o_orderpriority end as value, line::bigint as line from d join orders on o_orderkey = doc_id cross join (values ('title', 2), ('status', 3), ('priority', 4)) as f(k, line)",
@@ -204,6 +288,27 @@ ORACLE_SQL: dict[str, str] = {
     "lede": f"with {_C} select doc_id, 6::bigint as line, 7::bigint as end_line, 2::bigint as lines, ((length('Intro for order ' || doc_id || '.') + 1) // 4)::bigint as tokens from d",
     "unfold_depth": f"""with {_C},
         p as (select doc_id, r, 'Part [p' || pk || '](http://x.example/' || pk || ') and [[Part ' || pk || '|alias ' || r || ']] **bold** <!-- part: ' || r || ' --> body' || case when r % 4 = 0 then '' else ' <!-- /part -->' end || chr(10) || chr(10) || '```sql' || chr(10) || '# not a heading ' || r || chr(10) || '```' || chr(10) || chr(10) || '* item ' || r || chr(10) as tail, '| ' || pk || ' | ' || q::int || ' |' || chr(10) as line from i),
-        t as (select doc_id, string_agg(case when r % 2 = 1 then '## Line ' || r || chr(10) || tail else '+     ' || rpad('1.' || (r // 2) || '.1', 6, ' ') || ' ' || rpad('Line ' || r, 14, ' ') || ' L' || (1 + 9 * r) || '   9 lines · ~' || ((length('### Line ' || r) + 1 + length(tail)) // 4) || ' tok' || chr(10) end, '' order by r) as sections, string_agg(line, '' order by r) as body from p group by doc_id)
+        t as (select doc_id, string_agg(case when r % 2 = 1 then '## Line ' || r || chr(10) || tail else '      ' || rpad('1.' || (r // 2) || '.1', 6, ' ') || ' ' || rpad('Line ' || r, 14, ' ') || ' L' || (1 + 9 * r) || '   9 lines · ~' || ((length('### Line ' || r) + 1 + length(tail)) // 4) || ' tok' || chr(10) end, '' order by r) as sections, string_agg(line, '' order by r) as body from p group by doc_id)
         select doc_id, sha256('# Order ' || doc_id || chr(10) || sections || case when doc_id % 3 = 0 then '## Links' else '## Table' end || chr(10) || '| part | qty |' || chr(10) || '| --- | --- |' || chr(10) || body) as sha256 from t""",
+    "read_overview": f"""with {_SIZED},
+        t as (select doc_id, string_agg(case when more then '+ ' else '  ' end || repeat('  ', (length(address) - length(replace(address, '.', '')))::int) || rpad(address, greatest(6, length(address))::int, ' ') || ' ' || rpad(heading, greatest(14, length(heading))::int, ' ') || ' L' || line || '   ' || lines || ' lines · ~' || tokens || ' tok' || chr(10), '' order by line) as tree from os group by doc_id),
+        v as (select doc_id, doc_id || chr(10) || 'fields: title, status, priority' || chr(10) || 'links: ' || 2 * c || chr(10) || chr(10) || '  [0]  (text)        L6   2 lines · ~' || ((length('Intro for order ' || doc_id || '.') + 1) // 4) || ' tok' || chr(10) || tree || chr(10)
+            || 'next: <addr> a section · fm frontmatter (fm.<path> one value) · links outgoing links' || chr(10) || case when doc_id % 3 = 0 then 'note: ''Links'' (1.' || ((c + 1) // 2 + 1) || ') also answers to a reserved address; reach it by number' || chr(10) else '' end as text from t join d using (doc_id))
+        select doc_id, sha256(text) as sha256, length(text)::bigint as chars from v""",
+    "read_section": f"with {_SIZED} select d.doc_id, a.heading, a.lines::bigint as lines, a.tokens, b.heading as child, case when a.doc_id is null then 'Address ''1.02'' out of range' end as error from d left join os a on a.doc_id = d.doc_id and a.address = '1.2' left join os b on b.doc_id = d.doc_id and b.address = '1.2.1'",
+    "read_slug": f"with {_OUTLINE} select d.doc_id, o.address, case when o.doc_id is null then 'No heading matches slug ''line-6''' end as error from d left join o on o.doc_id = d.doc_id and o.heading = 'Line 6'",
+    "read_links": f"""with {_C},
+        t as (select doc_id, string_agg('  L' || rpad((2 + 9 * r)::varchar, greatest(5, length((2 + 9 * r)::varchar))::int, ' ') || ' link       http://x.example/' || pk || ' -> p' || pk || chr(10) || '  L' || rpad((2 + 9 * r)::varchar, greatest(5, length((2 + 9 * r)::varchar))::int, ' ') || ' wikilink   Part ' || pk || ' -> alias ' || r || chr(10), '' order by r) as shown from i group by doc_id)
+        select doc_id, sha256('links  (outgoing)   ' || 2 * c || ' links' || chr(10) || chr(10) || shown) as sha256, case when doc_id % 3 = 0 then 'heading ''Links'' (1.' || ((c + 1) // 2 + 1) || ') also answers to ''links''' end as note from t join d using (doc_id)""",
+    "read_frontmatter": f"with {_C} select doc_id, 'fm  (frontmatter)   L2   3 lines' || chr(10) || chr(10) || 'title: Order ' || doc_id || chr(10) || 'status: ' || o_orderstatus || chr(10) || 'priority: ' || o_orderpriority || chr(10) as text, o_orderstatus as second from d join orders on o_orderkey = doc_id",
+    "read_value": f"with {_C} select doc_id, o_orderpriority || chr(10) as text, null::varchar as error from d join orders on o_orderkey = doc_id",
+    "read_value_missing": f"with {_C} select doc_id, null::varchar as reading, '''title[0]'': cannot index ''title[0]'' into a non-sequence value; top-level fields: title, status, priority' as error from d",
+    "verify_damaged": f"""with {_C}
+        select 'inline' as stage, 'grammar' as rule, 'link' as subject, sum(c)::bigint as n, count(*) as docs from d where doc_id % 6 = 1
+        union all select 'node', 'nesting', 'body', sum(c)::bigint, count(*) from d where doc_id % 6 = 2
+        union all select 'unknown', 'untyped', 'unknown', count(*), count(*) from d where doc_id % 6 = 3
+        union all select 'tiling', 'overlap', 'block', count(*), count(*) from d where doc_id % 6 = 4
+        union all select 'inline', 'slice', 'strong', sum(c)::bigint, count(*) from d where doc_id % 6 = 5""",
+    "check_summary": f"with {_C} select count(*) filter (doc_id % 6 = 0) as files_ok, count(*) as files_checked, 4::bigint as code from d",
+    "check_region": f"with {_C} select 'unpaired-open' as kind, 'part' as label, count(*) as n, sum(2 + 9 * r)::bigint as lines from i where r % 4 = 0",
 }

@@ -45,7 +45,7 @@ def test_yaml_values(spark):
     root = Y.load(Y.block_text(text))
     assert (root["title"], root["day"], root["n"], root["flag"]) == ("yes", "2026-01-01", 3, True)
     assert Y.value_at(root, "list[1].b") == 1.5 and Y.display(root["list"]) == "a, b: 1.5"
-    for path, why in (("list[9]", "len 2"), ("none", "no field"), ("n.x", "not a mapping"), ("n[0]", "not a sequence"), ("", "empty"), ("a..b", "no field|malformed")):
+    for path, why in (("list[9]", "len 2"), ("none", "key 'none' not found"), ("n.x", "key 'x' on a non-mapping"), ("n[0]", "non-sequence"), ("", "empty key"), (".b", "empty key"), ("n[", "unclosed"), ("n[x]", "not a number"), ("n[0]x", "expected")):
         with pytest.raises(KeyError, match=why):
             Y.value_at(root, path)
     assert Y.to_json({1: 2}) == "null"
