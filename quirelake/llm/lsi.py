@@ -11,6 +11,7 @@
 4. Search: every passage is projected and compared with every item by cosine; from ``COSINE`` on the
    pair is a candidate. Nothing limits the number of candidates; those whose words around the passage,
    taken as a bag, can't reach ``PARAPHRASE`` are dropped before the next step, which changes no result.
+   An item that stands in a document word for word is found without the latent space, whatever its length.
 5. Checks: the longest common subsequence of the item and the words around the passage, weighted by
    idf, must cover ``COVERAGE`` of the item; from ``PARAPHRASE`` on it is enough that the item's
    answer (the rare words of its last sentence, or of its second half if it has one sentence) is
@@ -41,6 +42,8 @@ RANK, EXTRA = 256, 16
 COSINE = 0.3
 COVERAGE, PARAPHRASE, ANSWER = 0.6, 0.4, 0.8
 SEED = 5
+HEAD = 4  # words by which verbatim places are looked up
+HEAD_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 MAX_ITEM_WORDS = 20_000_000
 SCHEMA = "doc_id long, item_id long, cosine double, coverage double, answer double, word_start long"
 
@@ -211,6 +214,11 @@ def right_singular_vectors(sketch: np.ndarray, omega: np.ndarray, rank: int) ->
     return u[:, :rank][:, keep]
 
 
+def _head(words: list[np.ndarray]) -> np.ndarray:
+    """A hash of the words at each place; ``words`` holds the first of all places, then the second."""
+    return np.add.reduce([w.astype(np.uint64) * f for w, f in zip(words, HEAD_FACTORS)])
+
+
 @dataclass
 class Index:
     items: Items
@@ -222,7 +230,7 @@ class Index:
 
     def match(self, ids: list, words: np.ndarray, bounds: np.ndarray, cosine: float, coverage: float, paraphrase: float, answer: float) -> Iterator[tuple]:
         first, passage, word, value = _matrix(words, bounds, self.idf)
-        if not len(first) or not len(self.usable):
+        if not len(first):
             return
         if self.keys is None:
             self.prepare()
@@ -233,7 +241,7 @@ class Index:
         row_of = np.full(int(base[-1]) + 1, -1)
         row_of[number] = np.arange(len(first))
         best: dict[tuple[int, int], tuple] = {}
-        step = max(64, (1 << 21) // len(self.usable))
+        step = max(64, (1 << 21) // max(1, len(self.usable)))
         ends = np.r_[first, len(word)]
         for x in range(0, len(first), step):
             y = min(x + step, len(first))
@@ -255,9 +263,35 @@ class Index:
                 found = (cover, hit, c, -start)
                 if found > best.get((d, k), (-1.0,)):
                     best[d, k] = found
+        for d, k, place in self.verbatim(words, bounds):
+            if best.get((d, k), (0.0,))[0] >= 1 - 1e-9:
+                continue
+            j = min(place // STRIDE, int(n[d]) - 1)
+            x = int(row_of[base[d] + j])
+            c = 0.0
+            if x >= 0 and len(at := np.flatnonzero(self.usable == k)):
+                s, e = ends[x], ends[x + 1]
+                z = _project(np.zeros(1, np.int64), word[s:e], value[s:e], self.basis)[0]
+                c = float(z @ self.vectors[at[0]] / max(np.linalg.norm(z), 1e-9))
+            best[d, k] = (1.0, 1.0, c, -j * STRIDE)
         for (d, k), (cover, hit, c, start) in sorted(best.items()):
             yield ids[d], self.items.ids[k], c, cover, hit, -start
 
+    def verbatim(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Document, item and the item's first word in the document, for each place where an item stands word for word."""
+        padded = np.concatenate([words, np.zeros(HEAD, words.dtype)])
+        places = np.flatnonzero(self.begins[words])
+        for size, (heads, items) in self.heads.items():
+            key = _head([padded[places + j] for j in range(size)])
+            low, high = np.searchsorted(heads, key), np.searchsorted(heads, key, side="right")
+            for i in np.flatnonzero(high > low).tolist():
+                place = int(places[i])
+                d = int(np.searchsorted(bounds, place, side="right")) - 1
+                for k in items[low[i] : high[i]].tolist():
+                    item = self.items.words[k]
+                    if place + len(item) <= bounds[d + 1] and np.array_equal(words[place : place + len(item)], item):
+                        yield d, k, place - int(bounds[d])
+
     def prepare(self) -> None:
         """Item and word as one sorted key, the weight of each, and by item the weight of stop words and of all words."""
         size = len(self.idf)
@@ -273,6 +307,14 @@ class Index:
             weights.append(self.idf[word] * n)
         self.keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         self.key_weights = np.concatenate(weights) if weights else np.zeros(0)
+        self.begins = np.zeros(size + 1, bool)
+        by_size: dict[int, list[tuple[int, int]]] = {}
+        for k, item in enumerate(self.items.words):
+            if len(item):
+                self.begins[item[0]] = True
+                head = min(HEAD, len(item))
+                by_size.setdefault(head, []).append((int(_head(list(item[:head, None]))[0]), k))
+        self.heads = {n: (np.array([h for h, _ in sorted(found)], np.uint64), np.array([k for _, k in sorted(found)])) for n, found in by_size.items()}
 
     def bound(self, row: np.ndarray, item: np.ndarray, number: np.ndarray, of: np.ndarray, base: np.ndarray, row_of: np.ndarray, ends: np.ndarray, word: np.ndarray) -> np.ndarray:
         """At least the coverage of each pair: words of the passages around, whatever their order and number, and all stop words."""

@@ -115,3 +115,13 @@ def test_item_copied_into_many_documents_is_found_in_all(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in lsi.contamination(d, b).collect()}
     assert {(i, 3) for i, _ in docs if i % 2} <= got
+
+
+def test_verbatim_items_of_every_length_are_found(spark):
+    rng = random.Random(9)
+    items = [(n, sentence(rng, n)) for n in range(1, 25)]
+    others = [(100 + i, sentence(rng, 300)) for i in range(60)]
+    docs = others + [(n, f"{sentence(rng, 150)} {t} {sentence(rng, 150)}") for n, t in items]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in lsi.contamination(d, b).collect()}
+    assert {(i, n) for i, text in docs for n, t in items if f" {t} " in f" {text} "} <= got
