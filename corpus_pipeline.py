@@ -1,6 +1,12 @@
 """The corpus pipeline: documents through five stages to a training mixture.
 
 Each stage takes (spark, docs, sf_dir) and is written as Parquet and read again as the next one's docs.
+
+Defined results. The first four stages keep all columns, whatever their names; the last adds pool, epoch and
+tokens, which take the place of columns so named. A null, empty or wordless text has no language and goes at the first stage; texts
+are read whole. Rows with a null doc_id are judged by language and toxicity like others; near-dedup and decontamination, which
+decide by doc_id, keep them. Repeated rows get one verdict; near-dedup keeps one of a doc_id, and of a
+group the smallest doc_id. Empty tables give empty results with the same columns.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, pool, epoch, tokens of the selected passes."""
+    """The documents' columns and pool, epoch, tokens: a row for each selected pass."""
     return mixing.mix(docs)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,13 +28,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset a local master gets a temporary one, removed at exit; a cluster gets an error, since its machines share no local folder."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
         sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         have = getattr(sc, "_quirelake_dir", None)
         if not have:
-            have = "file://" + tempfile.mkdtemp(prefix="quirelake-")
+            made = tempfile.mkdtemp(prefix="quirelake-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            have = "file://" + made
             sc._quirelake_dir = have
             sc.setCheckpointDir(have)
     return have.rstrip("/")
@@ -51,6 +57,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove what this application materialised. Results that aren't written yet can't be computed after that."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quirelake/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers import this package when the driver found it through ``sys.path`` only."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
