@@ -42,6 +42,7 @@ RANK, EXTRA = 256, 16
 COSINE = 0.3
 COVERAGE, PARAPHRASE, ANSWER = 0.6, 0.4, 0.8
 SEED = 5
+BLOCK_CELLS = 1 << 24  # words x items of a block of items that is searched at once
 HEAD = 4  # words by which verbatim places are looked up
 HEAD_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 MAX_ITEM_WORDS = 20_000_000
@@ -150,41 +151,71 @@ def _matrix(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray) -> tuple[np.
     return first, passage, word, value
 
 
-def _project(first: np.ndarray, word: np.ndarray, value: np.ndarray, basis: np.ndarray, most: int = 1 << 17) -> np.ndarray:
-    """The rows' products with the basis: the t-th entries of all rows at once, rows with more entries first."""
+def _split(first: np.ndarray, word: np.ndarray, value: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' values of the ``common`` words as a dense matrix, and first, word and value of the others; ``common`` gives a word's column or -1."""
+    column = common[word]
+    row = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(word)]))
+    dense = np.zeros((len(first), int(common.max(initial=-1)) + 1), np.float32)
+    often = column >= 0
+    dense[row[often], column[often]] = value[often]
+    rest = np.r_[0, np.cumsum(np.bincount(row[~often], minlength=len(first)))]
+    return dense, rest, word[~often], value[~often]
+
+
+def _project(first: np.ndarray, word: np.ndarray, value: np.ndarray, basis: np.ndarray, common: np.ndarray, most: int = 1 << 14) -> np.ndarray:
+    """The rows' products with the basis: common words, which make most entries, by a dense product, the t-th of the other entries of all rows at once, rows with more entries first."""
     out = np.zeros((len(first), basis.shape[1]), np.float32)
     ends = np.r_[first, len(word)]
-    step = max(1, most // 8)
-    for a in range(0, len(first), step):
-        begin, count = ends[a : a + step], np.diff(ends[a : a + step + 1])
-        begin = begin[: len(count)]
+    often = basis[np.argsort(common, kind="stable")[len(common) - int(common.max(initial=-1)) - 1 :]]
+    for a in range(0, len(first), most):
+        s, e = ends[a], ends[min(a + most, len(first))]
+        dense, rest, w, v = _split(first[a : a + most] - s, word[s:e], value[s:e], common)
+        count = np.diff(rest)
         order = np.argsort(-count, kind="stable")
-        begin, falling = begin[order], -count[order]
+        begin, falling = rest[:-1][order], -count[order]
         part = np.zeros((len(count), basis.shape[1]), np.float32)
         for t in range(int(count.max(initial=0))):
             m = int(np.searchsorted(falling, -t))
             at = begin[:m] + t
-            part[:m] += basis[word[at]] * value[at, None]
+            part[:m] += basis[w[at]] * v[at, None]
         out[a + order] = part
+        if dense.shape[1]:
+            out[a : a + len(count)] += dense @ often
+    return out
+
+
+def common_words(df: np.ndarray, most: int = 512) -> np.ndarray:
+    """The column of each of the most frequent words, -1 for the others: which of two ways adds up a word's entries."""
+    out = np.full(len(df), -1)
+    top = np.sort(np.argsort(-df, kind="stable")[:most])
+    out[top] = np.arange(len(top))
     return out
 
 
 def _sketch(shared, kind: type):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, omega = shared.value
+        idf, omega, common = shared.value
         total = np.zeros(omega.shape)
+        columns = np.flatnonzero(common >= 0)
         for _, words, bounds in _documents(batches, kind):
             first, _, word, value = _matrix(words, bounds, idf)
             if not len(first):
                 continue
-            y = _project(first, word, value, omega)
-            row = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(word)]))
-            order = np.argsort(word, kind="stable")
-            own = word[order]
-            start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            row, weight = row[order], value[order]
-            for w, s, e in zip(own[start].tolist(), start.tolist(), [*start[1:].tolist(), len(own)]):
-                total[w] += weight[s:e] @ y[row[s:e]]
+            y = _project(first, word, value, omega, common)
+            step = 1 << 14
+            ends = np.r_[first, len(word)]
+            for a in range(0, len(first), step):
+                s, e = ends[a], ends[min(a + step, len(first))]
+                dense, rest, w, v = _split(first[a : a + step] - s, word[s:e], value[s:e], common)
+                near = y[a : a + step]
+                total[columns] += dense.T @ near
+                row = np.repeat(np.arange(len(near)), np.diff(rest))
+                order = np.argsort(w, kind="stable")
+                own = w[order]
+                start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+                row, weight = row[order], v[order]
+                for x, i, j in zip(own[start].tolist(), start.tolist(), [*start[1:].tolist(), len(own)]):
+                    total[x] += weight[i:j] @ near[row[i:j]]
         at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([r.tobytes() for r in total[at].astype(np.float32)], pa.binary())], names=["word", "row"])
 
@@ -226,13 +257,16 @@ class Index:
     basis: np.ndarray
     vectors: np.ndarray
     usable: np.ndarray
-    keys: np.ndarray | None = None
+    common: np.ndarray
+    weights: list[np.ndarray] | None = None
+    shares: np.ndarray | None = None
+    since: int = -1
 
     def match(self, ids: list, words: np.ndarray, bounds: np.ndarray, cosine: float, coverage: float, paraphrase: float, answer: float) -> Iterator[tuple]:
         first, passage, word, value = _matrix(words, bounds, self.idf)
         if not len(first):
             return
-        if self.keys is None:
+        if self.weights is None:
             self.prepare()
         number = passage[first]
         n = passages(np.diff(bounds))
@@ -241,28 +275,42 @@ class Index:
         row_of = np.full(int(base[-1]) + 1, -1)
         row_of[number] = np.arange(len(first))
         best: dict[tuple[int, int], tuple] = {}
-        step = max(64, (1 << 21) // max(1, len(self.usable)))
         ends = np.r_[first, len(word)]
-        for x in range(0, len(first), step):
-            y = min(x + step, len(first))
-            s, e = ends[x], ends[y]
-            z = _project(first[x:y] - s, word[s:e], value[s:e], self.basis)
-            z /= np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
-            cos = z @ self.vectors.T
-            row, col = np.nonzero(cos >= cosine)
-            near = cos[row, col]
-            row, item = row + x, self.usable[col]
-            able = self.bound(row, item, number, of, base, row_of, ends, word) >= paraphrase - 1e-9
-            for r, k, c in zip(row[able].tolist(), item[able].tolist(), near[able].tolist()):
-                d = int(of[r])
-                start = (int(number[r]) - int(base[d])) * STRIDE
-                more = len(self.items.words[k])
-                cover, hit = self.coverage(k, words[bounds[d] + max(0, start - more) : min(bounds[d] + start + WINDOW + more, bounds[d + 1])])
-                if cover < paraphrase or cover < coverage and hit < answer:
+        reach = int(self.wide.max(initial=0))
+        wide = max(1, BLOCK_CELLS // max(1, len(self.idf)))
+        for since in range(0, len(self.items.words), wide):
+            mine = slice(*np.searchsorted(self.usable, [since, since + wide]))
+            self.block(since, wide)
+            step = max(64, (1 << 21) // max(1, mine.stop - mine.start))
+            for x in range(0, len(first), step):
+                y = min(x + step, len(first))
+                # the rows around belong to the bounds of these
+                low, high = np.searchsorted(number, [number[x] - reach, number[y - 1] + reach + 1])
+                s, e = ends[low], ends[high]
+                near_first, near_word = first[low:high] - s, word[s:e]
+                z = _project(first[x:y] - ends[x], word[ends[x] : ends[y]], value[ends[x] : ends[y]], self.basis, self.common)
+                z /= np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
+                cos = z @ self.vectors[mine].T
+                row, col = np.nonzero(cos >= cosine)
+                near = cos[row, col]
+                row, item = row + x, self.usable[mine][col]
+                if not len(row):
                     continue
-                found = (cover, hit, c, -start)
-                if found > best.get((d, k), (-1.0,)):
-                    best[d, k] = found
+                held = _project(near_first, near_word, np.ones(len(near_word), np.float32), self.shares, self.common)
+                able = np.flatnonzero(self.bound(row, item, number, of, base, row_of, held, low) >= paraphrase - 1e-5)
+                row, item, near = row[able], item[able], near[able]
+                d = of[row]
+                start = (number[row] - base[d]) * STRIDE
+                more = self.sizes[item]
+                begin, end = bounds[d] + np.maximum(0, start - more), np.minimum(bounds[d] + start + WINDOW + more, bounds[d + 1])
+                fit = np.flatnonzero(self.covers(item, words, begin, end, paraphrase) >= paraphrase - 1e-9)
+                for r, k, c, d, a, b, start in zip(row[fit].tolist(), item[fit].tolist(), near[fit].tolist(), d[fit].tolist(), begin[fit].tolist(), end[fit].tolist(), start[fit].tolist()):
+                    cover, hit = self.coverage(k, words[a:b])
+                    if cover < paraphrase or cover < coverage and hit < answer:
+                        continue
+                    found = (cover, hit, c, -start)
+                    if found > best.get((d, k), (-1.0,)):
+                        best[d, k] = found
         for d, k, place in self.verbatim(words, bounds):
             if best.get((d, k), (0.0,))[0] >= 1 - 1e-9:
                 continue
@@ -271,12 +319,22 @@ class Index:
             c = 0.0
             if x >= 0 and len(at := np.flatnonzero(self.usable == k)):
                 s, e = ends[x], ends[x + 1]
-                z = _project(np.zeros(1, np.int64), word[s:e], value[s:e], self.basis)[0]
+                z = _project(np.zeros(1, np.int64), word[s:e], value[s:e], self.basis, self.common)[0]
                 c = float(z @ self.vectors[at[0]] / max(np.linalg.norm(z), 1e-9))
             best[d, k] = (1.0, 1.0, c, -j * STRIDE)
         for (d, k), (cover, hit, c, start) in sorted(best.items()):
             yield ids[d], self.items.ids[k], c, cover, hit, -start
 
+    def block(self, since: int, wide: int) -> None:
+        """Of the items from ``since`` on: the share of weight that each word has."""
+        if self.since == since:
+            return
+        words = self.items.words[since : since + wide]
+        self.shares = np.zeros((len(self.idf), len(words)), np.float32)
+        for k, item in enumerate(words):
+            np.add.at(self.shares[:, k], item - 1, self.weights[since + k] / self.whole[since + k])
+        self.since = since
+
     def verbatim(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Document, item and the item's first word in the document, for each place where an item stands word for word."""
         padded = np.concatenate([words, np.zeros(HEAD, words.dtype)])
@@ -293,20 +351,13 @@ class Index:
                         yield d, k, place - int(bounds[d])
 
     def prepare(self) -> None:
-        """Item and word as one sorted key, the weight of each, and by item the weight of stop words and of all words."""
+        """Of each item: number of words and their weights; and the tables of verbatim places."""
         size = len(self.idf)
-        keys, weights, self.stops, self.whole = [], [], np.zeros(len(self.items.words)), np.ones(len(self.items.words))
-        self.wide = np.zeros(len(self.items.words), np.int64)
-        for k, item in enumerate(self.items.words):
-            weight = self.weight(item)
-            rare = self.idf[item - 1] > 0
-            self.stops[k], self.whole[k] = weight[~rare].sum(), weight.sum() or 1.0
-            self.wide[k] = -(-len(item) // WINDOW) * 2
-            word, n = np.unique(item[rare] - 1, return_counts=True)
-            keys.append(k * size + word)
-            weights.append(self.idf[word] * n)
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        self.key_weights = np.concatenate(weights) if weights else np.zeros(0)
+        self.sizes = np.array([len(w) for w in self.items.words], np.int64)
+        self.wide = -(-self.sizes // WINDOW) * 2
+        self.weights = [self.weight(w) for w in self.items.words]
+        self.whole = np.array([w.sum() or 1.0 for w in self.weights])
+        self.never = np.array([w[self.idf[item - 1] <= 0].sum() for w, item in zip(self.weights, self.items.words)]) / self.whole
         self.begins = np.zeros(size + 1, bool)
         by_size: dict[int, list[tuple[int, int]]] = {}
         for k, item in enumerate(self.items.words):
@@ -316,31 +367,61 @@ class Index:
                 by_size.setdefault(head, []).append((int(_head(list(item[:head, None]))[0]), k))
         self.heads = {n: (np.array([h for h, _ in sorted(found)], np.uint64), np.array([k for _, k in sorted(found)])) for n, found in by_size.items()}
 
-    def bound(self, row: np.ndarray, item: np.ndarray, number: np.ndarray, of: np.ndarray, base: np.ndarray, row_of: np.ndarray, ends: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """At least the coverage of each pair: words of the passages around, whatever their order and number, and all stop words."""
-        total = self.stops[item].copy()
+    def bound(self, row: np.ndarray, item: np.ndarray, number: np.ndarray, of: np.ndarray, base: np.ndarray, row_of: np.ndarray, held: np.ndarray, low: int) -> np.ndarray:
+        """At least the coverage of each pair: words of the passages around, whatever their order and number. ``held`` has the share of each item whose words a passage holds, from row ``low`` on."""
+        total = self.never[item].copy()
         reach = int(self.wide[item].max(initial=0))
+        wide, own, begin, end = self.wide[item], number[row], base[of[row]], base[of[row] + 1]
         for offset in range(-reach, reach + 1, 2):
-            at = number[row] + offset
-            # the last passages of a document may begin within the reach without lying a whole step off
-            inside = (np.abs(offset) <= self.wide[item]) & (at >= base[of[row]]) & (at < base[of[row] + 1])
-            if offset > 0:
-                at = np.minimum(at, base[of[row] + 1] - 1)
-                inside = (offset <= self.wide[item]) & (at > number[row])
-            if offset < 0:
-                at = np.maximum(at, base[of[row]])
-                inside = (-offset <= self.wide[item]) & (at < number[row])
-            pair = np.flatnonzero(inside)
+            # the first and last passages of a document may begin within the reach without lying a whole step off
+            at = np.clip(own + offset, begin, end - 1)
+            pair = np.flatnonzero((abs(offset) <= wide) & ((offset == 0) | (at != own)))
             r = row_of[at[pair]]
             pair, r = pair[r >= 0], r[r >= 0]
-            count = ends[r + 1] - ends[r]
-            which = np.repeat(np.arange(len(pair)), count)
-            place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + ends[r][which]
-            key = item[pair][which] * len(self.idf) + word[place]
-            k = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-            hit = self.keys[k] == key if len(self.keys) else np.zeros(len(key), bool)
-            total += np.bincount(pair[which[hit]], self.key_weights[k[hit]], len(row))
-        return total / self.whole[item]
+            total[pair] += held[r - low, item[pair] - self.since]
+        return total
+
+    def covers(self, item: np.ndarray, words: np.ndarray, begin: np.ndarray, end: np.ndarray, least: float, most: int = 1 << 21) -> np.ndarray:
+        """The coverage of each item in words[begin:end], all pairs of a step at once; 0 where the words' numbers alone keep it below ``least``."""
+        out = np.zeros(len(item))
+        runs = np.cumsum(end - begin) // most
+        for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(runs)) + 1) if len(item) else []:
+            size = (end - begin)[part]
+            pair = np.repeat(np.arange(len(part)), size)
+            text = words[np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[part], size)].astype(np.int64)
+            # only the item's own words can match
+            own = np.flatnonzero(text)
+            own = own[self.shares[text[own] - 1, item[part][pair[own]] - self.since] > 0]
+            pair, text = pair[own], text[own]
+            key, first, count = np.unique(pair * (len(self.idf) + 1) + text, return_index=True, return_counts=True)
+            which, number = pair[first], text[first]
+            share, one = self.shares[number - 1, item[part][which] - self.since], self.weight(number) / self.whole[item[part][which]]
+            fit = np.flatnonzero(np.bincount(which, np.minimum(share, count * one), len(part)) >= least - 1e-5)
+            count = np.bincount(pair, minlength=len(part))
+            start = np.cumsum(count) - count
+            fit = fit[np.argsort(self.sizes[item[part][fit]] * 4096 + count[fit], kind="stable")]
+            most_pairs = max(1, (1 << 17) // max(1, int((self.sizes[item[part][fit]] + count[fit]).max(initial=1))))
+            for x in range(0, len(fit), most_pairs):
+                some = fit[x : x + most_pairs]
+                out[part[some]] = self._common(item[part][some], text, start[some], count[some])
+        return out
+
+    def _common(self, item: np.ndarray, text: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Weighted share of each item in a heaviest common subsequence with text[start : start + count]."""
+        place = np.arange(int(count.max(initial=0)))
+        held = place < count[:, None]
+        texts = np.where(held, text[np.minimum(start[:, None] + place, len(text) - 1)], 0)
+        best = np.zeros((len(item), len(place) + 1))
+        rows = int(self.sizes[item].max(initial=0))
+        wanted, weight = np.full((len(item), rows), -1), np.zeros((len(item), rows))
+        for k in np.unique(item).tolist():
+            mine = item == k
+            wanted[mine, : self.sizes[k]], weight[mine, : self.sizes[k]] = self.items.words[k], self.weights[k]
+        for i in range(rows):
+            take = np.where(texts == wanted[:, i, None], best[:, :-1] + weight[:, i, None], 0)
+            np.maximum(take, best[:, 1:], out=take)
+            np.maximum.accumulate(take, axis=1, out=best[:, 1:])
+        return best[:, -1] / self.whole[item]
 
     def coverage(self, k: int, text: np.ndarray) -> tuple[float, float]:
         """Weighted share of the item, and of its answer, in a heaviest common subsequence."""
@@ -388,7 +469,8 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> tuple[Inde
     encoded = encoded.where("not counts").select("doc_id", "words")
     idf = np.where(df > 0, np.log1p(max(1, total) / np.maximum(df, 1)), 0.0)
     omega = np.random.default_rng(SEED).standard_normal((size, min(size, rank + EXTRA)))
-    pair = spark.sparkContext.broadcast((idf, omega.astype(np.float32)))
+    common = common_words(df)
+    pair = spark.sparkContext.broadcast((idf, omega.astype(np.float32), common))
     sketch = np.zeros(omega.shape)
     if size and idf.any():
         rows = encoded.select("doc_id", "words").mapInArrow(_sketch(pair, kind), "word int, row binary")
@@ -404,7 +486,7 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> tuple[Inde
         if (norm := np.linalg.norm(v)) > 1e-9:
             vectors.append(v / norm)
             usable.append(k)
-    return Index(items, idf, basis, np.array(vectors, np.float32).reshape(len(usable), basis.shape[1]), np.array(usable, np.int64)), encoded
+    return Index(items, idf, basis, np.array(vectors, np.float32).reshape(len(usable), basis.shape[1]), np.array(usable, np.int64), common), encoded
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, coverage: float = COVERAGE, paraphrase: float = PARAPHRASE, answer: float = ANSWER, rank: int = RANK) -> DataFrame:

@@ -66,8 +66,9 @@ def test_bag_bound_never_below_coverage():
     passage, word, _, base = lsi.incidence(numbers, words.bounds)
     df = np.bincount(word, minlength=n)
     idf = np.where((df > 0) & (df <= 60), np.log1p(base[-1] / np.maximum(df, 1)), 0.0)
-    index = lsi.Index(table, idf, np.zeros((n, 1), np.float32), np.zeros((0, 1)), np.arange(0))
+    index = lsi.Index(table, idf, np.zeros((n, 1), np.float32), np.zeros((0, 1)), np.arange(0), lsi.common_words(df, 40))
     index.prepare()
+    index.block(0, len(items))
     first, passage, word, _ = lsi._matrix(numbers, words.bounds, idf)
     number, ends = passage[first], np.r_[first, len(word)]
     of = np.searchsorted(base, number, side="right") - 1
@@ -75,12 +76,15 @@ def test_bag_bound_never_below_coverage():
     row_of[number] = np.arange(len(first))
     rng = np.random.default_rng(0)
     row, item = rng.integers(0, len(first), 400), rng.integers(0, len(items), 400)
-    bound = index.bound(row, item, number, of, base, row_of, ends, word)
+    held = lsi._project(first, word, np.ones(len(word), np.float32), index.shares, index.common)
+    assert np.allclose(held, lsi._project(first, word, np.ones(len(word), np.float32), index.shares, lsi.common_words(df, 0)), atol=1e-5)
+    bound = index.bound(row, item, number, of, base, row_of, held, 0)
     for r, k, b in zip(row, item, bound):
         d = of[r]
         start, more = (number[r] - base[d]) * lsi.STRIDE, len(table.words[k])
         text = numbers[words.bounds[d] + max(0, start - more) : min(words.bounds[d] + start + lsi.WINDOW + more, words.bounds[d + 1])]
-        assert index.coverage(int(k), text)[0] <= b + 1e-9
+        assert index.coverage(int(k), text)[0] <= b + 1e-5
+        assert np.isclose(index.covers(np.array([k]), text, np.array([0]), np.array([len(text)]), 0.0)[0], index.coverage(int(k), text)[0])
 
 
 def test_singular_vectors_equal_exact_ones():
@@ -117,6 +121,19 @@ def test_item_copied_into_many_documents_is_found_in_all(spark):
     assert {(i, 3) for i, _ in docs if i % 2} <= got
 
 
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    docs, items, _ = fixture(7)
+    index, encoded = lsi.build(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = encoded.toArrow().to_batches()
+
+    def found():
+        return sorted((i, k, round(c, 6), round(h, 6), s) for own in lsi._documents(iter(rows), np.uint16) for i, k, _, c, h, s in index.match(*own, lsi.COSINE, lsi.COVERAGE, lsi.PARAPHRASE, lsi.ANSWER))
+
+    whole = found()
+    monkeypatch.setattr(lsi, "BLOCK_CELLS", 3 * len(index.idf))
+    assert whole and found() == whole
+
+
 def test_verbatim_items_of_every_length_are_found(spark):
     rng = random.Random(9)
     items = [(n, sentence(rng, n)) for n in range(1, 25)]
