@@ -194,7 +194,6 @@ def common_words(df: np.ndarray, most: int = 512) -> np.ndarray:
 
 def _sketch(shared, kind: type):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        textscan.one_thread()
         idf, omega, common = shared.value
         total = np.zeros(omega.shape)
         columns = np.flatnonzero(common >= 0)
@@ -497,7 +496,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     kind = np.uint16 if len(index.items.vocabulary) < 65_535 else np.uint32
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        textscan.one_thread()
         for ids, words, bounds in _documents(batches, kind):
             rows = list(shared.value.match(ids, words, bounds, cosine, coverage, paraphrase, answer))
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]

@@ -8,10 +8,6 @@ UTF-8 bytes alone. Null texts have no words.
 
 from __future__ import annotations
 
-import ctypes
-import functools
-import glob
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -123,14 +119,3 @@ def groups(texts: list[str | None], limit: int = 2 * BLOCK) -> Iterator[tuple[in
         size += n
     if at < len(texts):
         yield at, len(texts)
-
-
-@functools.cache
-def one_thread() -> None:
-    """A task has a core of its own, so its products shall start no threads: where numpy brings OpenBLAS, that is told."""
-    for path in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
-        lib = ctypes.CDLL(path)
-        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
-            if hasattr(lib, name):
-                getattr(lib, name)(1)
-                break
