@@ -58,10 +58,6 @@ def md_outline(spark, sf_dir):
 
 
 def md_outline_tokens(spark, sf_dir):
-    return _outline(spark, sf_dir).where("address = '1'").select("doc_id", "lines", "tokens")
-
-
-def md_outline_tokens_all(spark, sf_dir):
     """Every section's size, the nested ones' too."""
     return _outline(spark, sf_dir).select("doc_id", "address", "lines", "tokens")
 
@@ -130,12 +126,7 @@ def format_all(spark, sf_dir):
 
 
 def format_check(spark, sf_dir):
-    found = FO.check(corpus(spark, sf_dir), ("endings", "gaps", "markers"))
-    return found.groupBy("doc_id", "rule", "kind").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
-
-
-def format_check_all(spark, sf_dir):
-    """All rules, that of tables too."""
+    """Findings of all rules."""
     found = FO.check(corpus(spark, sf_dir))
     return found.groupBy("doc_id", "rule", "kind").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
 
@@ -250,17 +241,12 @@ _SIZED = f"""{_OUTLINE},
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (md_outline, md_outline_tokens, md_outline_tokens_all, md_heading_sections, section_lookup_numeric, section_lookup_slug, shadow_headings, links_all, links_wikilinks, fm_fields, fm_body_start, coverage_stats, code_blocks, regions_pairs, regions_dangling, verify_tiling, format_all, format_check, format_check_all, partition_report, lede, unfold_depth, read_overview, read_section, read_slug, read_links, read_frontmatter, read_value, read_value_missing, verify_damaged, check_summary, check_region)
+    f.__name__: f for f in (md_outline, md_outline_tokens, md_heading_sections, section_lookup_numeric, section_lookup_slug, shadow_headings, links_all, links_wikilinks, fm_fields, fm_body_start, coverage_stats, code_blocks, regions_pairs, regions_dangling, verify_tiling, format_all, format_check, partition_report, lede, unfold_depth, read_overview, read_section, read_slug, read_links, read_frontmatter, read_value, read_value_missing, verify_damaged, check_summary, check_region)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "md_outline": f"with {_OUTLINE} select doc_id, address, heading, lower(replace(heading, ' ', '-')) as slug, level::bigint as level, line::bigint as line, end_line::bigint as end_line, (end_line - line + 1)::bigint as lines from o",
-    "md_outline_tokens": f"""with {_C},
-        s as (select doc_id, sum(8 + length(r::varchar) + (1 - r % 2 + 0) + 1
-            + length('Part [p' || pk || '](http://x.example/' || pk || ') and [[Part ' || pk || '|alias ' || r || ']] **bold** <!-- part: ' || r || ' --> body' || case when r % 4 = 0 then '' else ' <!-- /part -->' end) + 1
-            + 1 + 7 + length('# not a heading ' || r) + 1 + 4 + 1 + length('* item ' || r) + 1 + 1
-            + length('| ' || pk || ' | ' || q::int || ' |') + 1) as n from i group by doc_id)
-        select d.doc_id, (5 + 10 * c)::bigint as lines, ((length('# Order ' || d.doc_id) + 1 + 1 + n + 9 + 15 + 14 - 1) // 4)::bigint as tokens from d join s using (doc_id)""",
+    "md_outline_tokens": f"with {_SIZED} select doc_id, address, lines::bigint as lines, tokens from os",
     "md_heading_sections": f"with {_C} select doc_id, (c + 2)::bigint as n, (c + 1)::bigint as with_parent, (12 + 10 * c)::bigint as last_line, 2::bigint as to_the_end from d",
     "section_lookup_numeric": f"with {_OUTLINE} select doc_id, heading, line::bigint as line, end_line::bigint as end_line from o where address = '1.1.1'",
     "section_lookup_slug": f"with {_OUTLINE} select doc_id, address, line::bigint as line, 1::bigint as candidates from o where heading = 'Line 3'",
@@ -283,7 +269,16 @@ ORACLE_SQL: dict[str, str] = {
             from i join w using (doc_id) group by doc_id)
         select doc_id, sha256('---' || chr(10) || 'title: Order ' || doc_id || chr(10) || 'status: ' || o_orderstatus || chr(10) || 'priority: ' || o_orderpriority || chr(10) || '---' || chr(10) || chr(10) || 'Intro for order ' || doc_id || '.' || chr(10) || chr(10) || '# Order ' || doc_id || chr(10) || chr(10) || sections || case when doc_id % 3 = 0 then '## Links' else '## Table' end || chr(10) || chr(10) || '| ' || rpad('part', w::int, ' ') || ' | qty |' || chr(10) || '| ' || repeat('-', w::int) || ' | --- |' || chr(10) || body) as sha256,
         true as changed, 0::bigint as declined from t join orders on o_orderkey = doc_id""",
-    "format_check": f"with {_C} select doc_id, 'gaps' as rule, 'departure' as kind, (c + 2)::bigint as n, 5::bigint as first_line, (10 + 9 * c)::bigint as last_line from d union all select doc_id, 'markers', 'departure', c::bigint, 17::bigint, (8 + 9 * c)::bigint from d",
+    "format_check": f"""with {_C},
+        w as (select doc_id, greatest(4, max(length(pk::varchar))) as w from i group by doc_id),
+        t as (
+            select doc_id, 11 + 9 * c as line from w join d using (doc_id) where w > 4
+            union all select doc_id, 12 + 9 * c from d
+            union all select i.doc_id, 12 + 9 * c + r from i join w using (doc_id) join d using (doc_id) where length(pk::varchar) < w
+        )
+        select doc_id, 'gaps' as rule, 'departure' as kind, (c + 2)::bigint as n, 5::bigint as first_line, (10 + 9 * c)::bigint as last_line from d
+        union all select doc_id, 'markers', 'departure', c::bigint, 17::bigint, (8 + 9 * c)::bigint from d
+        union all select doc_id, 'tables', 'departure', count(*), min(line)::bigint, max(line)::bigint from t group by doc_id""",
     "partition_report": f"with {_C} select count(*) as docs, count(*) as ok, sum(5 + 4 * c)::bigint as blocks, 0::bigint as uncovered from d",
     "lede": f"with {_C} select doc_id, 6::bigint as line, 7::bigint as end_line, 2::bigint as lines, ((length('Intro for order ' || doc_id || '.') + 1) // 4)::bigint as tokens from d",
     "unfold_depth": f"""with {_C},

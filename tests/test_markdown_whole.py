@@ -5,7 +5,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_document_has_its_table_findings(spark):
     docs = {r.doc_id: r.content for r in Q.corpus(spark, SF).collect()}
-    got = Q.QUERIES["format_check_all"](spark, SF).where("rule = 'tables' and kind = 'departure'").collect()
+    got = Q.QUERIES["format_check"](spark, SF).where("rule = 'tables' and kind = 'departure'").collect()
     assert {r.doc_id for r in got} == set(docs)
     for r in got:
         lines = docs[r.doc_id].split("\n")
@@ -14,7 +14,7 @@ def test_every_document_has_its_table_findings(spark):
 
 def test_tokens_of_every_section(spark):
     docs = {r.doc_id: r.content.split("\n") for r in Q.corpus(spark, SF).collect()}
-    sizes = {(r.doc_id, r.address): (r.lines, r.tokens) for r in Q.QUERIES["md_outline_tokens_all"](spark, SF).collect()}
+    sizes = {(r.doc_id, r.address): (r.lines, r.tokens) for r in Q.QUERIES["md_outline_tokens"](spark, SF).collect()}
     places = Q.QUERIES["md_outline"](spark, SF).collect()
     assert len(sizes) == len(places) and any("." in r.address for r in places)
     for r in places:
