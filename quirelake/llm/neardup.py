@@ -9,9 +9,11 @@ fingerprints within ``radius`` lie within ``radius // 8`` in at least one block,
 are searched in the metric space of each block, where that small radius lets a vantage-point
 tree prune. The trees are built from exact block histograms of all fingerprints. Every
 fingerprint goes to the leaf shard holding it and visits each shard across whose boundary the
-triangle inequality can't exclude a partner; within a shard the tree goes on in memory. Pairs
-found are checked on all 128 bits: the search is exact. Shards return spanning forests, and
-star contraction joins them to groups, so groups of thousands of copies cost no quadratic output.
+triangle inequality can't exclude a partner. Shards are also cut by number of words, into bands
+so wide that partners within RATIO lie in one band or in neighbours. Within a shard each block value
+is looked up with all values within ``radius // 8``. Pairs found are checked on all 128 bits: the search is exact.
+Shards return spanning forests, and star contraction joins them to groups, so groups of thousands
+of copies cost no quadratic output.
 
 Defined results: a null doc_id or null text is in no group. A text without words has a
 fingerprint of its own characters, so only its exact copies match. Rows repeating a doc_id are one
@@ -37,7 +39,10 @@ BLOCKS = 8
 RADIUS = 23
 RATIO = 0.8
 SHARD_ROWS = 32_768
+BAND_ROWS = 65_536
 MIN_DEPTH = 3
+HOME, UPPER = 1, 2
+ROW = np.dtype([("doc_id", "<i8"), ("hi", "<u8"), ("lo", "<u8"), ("size", "<i4"), ("role", "u1")])
 _U = np.uint64
 _LANES = [(word, 16 * k) for word in (0, 1) for k in range(4)]
 
@@ -141,38 +146,72 @@ def _expand(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which, np.arange(len(which)) - first[which] + start[which]
 
 
-def _route(trees: list[Tree]):
+def size_bands(levels: list[tuple[int, int]], band_rows: int) -> np.ndarray:
+    """The smallest size of each band but the first, from the smallest size and the number of fingerprints of each level. A band has about ``band_rows`` or more, and is so wide that only neighbouring bands hold sizes within RATIO."""
+    edges: list[int] = []
+    held = 0
+    for size, n in sorted(levels):
+        if held >= band_rows and (not edges or size * RATIO >= edges[-1]):
+            edges.append(size)
+            held = 0
+        held += n
+    return np.array(edges, np.int64)
+
+
+def _shards(trees: list[Tree], edges: np.ndarray):
+    """The shards of fingerprints: of each block the home leaf and those visited, once as the lower of two neighbouring bands, once as the upper."""
+    base = np.cumsum([0] + [t.leaves for t in trees])
+
+    def route(doc: np.ndarray, hi: np.ndarray, lo: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        band = np.searchsorted(edges, size, side="right")
+        for k, v in enumerate(_block_values(hi, lo)):
+            t = trees[k]
+            which, at = _expand(t.offsets[v], t.offsets[v.astype(np.int64) + 1] - t.offsets[v])
+            below = np.flatnonzero(band[which] > 0)
+            shard = np.concatenate([band[which], band[which[below]] - 1]) * int(base[-1]) + np.concatenate([t.leaf[at], t.leaf[at[below]]]) + int(base[k])
+            role = np.concatenate([t.home[at] * HOME, t.home[at[below]] * HOME + UPPER]).astype(np.uint8)
+            order = np.argsort(shard, kind="stable")
+            shard, which = shard[order], np.concatenate([which, which[below]])[order]
+            rows = np.empty(len(order), ROW)
+            for name, column in (("doc_id", doc), ("hi", hi), ("lo", lo), ("size", size)):
+                rows[name] = column[which]
+            rows["role"] = role[order]
+            starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(shard)]):
+                yield int(shard[i]), k, rows[i:j].tobytes()
+
+    return route
+
+
+def _route(trees: list[Tree], edges: np.ndarray, at_once: int = 1 << 15):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = np.cumsum([0] + [t.leaves for t in trees])
+        route = _shards(trees, edges)
+
+        def sent(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4)]
+            out: list[tuple[int, int, bytes]] = []
+            bytes_held = 0
+            for row in route(columns[0], columns[1].view(np.uint64), columns[2].view(np.uint64), columns[3]):
+                out.append(row)
+                bytes_held += len(row[2])
+                if bytes_held > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["shard", "block", "rows"])
+                    out, bytes_held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["shard", "block", "rows"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            doc, hi, lo, size = (batch.column(i).to_numpy() for i in range(4))
-            for k, v in enumerate(_block_values(hi.view(np.uint64), lo.view(np.uint64))):
-                t = trees[k]
-                which, at = _expand(t.offsets[v], t.offsets[v.astype(np.int64) + 1] - t.offsets[v])
-                yield pa.RecordBatch.from_arrays([pa.array((t.leaf[at] + base[k]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(t.home[at]), pa.array(doc[which]), pa.array(hi[which]), pa.array(lo[which]), pa.array(size[which])], names=["shard", "block", "home", "doc_id", "hi", "lo", "size"])
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= at_once:
+                yield from sent(held)
+                held = []
+        if any(b.num_rows for b in held):
+            yield from sent(held)
 
     return go
 
 
-def _value_pairs(home: np.ndarray, others: np.ndarray, radius: int, out: list) -> None:
-    """Pairs of values within the radius, going on with the vantage-point tree until brute force is cheap."""
-    if len(home) * len(others) <= 1 << 19 or len(home) < 8:
-        for a in range(0, len(home), 4096):
-            for b in range(0, len(others), 4096):
-                i, j = np.nonzero(np.bitwise_count(home[a : a + 4096, None] ^ others[None, b : b + 4096]) <= radius)
-                out.append((home[a + i], others[b + j]))
-        return
-    v, m = _split(home, np.ones(len(home)))
-    dh, do = _distance(v, home), _distance(v, others)
-    if (dh <= m).all() or not (dh <= m).any():
-        half = len(home) // 2
-        _value_pairs(home[:half], others, radius, out)
-        _value_pairs(home[half:], others, radius, out)
-        return
-    _value_pairs(home[dh <= m], others[do <= m + radius], radius, out)
-    _value_pairs(home[dh > m], others[do > m - radius], radius, out)
-
-
 def _cuts(work: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Ranges whose work adds up to about ``most``, or one element."""
     if not len(work):
@@ -197,45 +236,74 @@ def _components(n: int, edges: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.nd
     return label
 
 
-def shard_pairs(block: int, home: np.ndarray, hi: np.ndarray, lo: np.ndarray, size: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius of a shard, each at least once; arrays are sorted by (block value, home last)."""
+def _close(block: int, own: np.ndarray, others: np.ndarray, hi: np.ndarray, lo: np.ndarray, size: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius, one of ``own`` and one of ``others``, whose values of the block are within radius // BLOCKS: each value with the ball of values around it."""
     w, s = _LANES[block]
-    value = (((hi, lo)[w] >> _U(s)) & _U(0xFFFF)).astype(np.uint16)
-    own, n_own = np.unique(value[home], return_counts=True)
-    every, first, n = np.unique(value, return_index=True, return_counts=True)
-    pairs: list = []
-    _value_pairs(own, every, radius // BLOCKS, pairs)
-    if not pairs:
-        return
-    a, b = (np.concatenate(x) for x in zip(*pairs))
-    ia, ib = np.searchsorted(every, a), np.searchsorted(every, b)
-    own_n = n_own[np.searchsorted(own, a)]
-    own_at = first[ia] + n[ia] - own_n
-    for x, y in _cuts(own_n, 1 << 20):
-        r1, left = _expand(own_at[x:y], own_n[x:y])
-        at, count = first[ib[x:y]][r1], n[ib[x:y]][r1]
-        for p, q in _cuts(count, 1 << 21):
-            r2, right = _expand(at[p:q], count[p:q])
-            i = left[p:q][r2]
-            near = np.bitwise_count(hi[i] ^ hi[right]).astype(np.int16) + np.bitwise_count(lo[i] ^ lo[right]) <= radius
-            near &= np.minimum(size[i], size[right]) >= RATIO * np.maximum(size[i], size[right])
-            near &= i != right
-            yield i[near], right[near]
+    here, there = (hi, lo)[w], (hi, lo)[1 - w]
+    value = ((here >> _U(s)) & _U(0xFFFF)).astype(np.uint16)
+    own, others = own[np.argsort(value[own], kind="stable")], others[np.argsort(value[others], kind="stable")]
+    start = np.concatenate([[0], np.cumsum(np.bincount(value[others], minlength=1 << 16))]).astype(np.int32)
+    v, left, right = value[own], there[own], there[others]
+    every = np.arange(1 << 16, dtype=np.uint16)
+    ball = every[np.bitwise_count(every) <= radius // BLOCKS]
+    wide = max(1, (1 << 16) // max(1, len(own)))
+    ramp = np.zeros(0, np.int32)
+    for m in range(0, len(ball), wide):
+        masks = ball[m : m + wide]
+        for x in range(0, len(own), 1 << 16):
+            target = (v[None, x : x + (1 << 16)] ^ masks[:, None]).ravel()
+            first, count = start[target], start[target.astype(np.int32) + 1] - start[target]
+            at = np.flatnonzero(count)
+            first, count = first[at], count[at]
+            home = at % min(1 << 16, len(own) - x) + x
+            half = left[home]
+            for p, q in _cuts(count, 1 << 17):
+                n = count[p:q]
+                ends = np.cumsum(n)
+                if ends[-1] > len(ramp):
+                    ramp = np.arange(int(ends[-1]), dtype=np.int32)
+                place = np.repeat((first[p:q] - ends + n).astype(np.int32), n)
+                place += ramp[: len(place)]
+                # half of the bits decides about nearly all
+                far = np.repeat(half[p:q], n)
+                far ^= right[place]
+                near = np.flatnonzero(np.bitwise_count(far) <= radius)
+                i, j = own[home[p:q][np.searchsorted(ends, near, side="right")]], others[place[near]]
+                fit = np.bitwise_count(hi[i] ^ hi[j]).astype(np.int16) + np.bitwise_count(lo[i] ^ lo[j]) <= radius
+                fit &= np.minimum(size[i], size[j]) >= RATIO * np.maximum(size[i], size[j])
+                fit &= i != j
+                if fit.any():
+                    yield i[fit], j[fit]
+
+
+def shard_pairs(block: int, home: np.ndarray, hi: np.ndarray, lo: np.ndarray, size: np.ndarray, radius: int, upper: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius of a shard, each at least once. Two of ``upper``, the upper of two bands, are left to the shard where they are the lower."""
+    upper = np.zeros(len(home), bool) if upper is None else upper
+    yield from _close(block, np.flatnonzero(home & ~upper), np.arange(len(home)), hi, lo, size, radius)
+    yield from _close(block, np.flatnonzero(home & upper), np.flatnonzero(~upper), hi, lo, size, radius)
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, about ``most`` at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for pair in pairs:
+        held.append(pair)
+        if sum(len(i) for i, _ in held) >= most:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held = []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def _shard(radius: int):
     def go(t: pa.Table) -> pa.Table:
-        home = t.column("home").to_numpy(zero_copy_only=False)
-        doc, hi, lo, size = (t.column(c).to_numpy() for c in ("doc_id", "hi", "lo", "size"))
-        hi, lo, block = hi.view(np.uint64), lo.view(np.uint64), t.column("block")[0].as_py()
-        w, s = _LANES[block]
-        order = np.lexsort((doc, home, ((hi, lo)[w] >> _U(s)) & _U(0xFFFF)))
-        doc, hi, lo, size, home = doc[order], hi[order], lo[order], size[order], home[order]
-        rank = np.argsort(np.argsort(doc))
-        by_rank = np.sort(doc)
-        label = _components(len(doc), ((rank[i], rank[j]) for i, j in shard_pairs(block, home, hi, lo, size, radius)))
+        rows = np.frombuffer(b"".join(x.as_py() for x in t.column("rows")), ROW)
+        rows = rows[np.argsort(rows["doc_id"], kind="stable")]
+        doc, hi, lo, size = (np.ascontiguousarray(rows[c]) for c in ("doc_id", "hi", "lo", "size"))
+        pairs = shard_pairs(t.column("block")[0].as_py(), rows["role"] & HOME > 0, hi, lo, size, radius, rows["role"] & UPPER > 0)
+        label = _components(len(doc), _gathered(pairs))
         at = np.flatnonzero(label != np.arange(len(doc)))
-        return pa.table({"u": pa.array(by_rank[at]), "v": pa.array(by_rank[label[at]])})
+        return pa.table({"u": pa.array(doc[at]), "v": pa.array(doc[label[at]])})
 
     return go
 
@@ -257,17 +325,19 @@ def connected(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, band_rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, group_id (the group's smallest doc_id), group_size: documents in groups of two or more."""
     prints = materialize(fingerprint_table(docs), "prints")
     reps = materialize(prints.groupBy("hi", "lo", "size").agg(F.min("doc_id").alias("doc_id")), "reps").select("doc_id", "hi", "lo", "size")
     counts = np.zeros(BLOCKS << 16, np.int64)
     for at, n in reps.select("hi", "lo").mapInArrow(_histogram, "at int, n long").groupBy("at").agg(F.sum("n")).toPandas().itertuples(index=False):
         counts[at] = n
-    total = int(counts[: 1 << 16].sum())
-    depth = max(MIN_DEPTH, int(np.ceil(np.log2(max(1, total) / shard_rows))))
+    levels = [tuple(r) for r in reps.groupBy(F.floor(F.log2(F.col("size") + 1) * 16).alias("level")).agg(F.min("size"), F.count("*")).select("min(size)", "count(1)").collect()]
+    edges = size_bands(levels, band_rows)
+    band = np.bincount([int(np.searchsorted(edges, s, side="right")) for s, _ in levels], [n for _, n in levels], 1)
+    depth = max(MIN_DEPTH, int(np.ceil(np.log2(max(1, band.max()) / shard_rows))))
     trees = [Tree(counts[k << 16 : (k + 1) << 16], depth, radius // BLOCKS) for k in range(BLOCKS)]
-    routed = reps.mapInArrow(_route(trees), "shard int, block int, home boolean, doc_id long, hi long, lo long, size int")
+    routed = reps.mapInArrow(_route(trees, edges), "shard int, block int, rows binary")
     edges = routed.groupBy("shard").applyInArrow(_shard(radius), "u long, v long")
     roots = connected(edges)
     heads = reps.join(roots, reps.doc_id == roots.node, "left").select("hi", "lo", "size", F.coalesce("root", "doc_id").alias("group_id"))

@@ -118,3 +118,38 @@ def test_word_scan_positions():
     assert np.diff(w.bounds).tolist() == [5, 0, 0, 2]
     assert (w.hash[:2] == textscan.word_hashes("ab! c_1")).all()
     assert w.start[5:].tolist() == [0, 11] and w.end[5:].tolist() == [10, 14]
+
+
+def test_groups_by_size_bands_equal_brute_force(spark):
+    rows = corpus(5)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shard_rows=16, band_rows=20)
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+
+
+def test_far_sizes_share_no_shard():
+    rng = np.random.default_rng(4)
+    n = 4000
+    hi, lo = (rng.integers(0, 1 << 63, n, np.uint64) for _ in range(2))
+    size = np.exp(rng.normal(5.5, 1, n)).astype(np.int32)
+    close = rng.integers(0, n // 2, n // 2) + n // 2
+    hi[: n // 2], lo[: n // 2], size[: n // 2] = hi[close] ^ np.uint64(1 << 40), lo[close], size[close] * rng.uniform(0.7, 1.3, n // 2)
+    levels = list(zip(*(x.tolist() for x in np.unique(size, return_counts=True))))
+    edges = neardup.size_bands(levels, 300)
+    assert len(edges) > 3 and (edges[1:] * neardup.RATIO >= edges[:-1]).all()
+    trees = [neardup.Tree(np.ones(1 << 16), 3, 2) for _ in range(8)]
+    shards = {}
+    for shard, block, data in neardup._shards(trees, edges)(np.arange(n), hi, lo, size):
+        shards.setdefault(shard, (block, []))[1].append(data)
+    found, met = set(), 0
+    for block, data in shards.values():
+        rows = np.frombuffer(b"".join(data), neardup.ROW)
+        home, upper = rows["role"] & neardup.HOME > 0, rows["role"] & neardup.UPPER > 0
+        met += int((home & ~upper).sum()) * len(rows) + int((home & upper).sum()) * int((~upper).sum())
+        for i, j in neardup.shard_pairs(block, home, rows["hi"], rows["lo"], rows["size"], 23, upper):
+            found |= {tuple(sorted(p)) for p in zip(rows["doc_id"][i].tolist(), rows["doc_id"][j].tolist())}
+    near = np.bitwise_count(hi[:, None] ^ hi) + np.bitwise_count(lo[:, None] ^ lo) <= 23
+    near &= np.minimum(size[:, None], size) >= neardup.RATIO * np.maximum(size[:, None], size)
+    assert found == {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(near))) if i < j}
+    # without bands every two fingerprints of a leaf meet
+    whole = sum(int(t.home[t.leaf == leaf].sum()) * int((t.leaf == leaf).sum()) for t in trees for leaf in range(8)) * (n / 65536) ** 2
+    assert met < 0.5 * whole
