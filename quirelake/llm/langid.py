@@ -62,7 +62,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, lang = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         order = sorted(range(len(lang)), key=lang.__getitem__)
         texts, lang = [texts[i] for i in order], [lang[i] for i in order]
-        for x, y in textscan.groups(texts, 1 << 21):
+        for x, y in textscan.groups(texts, textscan.BLOCK):
             h, first = ngram_buckets(texts[x:y])
             edges = [i for i in range(x, y) if i == x or lang[i] != lang[i - 1]] + [y]
             ends = [*first.tolist(), h.shape[1]]
@@ -87,7 +87,7 @@ class Model:
     def score(self, texts: list[str | None], min_posterior: float) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, posterior and n-grams of each text."""
         total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
-        for x, y in textscan.groups(texts, 1 << 20):
+        for x, y in textscan.groups(texts, textscan.BLOCK):
             h, first = ngram_buckets(texts[x:y])
             for part in h:
                 n[x:y] += np.add.reduceat((part < BUCKETS).astype(np.int64), first)

@@ -136,6 +136,7 @@ def _documents(batches: Iterator[pa.RecordBatch], kind: type, most: int = 1 << 1
                 a, n = i, 0
             if i < len(data):
                 n += len(data[i])
+        textscan.give_back()
 
 
 def _matrix(words: np.ndarray, bounds: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -8,12 +8,14 @@ UTF-8 bytes alone. Null texts have no words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _U = np.uint64
 _M = 0x9E3779B97F4A7C15 | 1
 _ISWORD = np.zeros(256, bool)
@@ -109,7 +111,7 @@ def word_hashes(text: str) -> np.ndarray:
 
 
 def groups(texts: list[str | None], limit: int = 2 * BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` characters, at least one text each: bounds memory, drops nothing."""
+    """Ranges of texts of about ``limit`` characters, at least one text each: bounds memory, drops nothing. After the last, what they took goes back to the system."""
     at = size = 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
@@ -119,3 +121,13 @@ def groups(texts: list[str | None], limit: int = 2 * BLOCK) -> Iterator[tuple[in
         size += n
     if at < len(texts):
         yield at, len(texts)
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that was freed but kept for reuse, to the system: a worker that waits for its next task shares a machine with others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only glibc has it
+        pass

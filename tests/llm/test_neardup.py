@@ -153,3 +153,18 @@ def test_far_sizes_share_no_shard():
     # without bands every two fingerprints of a leaf meet
     whole = sum(int(t.home[t.leaf == leaf].sum()) * int((t.leaf == leaf).sum()) for t in trees for leaf in range(8)) * (n / 65536) ** 2
     assert met < 0.5 * whole
+
+
+def test_scan_of_many_texts_takes_little_memory():
+    import tracemalloc
+
+    from quirelake.llm import langid
+
+    texts = [" ".join(f"{w}{i % 97}x{k % 89}" for k, w in enumerate(WORDS * 3)) for i in range(4000)]
+    model = langid.Model(["a", "b"], np.ones((langid.BUCKETS, 2)))
+    for run, most in ((lambda: neardup.fingerprints(texts), 80), (lambda: model.score(texts, 0.5), 40)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most
