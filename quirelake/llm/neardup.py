@@ -11,7 +11,8 @@ tree prune. The trees are built from exact block histograms of all fingerprints.
 fingerprint goes to the leaf shard holding it and visits each shard across whose boundary the
 triangle inequality can't exclude a partner. Shards are also cut by number of words, into bands
 so wide that partners within RATIO lie in one band or in neighbours. Within a shard each block value
-is looked up with all values within ``radius // 8``. Pairs found are checked on all 128 bits: the search is exact.
+is looked up with all values within ``radius // 8`` and the sizes near its own; a pair at home in one shard is
+compared once there. Pairs found are checked on all 128 bits: the search is exact.
 Shards return spanning forests, and star contraction joins them to groups, so groups of thousands
 of copies cost no quadratic output.
 
@@ -236,51 +237,67 @@ def _components(n: int, edges: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.nd
     return label
 
 
-def _close(block: int, own: np.ndarray, others: np.ndarray, hi: np.ndarray, lo: np.ndarray, size: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius, one of ``own`` and one of ``others``, whose values of the block are within radius // BLOCKS: each value with the ball of values around it."""
+def _close(block: int, own: np.ndarray, others: np.ndarray, hi: np.ndarray, lo: np.ndarray, size: np.ndarray, radius: int, higher: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius, one of ``own`` and one of ``others``, whose values of the block are within radius // BLOCKS: each value with the ball of values around it, and of those the classes of sizes near its own. With ``higher``, others of lower values are left out."""
+    if not len(own) or not len(others):
+        return
     w, s = _LANES[block]
     here, there = (hi, lo)[w], (hi, lo)[1 - w]
-    value = ((here >> _U(s)) & _U(0xFFFF)).astype(np.uint16)
-    own, others = own[np.argsort(value[own], kind="stable")], others[np.argsort(value[others], kind="stable")]
-    start = np.concatenate([[0], np.cumsum(np.bincount(value[others], minlength=1 << 16))]).astype(np.int32)
-    v, left, right = value[own], there[own], there[others]
-    every = np.arange(1 << 16, dtype=np.uint16)
+    value = ((here >> _U(s)) & _U(0xFFFF)).astype(np.int32)
+    # classes of sizes, about as many others in each; those of a value lie in a row
+    bits = min(4, (len(others) // 4096).bit_length())
+    limits = np.quantile(size[others], np.arange(1, 1 << bits) / (1 << bits), method="lower")
+    key = value[others] << bits | np.searchsorted(limits, size[others], side="right").astype(np.int32)
+    others = others[np.argsort(key, kind="stable")]
+    begin = np.zeros((1 << 16 + bits) + 1, np.int32)
+    np.cumsum(np.bincount(key, minlength=1 << 16 + bits), out=begin[1:])
+    end = begin[1:]
+    own = own[np.argsort(value[own], kind="stable")]
+    v, left, right = value[own] << bits, there[own], there[others]
+    least = v | np.searchsorted(limits, np.floor(size[own] * RATIO), side="right").astype(np.int32)
+    most = v | np.searchsorted(limits, np.ceil(size[own] / RATIO) + 1, side="right").astype(np.int32)
+    every = np.arange(1 << 16, dtype=np.int32)
     ball = every[np.bitwise_count(every) <= radius // BLOCKS]
-    wide = max(1, (1 << 16) // max(1, len(own)))
-    ramp = np.zeros(0, np.int32)
-    for m in range(0, len(ball), wide):
-        masks = ball[m : m + wide]
-        for x in range(0, len(own), 1 << 16):
-            target = (v[None, x : x + (1 << 16)] ^ masks[:, None]).ravel()
-            first, count = start[target], start[target.astype(np.int32) + 1] - start[target]
-            at = np.flatnonzero(count)
-            first, count = first[at], count[at]
-            home = at % min(1 << 16, len(own) - x) + x
-            half = left[home]
-            for p, q in _cuts(count, 1 << 17):
-                n = count[p:q]
-                ends = np.cumsum(n)
-                if ends[-1] > len(ramp):
-                    ramp = np.arange(int(ends[-1]), dtype=np.int32)
-                place = np.repeat((first[p:q] - ends + n).astype(np.int32), n)
-                place += ramp[: len(place)]
-                # half of the bits decides about nearly all
-                far = np.repeat(half[p:q], n)
-                far ^= right[place]
-                near = np.flatnonzero(np.bitwise_count(far) <= radius)
-                i, j = own[home[p:q][np.searchsorted(ends, near, side="right")]], others[place[near]]
-                fit = np.bitwise_count(hi[i] ^ hi[j]).astype(np.int16) + np.bitwise_count(lo[i] ^ lo[j]) <= radius
-                fit &= np.minimum(size[i], size[j]) >= RATIO * np.maximum(size[i], size[j])
-                fit &= i != j
-                if fit.any():
-                    yield i[fit], j[fit]
+    ramp = np.zeros(0, np.int64)
+    for top in range(17):
+        # masks by their highest bit: they lead upward from the values that don't have it
+        masks = (ball[(ball >> top == 0) & (ball << 1 >> top > 0)] if top else ball[:1]) << bits
+        starts = np.flatnonzero(v >> bits << 1 >> top & 1 == 0) if top and higher else np.arange(len(own))
+        for x in range(0, len(starts), 1 << 13):
+            some = starts[x : x + (1 << 13)]
+            wide = max(1, (1 << 16) // len(some))
+            for m in range(0, len(masks), wide):
+                first = begin[least[some] ^ masks[m : m + wide, None]].ravel()
+                count = end[most[some] ^ masks[m : m + wide, None]].ravel() - first
+                at = np.flatnonzero(count)
+                first, count, home = first[at].astype(np.int64), count[at].astype(np.int64), some[at % len(some)]
+                half = left[home]
+                for p, q in _cuts(count, 1 << 15):
+                    n = count[p:q]
+                    ends = np.cumsum(n)
+                    if ends[-1] > len(ramp):
+                        ramp = np.arange(int(ends[-1]))
+                    place = np.repeat(first[p:q] - ends + n, n)
+                    place += ramp[: len(place)]
+                    # half of the bits decides about nearly all
+                    far = np.repeat(half[p:q], n)
+                    far ^= right[place]
+                    near = np.flatnonzero(np.bitwise_count(far) <= radius)
+                    i, j = own[home[p:q][np.searchsorted(ends, near, side="right")]], others[place[near]]
+                    fit = np.bitwise_count(hi[i] ^ hi[j]).astype(np.int16) + np.bitwise_count(lo[i] ^ lo[j]) <= radius
+                    fit &= np.minimum(size[i], size[j]) >= RATIO * np.maximum(size[i], size[j])
+                    fit &= i != j
+                    if fit.any():
+                        yield i[fit], j[fit]
 
 
 def shard_pairs(block: int, home: np.ndarray, hi: np.ndarray, lo: np.ndarray, size: np.ndarray, radius: int, upper: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within the radius of a shard, each at least once. Two of ``upper``, the upper of two bands, are left to the shard where they are the lower."""
     upper = np.zeros(len(home), bool) if upper is None else upper
-    yield from _close(block, np.flatnonzero(home & ~upper), np.arange(len(home)), hi, lo, size, radius)
-    yield from _close(block, np.flatnonzero(home & upper), np.flatnonzero(~upper), hi, lo, size, radius)
+    lower_home = home & ~upper
+    yield from _close(block, np.flatnonzero(lower_home), np.flatnonzero(lower_home), hi, lo, size, radius, higher=True)
+    yield from _close(block, np.flatnonzero(lower_home), np.flatnonzero(~lower_home), hi, lo, size, radius)
+    yield from _close(block, np.flatnonzero(home & upper), np.flatnonzero(~home & ~upper), hi, lo, size, radius)
 
 
 def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -168,3 +168,29 @@ def test_scan_of_many_texts_takes_little_memory():
         peak = tracemalloc.get_traced_memory()[1] / 1e6
         tracemalloc.stop()
         assert peak < most
+
+
+@pytest.mark.parametrize("share", [1.0, 0.5])
+def test_pairs_at_home_are_compared_once_and_only_at_near_sizes(monkeypatch, share):
+    rng = np.random.default_rng(6)
+    n = 12_000
+    hi, lo = (rng.integers(0, 1 << 63, n, np.uint64) & np.uint64(0xFFFFFFFFFFFF0FFF) for _ in range(2))
+    size = np.exp(rng.uniform(3, 3.6, n)).astype(np.int32)
+    close = rng.integers(0, n // 2, n // 2) + n // 2
+    hi[: n // 2], lo[: n // 2] = hi[close] ^ (np.uint64(1) << rng.integers(0, 16, n // 2).astype(np.uint64)), lo[close] ^ np.uint64(1 << 40)
+    home, upper = rng.random(n) < share, size >= 27
+    cuts, compared = neardup._cuts, []
+    monkeypatch.setattr(neardup, "_cuts", lambda work, most: compared.append(int(work.sum())) or cuts(work, most))
+    got = {tuple(sorted(p)) for i, j in neardup.shard_pairs(0, home, hi, lo, size, 23, upper) for p in zip(i.tolist(), j.tolist())}
+    value = ((hi >> np.uint64(neardup._LANES[0][1])) & np.uint64(0xFFFF)).astype(np.int64)
+    before, want = 0, set()
+    for a in range(0, n, 2000):
+        one = np.arange(a, a + 2000)[:, None]
+        meet = home[one] & ~(upper[one] & upper)
+        ball = np.bitwise_count(value[one] ^ value) <= 2
+        before += int((meet & ball).sum())  # at any sizes, and a pair at home from both sides
+        near = np.bitwise_count(hi[one] ^ hi) + np.bitwise_count(lo[one] ^ lo) <= 23
+        i, j = np.nonzero(meet & ball & near & (np.minimum(size[one], size) >= 0.8 * np.maximum(size[one], size)))
+        want |= {tuple(sorted(p)) for p in zip((i + a).tolist(), j.tolist()) if p[0] != p[1]}
+    assert len(want) > 300 and got == want
+    assert sum(compared) < 0.8 * before
