@@ -163,8 +163,8 @@ def _split(first: np.ndarray, word: np.ndarray, value: np.ndarray, common: np.nd
     return dense, rest, word[~often], value[~often]
 
 
-def _project(first: np.ndarray, word: np.ndarray, value: np.ndarray, basis: np.ndarray, common: np.ndarray, most: int = 1 << 14) -> np.ndarray:
-    """The rows' products with the basis: common words, which make most entries, by a dense product, the t-th of the other entries of all rows at once, rows with more entries first."""
+def _project(first: np.ndarray, word: np.ndarray, value: np.ndarray, basis: np.ndarray, common: np.ndarray, most: int = 1 << 10) -> np.ndarray:
+    """The rows' products with the basis: common words, which make most entries, by a dense product, the t-th of the other entries of all rows at once, rows with more entries first. ``most`` rows at a time, so few that what they add up stays in the processor's cache."""
     out = np.zeros((len(first), basis.shape[1]), np.float32)
     ends = np.r_[first, len(word)]
     often = basis[np.argsort(common, kind="stable")[len(common) - int(common.max(initial=-1)) - 1 :]]
@@ -292,8 +292,9 @@ class Index:
                 z = _project(first[x:y] - ends[x], word[ends[x] : ends[y]], value[ends[x] : ends[y]], self.basis, self.common)
                 z /= np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
                 cos = z @ self.vectors[mine].T
-                row, col = np.nonzero(cos >= cosine)
-                near = cos[row, col]
+                at = np.flatnonzero(cos >= cosine)
+                row, col = np.divmod(at, max(1, cos.shape[1]))
+                near = cos.ravel()[at]
                 row, item = row + x, self.usable[mine][col]
                 if not len(row):
                     continue

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -142,3 +143,21 @@ def test_verbatim_items_of_every_length_are_found(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in lsi.contamination(d, b).collect()}
     assert {(i, n) for i, text in docs for n, t in items if f" {t} " in f" {text} "} <= got
+
+
+def test_projection_takes_little_memory_besides_its_result():
+    rng = np.random.default_rng(2)
+    n, size = 1 << 14, 900
+    word = np.sort(np.minimum(rng.integers(0, size, (n, 20)), rng.integers(0, size, (n, 20))), axis=1).ravel()
+    value, first = rng.random(len(word)).astype(np.float32), np.arange(0, n * 20, 20)
+    basis, common = rng.standard_normal((size, 256)).astype(np.float32), lsi.common_words(np.bincount(word, minlength=size), 64)
+    tracemalloc.start()
+    got = lsi._project(first, word, value, basis, common)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = np.zeros((n, size), np.float32)
+    keep = np.r_[True, (word[1:] != word[:-1]) | (np.arange(1, len(word)) % 20 == 0)]
+    np.add.at(rows, (np.repeat(np.arange(n), 20)[keep], word[keep]), value[keep])
+    again = lsi._project(np.r_[0, np.cumsum(np.add.reduceat(keep, first))[:-1]], word[keep], value[keep], basis, common)
+    assert np.allclose(again, rows @ basis, atol=1e-3)
+    assert peak < 2 * got.nbytes
