@@ -8,9 +8,9 @@
 3. Randomised SVD: a Gaussian matrix W is sketched to A'(A W) in one distributed pass, and the
    Nystrom form of A'A gives the leading right singular vectors. The matrix is vocabulary x
    (``RANK`` + oversampling), so its size is bounded by the benchmark.
-4. Search: every passage is projected and compared with every item by cosine; from ``COSINE`` on the
-   pair is a candidate. Nothing limits the number of candidates; those whose words around the passage,
-   taken as a bag, can't reach ``PARAPHRASE`` are dropped before the next step, which changes no result.
+4. Search: every passage is compared with every item by cosine; from ``COSINE`` on the pair is a
+   candidate. Nothing limits the number of candidates. Pairs that step 5 can't accept, since the words around the
+   passage, taken as a set, don't reach ``PARAPHRASE``, are dropped first, so that only passages that may hold an item are projected; this changes no result.
    An item that stands in a document word for word is found without the latent space, whatever its length.
 5. Checks: the longest common subsequence of the item and the words around the passage, weighted by
    idf, must cover ``COVERAGE`` of the item; from ``PARAPHRASE`` on it is enough that the item's
@@ -43,6 +43,7 @@ COSINE = 0.3
 COVERAGE, PARAPHRASE, ANSWER = 0.6, 0.4, 0.8
 SEED = 5
 BLOCK_CELLS = 1 << 24  # words x items of a block of items that is searched at once
+COLUMNS, OWN = 512, 256  # of the words of a block of items; the most frequent have a column of their own, the others share the rest
 HEAD = 4  # words by which verbatim places are looked up
 HEAD_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 MAX_ITEM_WORDS = 20_000_000
@@ -264,71 +265,44 @@ class Index:
     since: int = -1
 
     def match(self, ids: list, words: np.ndarray, bounds: np.ndarray, cosine: float, coverage: float, paraphrase: float, answer: float) -> Iterator[tuple]:
-        first, passage, word, value = _matrix(words, bounds, self.idf)
-        if not len(first):
-            return
         if self.weights is None:
             self.prepare()
-        number = passage[first]
         n = passages(np.diff(bounds))
         base = np.concatenate([[0], np.cumsum(n)])
-        of = np.searchsorted(base, number, side="right") - 1
-        row_of = np.full(int(base[-1]) + 1, -1)
-        row_of[number] = np.arange(len(first))
         best: dict[tuple[int, int], tuple] = {}
-        ends = np.r_[first, len(word)]
-        reach = int(self.wide.max(initial=0))
         wide = max(1, BLOCK_CELLS // max(1, len(self.idf)))
         for since in range(0, len(self.items.words), wide):
-            mine = slice(*np.searchsorted(self.usable, [since, since + wide]))
             self.block(since, wide)
-            step = max(64, (1 << 21) // max(1, mine.stop - mine.start))
-            for x in range(0, len(first), step):
-                y = min(x + step, len(first))
-                # the rows around belong to the bounds of these
-                low, high = np.searchsorted(number, [number[x] - reach, number[y - 1] + reach + 1])
-                s, e = ends[low], ends[high]
-                near_first, near_word = first[low:high] - s, word[s:e]
-                z = _project(first[x:y] - ends[x], word[ends[x] : ends[y]], value[ends[x] : ends[y]], self.basis, self.common)
-                z /= np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
-                cos = z @ self.vectors[mine].T
-                at = np.flatnonzero(cos >= cosine)
-                row, col = np.divmod(at, max(1, cos.shape[1]))
-                near = cos.ravel()[at]
-                row, item = row + x, self.usable[mine][col]
-                if not len(row):
-                    continue
-                held = _project(near_first, near_word, np.ones(len(near_word), np.float32), self.shares, self.common)
-                able = np.flatnonzero(self.bound(row, item, number, of, base, row_of, held, low) >= paraphrase - 1e-5)
-                row, item, near = row[able], item[able], near[able]
-                d = of[row]
-                start = (number[row] - base[d]) * STRIDE
+            for number, item in self.possible(words, bounds, base, paraphrase - 1e-5):
+                near = self.cosines(words, bounds, base, number, item)
+                able = np.flatnonzero(near >= cosine)
+                number, item, near = number[able], item[able], near[able]
+                d = np.searchsorted(base, number, side="right") - 1
+                start = (number - base[d]) * STRIDE
                 more = self.sizes[item]
                 begin, end = bounds[d] + np.maximum(0, start - more), np.minimum(bounds[d] + start + WINDOW + more, bounds[d + 1])
                 fit = np.flatnonzero(self.covers(item, words, begin, end, paraphrase) >= paraphrase - 1e-9)
-                for r, k, c, d, a, b, start in zip(row[fit].tolist(), item[fit].tolist(), near[fit].tolist(), d[fit].tolist(), begin[fit].tolist(), end[fit].tolist(), start[fit].tolist()):
+                for k, c, d, a, b, start in zip(item[fit].tolist(), near[fit].tolist(), d[fit].tolist(), begin[fit].tolist(), end[fit].tolist(), start[fit].tolist()):
                     cover, hit = self.coverage(k, words[a:b])
                     if cover < paraphrase or cover < coverage and hit < answer:
                         continue
                     found = (cover, hit, c, -start)
                     if found > best.get((d, k), (-1.0,)):
                         best[d, k] = found
+        whole: dict[tuple[int, int], int] = {}
         for d, k, place in self.verbatim(words, bounds):
-            if best.get((d, k), (0.0,))[0] >= 1 - 1e-9:
-                continue
-            j = min(place // STRIDE, int(n[d]) - 1)
-            x = int(row_of[base[d] + j])
-            c = 0.0
-            if x >= 0 and len(at := np.flatnonzero(self.usable == k)):
-                s, e = ends[x], ends[x + 1]
-                z = _project(np.zeros(1, np.int64), word[s:e], value[s:e], self.basis, self.common)[0]
-                c = float(z @ self.vectors[at[0]] / max(np.linalg.norm(z), 1e-9))
-            best[d, k] = (1.0, 1.0, c, -j * STRIDE)
+            if best.get((d, k), (0.0,))[0] < 1 - 1e-9:
+                whole.setdefault((d, k), min(place // STRIDE, int(n[d]) - 1))
+        if whole:
+            d, k = np.array(list(whole)).T
+            near = self.cosines(words, bounds, base, base[d] + np.array(list(whole.values())), k)
+            for (at, j), c in zip(whole.items(), np.where(np.isfinite(near), near, 0.0).tolist()):
+                best[at] = (1.0, 1.0, c, -j * STRIDE)
         for (d, k), (cover, hit, c, start) in sorted(best.items()):
             yield ids[d], self.items.ids[k], c, cover, hit, -start
 
     def block(self, since: int, wide: int) -> None:
-        """Of the items from ``since`` on: the share of weight that each word has."""
+        """Of the items from ``since`` on: the share of weight that each word has, and each column of words, by how far around a passage the item's words are looked for."""
         if self.since == since:
             return
         words = self.items.words[since : since + wide]
@@ -336,6 +310,72 @@ class Index:
         for k, item in enumerate(words):
             np.add.at(self.shares[:, k], item - 1, self.weights[since + k] / self.whole[since + k])
         self.since = since
+        own = np.flatnonzero(self.shares.any(axis=1))
+        own = own[np.argsort(np.where(self.idf[own] > 0, self.idf[own], np.inf), kind="stable")]
+        at = np.arange(len(own))
+        self.column = np.full(len(self.idf) + 1, -1, np.int16)
+        self.column[own + 1] = np.where(at < OWN, at, OWN + at % (COLUMNS - OWN))
+        loads = np.zeros((COLUMNS, len(words)), np.float32)
+        np.add.at(loads, self.column[own + 1], self.shares[own])
+        mine = self.usable[slice(*np.searchsorted(self.usable, [since, since + wide]))]
+        steps = np.maximum(1, -(-self.sizes[mine] // STRIDE))
+        # far reaches are rounded up, so that there are few
+        steps = np.where(steps > 4, 1 << np.ceil(np.log2(steps)).astype(np.int64), steps)
+        self.reaches = [(int(r), mine[steps == r], np.ascontiguousarray(loads[:, mine[steps == r] - since])) for r in np.unique(steps)]
+
+    def possible(self, words: np.ndarray, bounds: np.ndarray, base: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Passages and items of the block, some at a time, but for pairs whose coverage is below ``least`` since the columns of the words around hold less of the item."""
+        size = np.diff(bounds)
+        count = np.diff(base)
+        # cells of STRIDE words; a passage is its own cell and the next
+        since = base + np.arange(len(base))
+        first, last = np.repeat(since[:-1], count + 1), np.repeat(since[1:] - 1, count + 1)
+        cell = np.repeat(np.arange(len(first)), np.clip(np.repeat(size, count + 1) - (np.arange(len(first)) - first) * STRIDE, 0, STRIDE))
+        column = self.column[words]
+        at = np.flatnonzero(column >= 0)
+        cell, column = cell[at], column[at]
+        bits = np.zeros((len(first), COLUMNS // 64), np.uint64)
+        step = 1 << 14
+        for x in range(0, len(first), step):
+            part = slice(*np.searchsorted(cell, [x, x + step]))
+            held = np.zeros((min(step, len(first) - x), COLUMNS), np.uint8)
+            held[cell[part] - x, column[part]] = 1
+            bits[x : x + step] = np.packbits(held, axis=1).view(np.uint64)
+        # levels[k] holds the columns of 2^k cells from each on, up to the document's end
+        levels = [bits]
+        own = np.arange(int(base[-1])) + np.repeat(np.arange(len(count)), count)
+        for reach, items, loads in self.reaches:
+            k = int(np.ceil(np.log2(2 * reach + 2))) - 1
+            while len(levels) <= k:
+                levels.append(levels[-1] | levels[-1][np.minimum(np.arange(len(first)) + (1 << len(levels) - 1), last)])
+            low, high = np.maximum(own - reach, first[own]), np.minimum(own + reach + 1, last[own])
+            around = levels[k][low] | levels[k][np.maximum(high - (1 << k) + 1, first[own])]
+            step = max(64, min(1 << 11, (1 << 21) // len(items)))
+            for x in range(0, len(own), step):
+                share = np.unpackbits(around[x : x + step].view(np.uint8), axis=1).astype(np.float32) @ loads
+                found = np.flatnonzero(share >= least)
+                if len(found):
+                    row, which = np.divmod(found, len(items))
+                    yield row + x, items[which]
+
+    def cosines(self, words: np.ndarray, bounds: np.ndarray, base: np.ndarray, number: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Cosine of each passage and item in the latent space; minus infinity for a passage without weight, 0 for an item without."""
+        if not len(self.usable):
+            return np.zeros(len(item))
+        own, pair = np.unique(number, return_inverse=True)
+        d = np.searchsorted(base, own, side="right") - 1
+        begin = bounds[d] + (own - base[d]) * STRIDE
+        size = np.minimum(WINDOW, bounds[d + 1] - begin)
+        ends = np.r_[0, np.cumsum(size)]
+        first, passage, word, value = _matrix(words[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)], ends, self.idf)
+        z = np.zeros((len(own), self.basis.shape[1]), np.float32)
+        z[passage[first]] = _project(first, word, value, self.basis, self.common)
+        z /= np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
+        has = np.zeros(len(own), bool)
+        has[passage[first]] = True
+        at = np.minimum(np.searchsorted(self.usable, item), len(self.usable) - 1)
+        near = np.einsum("ij,ij->i", z[pair], self.vectors[at]) * (self.usable[at] == item)
+        return np.where(has[pair], near, -np.inf)
 
     def verbatim(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Document, item and the item's first word in the document, for each place where an item stands word for word."""
@@ -370,7 +410,7 @@ class Index:
         self.heads = {n: (np.array([h for h, _ in sorted(found)], np.uint64), np.array([k for _, k in sorted(found)])) for n, found in by_size.items()}
 
     def bound(self, row: np.ndarray, item: np.ndarray, number: np.ndarray, of: np.ndarray, base: np.ndarray, row_of: np.ndarray, held: np.ndarray, low: int) -> np.ndarray:
-        """At least the coverage of each pair: words of the passages around, whatever their order and number. ``held`` has the share of each item whose words a passage holds, from row ``low`` on."""
+        """At least the coverage of each pair: words of the passages around, whatever their order and number; looser than ``possible``, which the search uses. ``held`` has the share of each item whose words a passage holds, from row ``low`` on."""
         total = self.never[item].copy()
         reach = int(self.wide[item].max(initial=0))
         wide, own, begin, end = self.wide[item], number[row], base[of[row]], base[of[row] + 1]

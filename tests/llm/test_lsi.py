@@ -161,3 +161,46 @@ def test_projection_takes_little_memory_besides_its_result():
     again = lsi._project(np.r_[0, np.cumsum(np.add.reduceat(keep, first))[:-1]], word[keep], value[keep], basis, common)
     assert np.allclose(again, rows @ basis, atol=1e-3)
     assert peak < 2 * got.nbytes
+
+
+def test_pairs_left_out_of_the_search_cover_too_little(monkeypatch):
+    rng = random.Random(11)
+    items = [(k, sentence(rng, n)) for k, n in enumerate([1, 3, 15, 24, 25, 40, 48, 49, 90, 130, 260])]
+    texts = ["", sentence(rng, 5), sentence(rng, 24), sentence(rng, 25)]
+    for _, item in items:
+        kept = [w if rng.random() < 0.6 else sentence(rng, 1) for w in item.split()]
+        texts += [" ".join(kept), f"{sentence(rng, rng.randint(0, 70))} {' '.join(kept)} {sentence(rng, rng.randint(0, 70))}"]
+    table = lsi.Items.of(items)
+    words = textscan.scan(texts)
+    numbers = table.numbers(words.hash)
+    _, word, _, base = lsi.incidence(numbers, words.bounds)
+    df = np.bincount(word, minlength=len(table.vocabulary))
+    idf = np.where(df > 0, np.log1p(base[-1] / np.maximum(df, 1)), 0.0)
+    for columns, own in ((lsi.COLUMNS, lsi.OWN), (64, 40)):
+        monkeypatch.setattr(lsi, "COLUMNS", columns)
+        monkeypatch.setattr(lsi, "OWN", own)
+        index = lsi.Index(table, idf, np.zeros((len(df), 1), np.float32), np.zeros((len(items), 1), np.float32), np.arange(len(items)), lsi.common_words(df, 40))
+        index.prepare()
+        index.block(0, len(items))
+        least = lsi.PARAPHRASE - 1e-5
+        listed = {(int(p), int(k)) for number, item in index.possible(numbers, words.bounds, base, least) for p, k in zip(number, item)}
+        high = set()
+        for d in range(len(texts)):
+            for p in range(base[d], base[d + 1]):
+                start = (p - base[d]) * lsi.STRIDE
+                for k, item in enumerate(table.words):
+                    text = numbers[words.bounds[d] + max(0, start - len(item)) : min(words.bounds[d] + start + lsi.WINDOW + len(item), words.bounds[d + 1])]
+                    if index.coverage(k, text)[0] >= lsi.PARAPHRASE:
+                        high.add((p, k))
+        assert high and high <= listed
+
+
+def test_only_passages_that_may_hold_an_item_are_projected(spark, monkeypatch):
+    docs, items, planted = fixture(3)
+    index, encoded = lsi.build(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    parts = list(lsi._documents(iter(encoded.toArrow().to_batches()), np.uint16))
+    project, rows = lsi._project, []
+    monkeypatch.setattr(lsi, "_project", lambda first, *rest: rows.append(len(first)) or project(first, *rest))
+    found = {(i, k) for own in parts for i, k, *_ in index.match(*own, lsi.COSINE, lsi.COVERAGE, lsi.PARAPHRASE, lsi.ANSWER)}
+    assert planted <= found
+    assert sum(rows) < 0.5 * sum(int(lsi.passages(np.diff(bounds)).sum()) for _, _, bounds in parts)
