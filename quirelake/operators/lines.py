@@ -36,20 +36,36 @@ def ending_changes(docs: DataFrame) -> DataFrame:
     return found.where("eol in ('\\r\\n', '\\r')").select("doc_id", "line", (F.col("b_end") - F.col("b_start") + 1).alias("column"), F.col("b_end").alias("offset"), F.col("eol").alias("old"))
 
 
+#: A text that opens with a frontmatter block, and one up to the block's closing line. The text after that isn't looked at.
+_OPENS = r"\A[ \t]*---[ \t\r]*(\n|\z)"
+_CLOSED = r"(?s)\A[ \t]*---[ \t\r]*(?=\n).*?\n[ \t\r]*---[ \t\r]*(?=\n|\z)"
+
+
+def _plain() -> Column:
+    """The content without a BOM."""
+    return F.regexp_replace("content", "\\A\\x{FEFF}", "")
+
+
+def _closed_at(block: Column) -> Column:
+    """Number of the last line of a closed block; null for an empty text."""
+    return F.when(block != "", F.length(block) - F.length(F.replace(block, F.lit("\n"), F.lit(""))) + 1)
+
+
 def frontmatter_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line, text of the lines that could be a frontmatter block: from an opening ``---`` on the first line to the closing one, or to the end; and closed_at, the closing line's number or null."""
-    plain = F.regexp_replace("content", "^﻿", "")
-    head = docs.where(plain.rlike(r"\A[ \t]*---[ \t\r]*(\n|\z)")).select("doc_id", F.split(plain, "\n").alias("all"))
-    closing = F.array_position(F.transform(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), lambda x: F.trim(F.translate(x, "\t\r", "  ")) == "---"), True)
-    head = head.select("doc_id", "all", F.when(closing > 0, closing + 1).alias("closed_at"))
-    inner = F.when(F.col("closed_at").isNotNull(), F.slice("all", 2, F.greatest(F.col("closed_at").cast("int") - 2, F.lit(0)))).otherwise(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))))
-    return head.select("doc_id", "closed_at", F.posexplode_outer(inner).alias("i", "text")).select("doc_id", "closed_at", (F.col("i") + 2).alias("line"), F.regexp_replace("text", "\r$", "").alias("text"))
+    head = docs.select("doc_id", _plain().alias("plain"))
+    head = head.select("doc_id", F.when(F.col("plain").rlike(_OPENS), F.col("plain")).alias("plain"), F.regexp_extract("plain", _CLOSED, 0).alias("block"))
+    head = head.select("doc_id", F.split(F.when(F.col("block") != "", F.col("block")).otherwise(F.col("plain")), "\n").alias("all"), _closed_at(F.col("block")).alias("closed_at"))
+    inner = F.slice("all", 2, F.greatest(F.size("all") - F.when(F.col("closed_at").isNotNull(), 2).otherwise(1), F.lit(0)))
+    # no filter on the text: it would be pushed below the step that makes the text, and make it twice
+    rows = head.select("doc_id", "closed_at", F.posexplode(F.when(F.size(inner) == 0, F.array(F.lit(None).cast("string"))).otherwise(inner)).alias("i", "text"))
+    return rows.select("doc_id", "closed_at", F.when(F.col("text").isNotNull(), F.col("i") + 2).alias("line"), F.regexp_replace("text", "\r$", "").alias("text"))
 
 
 def body_start_line(docs: DataFrame) -> DataFrame:
-    """doc_id, body_start_line: after a closed frontmatter block, else 1."""
-    closed = frontmatter_lines(docs).groupBy("doc_id").agg(F.max("closed_at").alias("closed_at"))
-    return docs.select("doc_id").join(closed, "doc_id", "left").select("doc_id", F.coalesce(F.col("closed_at") + 1, F.lit(1)).cast("int").alias("body_start_line"))
+    """doc_id, body_start_line: after a closed frontmatter block, else 1. Rows stay where they are."""
+    closed = docs.select("doc_id", _closed_at(F.regexp_extract(_plain(), _CLOSED, 0)).alias("closed_at"))
+    return closed.select("doc_id", F.coalesce(F.col("closed_at") + 1, F.lit(1)).cast("int").alias("body_start_line"))
 
 
 def fields(docs: DataFrame) -> DataFrame:

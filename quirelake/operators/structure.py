@@ -196,14 +196,16 @@ def parsed(docs: DataFrame, *want: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = list(zip(*(document_row(i, c, want) for i, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist()))))
+                if part.column(1).null_count:
+                    part = part.filter(part.column(1).is_valid())
+                rows = list(zip(*(document_row(i, c, want) for i, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist())))) or [()] * (len(sizes) + len(want))
                 flat = [pa.array(c, t) for c, (_, t) in zip(rows, sizes)]
                 arrays = [_list_array(c, ARRAYS[a]) for c, a in zip(rows[len(sizes) :], want)]
                 yield pa.RecordBatch.from_arrays([*flat, *arrays, *[part.column(1)] * text], names=[*_DOCUMENT, *want, *["content"] * text])
 
     names = {_L: "bigint", _S: "string", _B: "boolean"}
     schema = [f"{n} {names[t]}" for n, t in sizes] + [f"{a} array<struct<{', '.join(f'{n}: {names[t]}' for n, t in ARRAYS[a].items())}>>" for a in want] + ["content string"] * text
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "content").where("content is not null").mapInArrow(go, ", ".join(schema))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(go, ", ".join(schema))
 
 
 def _list_array(lists: tuple, kind: dict[str, pa.DataType]) -> pa.ListArray:

@@ -18,12 +18,19 @@ from quirelake.operators import lines as L
 from quirelake.operators import reader as R
 from quirelake.operators import structure as M
 from quirelake.operators import validate as V
-from quirelake.session import materialize, table
+from quirelake.session import input_bytes, materialize, table
+
+
+#: Bytes of line items on disk for each task that makes and parses documents: some 25 MB of text.
+TASK_BYTES = 1 << 20
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, content: a document for each order that has line items."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    items = table(spark, sf_dir, "lineitem")
+    # One exchange of narrow rows, made into text where they arrive. The number grows with the input, so that a task stays small; adaptive execution leaves a given number alone.
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(items) // TASK_BYTES)
+    items = items.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").repartition(spread, "l_orderkey")
     r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
     items = items.withColumn("r", r)
     k, p = F.col("r").cast("string"), F.col("l_partkey").cast("string")
@@ -36,13 +43,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     d = made.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     n = F.col("o_orderkey").cast("string")
-    # parsing costs far more than it reads, so adaptive execution must not merge these partitions by their bytes
-    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made = d.select(
+    return d.select(
         F.col("o_orderkey").alias("doc_id"),
         F.concat(F.lit("---\ntitle: Order "), n, F.lit("\nstatus: "), "o_orderstatus", F.lit("\npriority: "), "o_orderpriority", F.lit("\n---\nIntro for order "), n, F.lit(".\n\n# Order "), n, F.lit("\n\n"), F.array_join(F.transform("parts", lambda x: x["section"]), ""), F.when(F.col("o_orderkey") % 3 == 0, F.lit("## Links\n")).otherwise(F.lit("## Table\n")), F.lit("| part | qty |\n| --- | --- |\n"), F.array_join(F.transform("parts", lambda x: x["row"]), "")).alias("content"),
     )
-    return made.repartition(spread)
 
 
 def _parsed(spark: SparkSession, sf_dir: str, *want: str) -> DataFrame:

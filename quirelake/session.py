@@ -75,3 +75,8 @@ def ensure_importable(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, by the plan's statistics."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
