@@ -93,3 +93,20 @@ def test_spans_stay_inside_parents():
         assert 0 <= n.start <= n.end <= len(text)
         if n.parent.kind != "document":
             assert n.parent.start <= n.start and n.end <= n.parent.end
+
+
+def test_plain_lines_skip_the_general_machine(monkeypatch):
+    from quirelake.functions import markdown
+
+    text = "# A\nsome text\nmore\n\n```sql\n# no\n```\n\n* item\n* two\n\n## B\nlast **b** [l](u)\n\n- x\n"
+    seen = []
+    real = markdown._Blocks.line
+    monkeypatch.setattr(markdown._Blocks, "line", lambda self, at, line: seen.append(line) or real(self, at, line))
+    p = markdown.parse(text)
+    assert not seen
+    assert [(n.kind, text[n.start : n.end]) for n in p.root.children] == [("heading", "# A"), ("paragraph", "some text\nmore"), ("codeBlock", "```sql\n# no\n```"), ("list", "* item\n* two"), ("heading", "## B"), ("paragraph", "last **b** [l](u)"), ("list", "- x")]
+    whole = [(n.kind, n.start, n.end, n.lines) for n in markdown.walk(p.root)], [(x.kind, x.start, x.end, x.data) for x in p.inlines]
+    # the same lines one level down, where the general machine reads them
+    lines = text.split("\n")
+    quoted = "\n".join("> " + t for t in lines[:-1])
+    assert [n.kind for n in markdown.walk(markdown.parse(quoted).root)][1:] == [k for k, *_ in whole[0]] and len(seen) == len(lines) - 1

@@ -231,3 +231,13 @@ def test_dangling_by_label(spark):
     anchors = M.parsed(spark.createDataFrame([(1, "<!-- a -->\n<!-- /b -->\n<!-- a -->x<!-- /a -->\n")], "doc_id long, content string"), "anchors")
     for one, other in zip(M.regions(p), M.regions(anchors)):
         assert sorted(one.select(*sorted(one.columns)).collect()) == sorted(other.select(*sorted(one.columns)).collect())
+
+
+def test_a_reading_parses_only_what_it_needs(monkeypatch):
+    text = "---\ntitle: A\nn: 1\n---\n# H\n[a](b)\n"
+    calls = []
+    real = R.parse
+    monkeypatch.setattr(R, "parse", lambda content, **how: calls.append(how) or real(content, **how))
+    assert R.read_document("p", text, "fm.title").text == "A\n" and R.read_document("p", text, "fm.n").data["value"] == 1 and not calls
+    R.read_document("p", text, "1")
+    assert calls == [{"inlines": False}]
