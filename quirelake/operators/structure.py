@@ -9,6 +9,7 @@ with its addresses, sections and sizes is made with the parse. Offsets are bytes
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -302,6 +303,60 @@ def stats(p: DataFrame) -> DataFrame:
     return found.groupBy("x.group", "x.label").agg(F.count("*").alias("n"))
 
 
+def _partial(docs: DataFrame, count, schema: str) -> DataFrame:
+    """Rows that ``count`` makes of each batch's contents, nulls left out: narrow partial sums instead of arrays."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = count([c for c in batch.column(0).to_pylist() if c is not None])
+            types = [_S if kind == "string" else _L for _, kind in (x.split() for x in schema.split(", "))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * len(types), types)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return docs.select("content").mapInArrow(go, schema)
+
+
+def corpus_stats(docs: DataFrame) -> DataFrame:
+    """``stats`` of (doc_id, content), counted with the parse: no array leaves it."""
+
+    def count(contents: list[str]) -> list[tuple]:
+        found: Counter[tuple[str, str]] = Counter()
+        for c in contents:
+            p = parse(c)
+            for n in walk(p.root):
+                if n.kind != "heading":
+                    found["node", n.kind] += 1
+                elif n.parent is p.root:
+                    found["node", f"heading{n.data['level']}"] += 1
+            for x in p.inlines:
+                found["inline", x.kind] += 1
+        return [(*k, n) for k, n in found.items()]
+
+    return _partial(docs, count, "group string, label string, n bigint").groupBy("group", "label").agg(F.sum("n").alias("n"))
+
+
+def corpus_tiling(docs: DataFrame) -> DataFrame:
+    """A row of docs, overlaps and gaps: the numbers of documents and of rows of ``overlaps`` and ``gaps``, counted with the parse."""
+
+    def count(contents: list[str]) -> list[tuple]:
+        over = outside = 0
+        for c in contents:
+            p = parse(c, inlines=False)
+            front = p.frontmatter
+            edge = reach = (p.line_starts[front[2]] if front[2] < len(p.line_starts) else len(c)) if front else 0
+            first = True
+            for a, b in [*sorted((n.start, n.end) for n in p.root.children), (len(c), None)]:
+                over += b is not None and not first and a < reach
+                outside += a > edge and not _SPACE.fullmatch(c, edge, a)
+                if b is not None:
+                    reach, edge, first = b if first else max(reach, b), b, False
+        return [(len(contents), over, outside)]
+
+    return _partial(docs, count, "docs bigint, overlaps bigint, gaps bigint").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs", "overlaps", "gaps")))
+
+
+_SPACE = re.compile("\ufeff?[ \t\r\n]*")
+
+
 def overlaps(p: DataFrame) -> DataFrame:
     """Top-level spans that begin before an earlier one ends: the tiling check's violations."""
     spans = p.select("doc_id", F.explode(F.concat(F.transform(F.filter("nodes", lambda x: x["parent_id"].isNull()), lambda x: F.struct(x["s_start"].alias("a"), x["s_end"].alias("b"))), F.transform("headings", lambda x: F.struct(x["s_start"].alias("a"), x["s_end"].alias("b"))))).alias("x")).select("doc_id", "x.*")

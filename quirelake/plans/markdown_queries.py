@@ -101,7 +101,7 @@ def fm_body_start(spark, sf_dir):
 
 
 def coverage_stats(spark, sf_dir):
-    return M.stats(_parsed(spark, sf_dir, "nodes", "headings", "inlines"))
+    return M.corpus_stats(corpus(spark, sf_dir))
 
 
 def code_blocks(spark, sf_dir):
@@ -119,9 +119,7 @@ def regions_dangling(spark, sf_dir):
 
 def verify_tiling(spark, sf_dir):
     """Counts of violations over the corpus: both are 0."""
-    docs = materialize(corpus(spark, sf_dir), "md")
-    p = materialize(M.parsed(docs, "nodes", "headings"), "parsed")
-    return p.agg(F.count("*").alias("docs")).crossJoin(M.overlaps(p).agg(F.count("*").alias("overlaps"))).crossJoin(M.gaps(docs, p).agg(F.count("*").alias("gaps")))
+    return M.corpus_tiling(corpus(spark, sf_dir))
 
 
 def format_all(spark, sf_dir):

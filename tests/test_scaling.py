@@ -3,6 +3,7 @@
 import re
 
 from quirelake.operators import lines as L
+from quirelake.operators import structure as M
 from quirelake.plans import markdown_queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +32,16 @@ def test_body_start_reads_the_text_once_and_stays_in_place(spark):
     for r in L.frontmatter_lines(d).collect():
         lines.setdefault(r.doc_id, []).append((r.line, r.text, r.closed_at))
     assert lines == {0: [(2, "a: 1", 3)], 1: [(2, "a: 1", 3)], 2: [(None, None, 2)], 3: [(2, "a", None)], 4: [(None, None, None)], 7: [(2, "b: é", 3)], 8: [(2, "x: 1", 4), (3, "", 4)]}
+
+
+ODD = ["# a\n\n- x\n  # in\n\n> q [l](u)\n\n| a | b |\n| - | - |\n| *1* | 2 |\n", "", None, "plain **b** `c`\n===\n\n```\nopen\n", "---\nk: v\n---\n[r]: u\n\n<div>\né\n", "\ufeff# x\r\ny\r\n", "    code\n\n1. one\n\n   two\n"]
+
+
+def test_counts_made_with_the_parse_are_those_of_the_arrays(spark):
+    d = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, content string")
+    p = M.parsed(d, "nodes", "headings", "inlines")
+    got = M.corpus_stats(d)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, M.stats(p).collect()))
+    assert "Generate" not in _plan(got)
+    assert tuple(M.corpus_tiling(d).first()) == (p.count(), M.overlaps(p).count(), M.gaps(d, p).count())
+    assert tuple(M.corpus_tiling(d.limit(0)).first()) == (0, 0, 0)
