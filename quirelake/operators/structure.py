@@ -12,13 +12,16 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirelake.functions import text as T
 from quirelake.functions.markdown import Parsed, parse, walk
+from quirelake.functions.scan import code_lists, documents, heading_lists, scan
 from quirelake.operators import lines as L
 
 _L, _S, _B = pa.int64(), pa.string(), pa.bool_()
@@ -28,8 +31,15 @@ INLINE = {"ord": _L, "type": _S, "s_start": _L, "s_end": _L, "start_line": _L, "
 ANCHOR = {"ord": _L, "label": _S, "info": _S, "is_open": _B, "whole_line": _B, "a_start": _L, "a_end": _L, "line_start": _L, "line_end": _L, "line": _L}
 REGION = {"label": _S, "info": _S, "s_start": _L, "s_end": _L, "body_start": _L, "body_end": _L, "start_line": _L, "end_line": _L}
 DANGLING = {"kind": _S, "label": _S, "s_start": _L, "s_end": _L, "line": _L}
+#: Code blocks alone, for those who want no other node.
+CODE = {"info": _S, "fence_length": _L, "start_line": _L, "end_line": _L, "body_start": _L, "body_end": _L}
 _DOCUMENT = {"doc_id": _L, "bytes": _L, "line_count": _L, "body_start_line": _L, "body_start_byte": _L}
-ARRAYS = {"headings": HEADING, "nodes": NODE, "inlines": INLINE, "anchors": ANCHOR, "regions": REGION, "dangling": DANGLING}
+ARRAYS = {"headings": HEADING, "nodes": NODE, "inlines": INLINE, "anchors": ANCHOR, "regions": REGION, "dangling": DANGLING, "code": CODE}
+_WALKED = frozenset(("headings", "nodes", "code"))
+#: Bytes of text scanned at once; the arrays take some 40 times as much.
+SCAN_BYTES = 2 << 20
+#: Arrays that ``scan`` gives for plain texts.
+_SCANNED = frozenset(("headings", "code"))
 _ANCHORED = frozenset(("anchors", "regions", "dangling"))
 _ANCHOR = re.compile(r"<!--[ \t]*(/)?([A-Za-z][\w.-]*)(?:[ \t]*:[ \t]*([^\r\n]*?))?[ \t]*-->")
 
@@ -40,11 +50,11 @@ def document_row(doc_id: int, content: str, want: Iterable[str] = ("headings", "
     p = parse(content, inlines="inlines" in want or not _ANCHORED.isdisjoint(want) and "<!--" in content and "`" in content)
     m = p.byte_map()
     b = (lambda i: i) if m is None else m.__getitem__
-    blocks = walk(p.root) if "headings" in want or "nodes" in want else []
+    blocks = walk(p.root) if not _WALKED.isdisjoint(want) else []
     front, size = p.frontmatter, b(len(content))
     body_line = front[2] + 1 if front else 1
     anchors = [] if _ANCHORED.isdisjoint(want) else _anchors(p, b)
-    found = {"headings": _headings, "nodes": _nodes, "inlines": _inlines, "anchors": lambda *_: anchors, "regions": lambda *_: _pair(anchors)[0], "dangling": lambda *_: _pair(anchors)[1]}
+    found = {"headings": _headings, "nodes": _nodes, "inlines": _inlines, "anchors": lambda *_: anchors, "regions": lambda *_: _pair(anchors)[0], "dangling": lambda *_: _pair(anchors)[1], "code": _code}
     body_byte = (b(p.line_starts[front[2]]) if front[2] < len(p.line_starts) else size) if front else 0
     return (doc_id, size, len(p.line_starts) if content else 0, body_line, body_byte, *(found[a](p, b, blocks, body_line) for a in want))
 
@@ -142,6 +152,15 @@ def _nodes(p: Parsed, b, blocks: list, _: int) -> list[tuple]:
     return out
 
 
+def _code(p: Parsed, b, blocks: list, _: int) -> list[tuple]:
+    out = []
+    for n in blocks:
+        if n.kind == "codeBlock":
+            body = (b(n.lines[0][1]), b(n.lines[-1][1] + len(n.lines[-1][0]))) if n.lines else (None, None)
+            out.append((n.data.get("info") or None, n.data.get("length"), p.line_of(n.start), p.line_of(max(n.start, n.end - 1)), *body))
+    return out
+
+
 def _inlines(p: Parsed, b, *_) -> list[tuple]:
     out = []
     for k, x in enumerate(p.inlines, 1):
@@ -192,23 +211,43 @@ def parsed(docs: DataFrame, *want: str) -> DataFrame:
     text = "content" in want
     want = tuple(w for w in want if w != "content") or ("headings", "nodes", "inlines", "anchors")
     sizes = list(_DOCUMENT.items())
+    names = [*_DOCUMENT, *want, *["content"] * text]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if batch.column(1).null_count:
+                batch = batch.filter(batch.column(1).is_valid())
+            if _SCANNED.issuperset(want):
+                others = []
+                step = max(1, batch.num_rows * SCAN_BYTES // max(batch.column(1).nbytes, 1))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    plain, made = _scanned(part, want)
+                    yield pa.RecordBatch.from_arrays([*made, *[part.column(1).filter(plain)] * text], names=names)
+                    others.append(part.filter(pc.invert(plain)))
+                batch = pa.Table.from_batches(others, batch.schema).combine_chunks().to_batches()[0] if any(o.num_rows for o in others) else batch.slice(0, 0)
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                if part.column(1).null_count:
-                    part = part.filter(part.column(1).is_valid())
-                rows = list(zip(*(document_row(i, c, want) for i, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist())))) or [()] * (len(sizes) + len(want))
+                rows = list(zip(*(document_row(i, c, want) for i, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist()))))
                 flat = [pa.array(c, t) for c, (_, t) in zip(rows, sizes)]
                 arrays = [_list_array(c, ARRAYS[a]) for c, a in zip(rows[len(sizes) :], want)]
-                yield pa.RecordBatch.from_arrays([*flat, *arrays, *[part.column(1)] * text], names=[*_DOCUMENT, *want, *["content"] * text])
+                yield pa.RecordBatch.from_arrays([*flat, *arrays, *[part.column(1)] * text], names=names)
 
-    names = {_L: "bigint", _S: "string", _B: "boolean"}
-    schema = [f"{n} {names[t]}" for n, t in sizes] + [f"{a} array<struct<{', '.join(f'{n}: {names[t]}' for n, t in ARRAYS[a].items())}>>" for a in want] + ["content string"] * text
+    sql = {_L: "bigint", _S: "string", _B: "boolean"}
+    schema = [f"{n} {sql[t]}" for n, t in sizes] + [f"{a} array<struct<{', '.join(f'{n}: {sql[t]}' for n, t in ARRAYS[a].items())}>>" for a in want] + ["content string"] * text
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(go, ", ".join(schema))
 
 
+def _scanned(batch: pa.RecordBatch, want: tuple[str, ...]) -> tuple[pa.Array, list[pa.Array]]:
+    """Which texts are plain, and the columns of these."""
+    s = scan(batch.column(1))
+    plain = s.plain_code if "code" in want else s.plain
+    docs = np.flatnonzero(plain)
+    arrays = [{"headings": heading_lists, "code": code_lists}[a](s, docs, ARRAYS[a]) for a in want]
+    keep = pa.array(plain)
+    return keep, [batch.column(0).filter(keep), *documents(s, docs), *arrays]
+
+
 def _list_array(lists: tuple, kind: dict[str, pa.DataType]) -> pa.ListArray:
     columns = list(zip(*(row for own in lists for row in own))) or [()] * len(kind)
     values = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kind.values())], names=list(kind))
@@ -226,6 +265,10 @@ def nodes(p: DataFrame) -> DataFrame:
     return _explode(p, "nodes")
 
 
+def code_blocks(p: DataFrame) -> DataFrame:
+    return _explode(p, "code")
+
+
 def inlines(p: DataFrame) -> DataFrame:
     return _explode(p, "inlines")
 

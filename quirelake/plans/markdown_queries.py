@@ -105,7 +105,7 @@ def coverage_stats(spark, sf_dir):
 
 
 def code_blocks(spark, sf_dir):
-    got = M.nodes(_parsed(spark, sf_dir, "nodes")).where("type = 'codeBlock'")
+    got = M.code_blocks(_parsed(spark, sf_dir, "code"))
     return got.select("doc_id", "info", "fence_length", "start_line", "end_line", (F.col("body_end") - F.col("body_start")).alias("body_bytes"))
 
 
