@@ -7,6 +7,7 @@ Offsets are bytes from the beginning of the batch, lines count from 1.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,10 @@ _BULLET[list(b"*+-")] = True
 _INNER = np.zeros(256, bool)
 _INNER[list(b"\n >#`~<=-*+_|:0123456789[")] = True
 _LEVELS = range(1, 7)
+#: Without one of these, or www., a text has no inlines.
+_SPECIAL = np.zeros(256, bool)
+_SPECIAL[list(b"\\`*_~<[]!@:")] = True
+_NO_LEAVES = re.compile(r"\]:|!\[\[|[wW]{3}\.")
 
 
 @dataclass
@@ -51,6 +56,16 @@ class Scan:
     closes: np.ndarray
     headings: np.ndarray
     levels: np.ndarray
+    #: First byte of each line, a line feed for an empty one, and the lines outside fences and frontmatter.
+    lead: np.ndarray
+    outside: np.ndarray
+
+    def text(self) -> str:
+        """A character for each byte."""
+        return self.data.tobytes().decode("latin-1")
+
+    def line_at(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.start, places, "right") - 1
 
 
 def scan(texts: pa.Array) -> Scan:
@@ -133,7 +148,7 @@ def scan(texts: pa.Array) -> Scan:
     digits = (b0 >= 48) & (b0 <= 57)
     plain_code = plain.copy()
     plain_code[doc[outside & (digits | (_BULLET[b0] & (b1 == 32) & _INNER[b2]))]] = False
-    return Scan(data, offsets, plain, plain_code, body_line, doc, start, end, number, first, fenced, opens, closes, h, marks[h])
+    return Scan(data, offsets, plain, plain_code, body_line, doc, start, end, number, first, fenced, opens, closes, h, marks[h], b0, outside)
 
 
 def _strings(s: Scan, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -225,3 +240,58 @@ def code_lists(s: Scan, docs: np.ndarray, kinds: dict[str, pa.DataType]) -> pa.L
         "body_start": pa.array(s.start[np.minimum(opens + 1, closes)] - base, mask=empty), "body_end": pa.array(s.end[closes - 1] - base, mask=empty),
     }
     return lists(docs, s.doc[opens], columns, kinds)
+
+
+def _ascii(s: Scan) -> np.ndarray:
+    out = s.plain_code.copy()
+    out[np.searchsorted(s.offsets, np.flatnonzero(s.data > 127), "right") - 1] = False
+    return out
+
+
+def anchored(s: Scan) -> np.ndarray:
+    """Plain texts in ASCII whose anchors can only be masked by fences, and share their lines with text."""
+    out = _ascii(s)
+    ticks = s.line_at(np.flatnonzero(s.data == 96))
+    loose = ~s.fenced[ticks]
+    loose &= ~np.isin(ticks, s.closes)
+    out[s.doc[ticks[loose]]] = False
+    front = s.number < s.body_line[s.doc]
+    out[s.doc[front & ((s.lead == 60) | (s.lead == 32))]] = False
+    return out
+
+
+def leaves(s: Scan, text: str) -> tuple[np.ndarray, list[list[int]], list[int]]:
+    """Texts whose inlines lie in leaves of whole lines, and these leaves in order, so far as they may hold inlines: the lines' starts and ends in turn, and the text's number."""
+    out = _ascii(s)
+    out[[np.searchsorted(s.offsets, m.start(), "right") - 1 for m in _NO_LEAVES.finditer(text)]] = False
+    count = len(s.start)
+    special = np.concatenate([[0], np.cumsum(_SPECIAL[s.data], dtype=np.int64)])
+    begin = s.start.copy()
+    is_heading = np.zeros(count, bool)
+    is_heading[s.headings] = True
+    begin[s.headings] += s.levels + 1
+    bullet = s.outside & _BULLET[s.lead] & (s.data[np.minimum(s.start + 1, len(s.data) - 1)] == 32) & (s.end - s.start > 1) if count else is_heading
+    begin[bullet] += 2
+    holds = special[s.end] > special[np.minimum(begin, s.end)]
+    row = s.outside & (s.lead == 124)
+    prose = s.outside & (s.lead != 10) & ~is_heading & ~bullet & ~row
+    # which of these follow each other directly
+    same = np.append(s.doc[1:] == s.doc[:-1], False) if count else is_heading
+    following = lambda kind: np.append(kind[1:], False) & same
+    out[s.doc[(row & (holds | following(prose))) | (prose & following(row)) | (bullet & (following(prose) | following(row)))]] = False
+    joined = prose & np.append(False, (prose & same)[:-1]) if count else prose
+    own = np.flatnonzero((prose | (is_heading | bullet) & holds) & out[s.doc])
+    leaf = np.cumsum(~joined[own]) - 1
+    some = np.bincount(leaf, holds[own]) > 0 if len(own) else np.zeros(0, bool)
+    own, leaf = own[some[leaf]], leaf[some[leaf]]
+    spans: list[list[int]] = []
+    docs: list[int] = []
+    last = -1
+    for k, a, e, d in zip(leaf.tolist(), begin[own].tolist(), s.end[own].tolist(), s.doc[own].tolist()):
+        if k == last:
+            spans[-1] += (a, e)
+        else:
+            spans.append([a, e])
+            docs.append(d)
+            last = k
+    return out, spans, docs

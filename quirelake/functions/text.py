@@ -28,8 +28,8 @@ def strip_wikilinks(text: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """A heading's address by name."""
-    plain = F.lower(F.translate(strip_wikilinks(text), "`*_", ""))
-    return F.regexp_replace(F.regexp_replace(plain, NOT_WORD, "-"), r"^-+|-+$", "")
+    linked = F.when(text.contains("[["), strip_wikilinks(text)).otherwise(text)
+    return F.btrim(F.regexp_replace(F.lower(F.translate(linked, "`*_", "")), NOT_WORD, "-"), F.lit("-"))
 
 
 def resolve_name(target: Column) -> Column:

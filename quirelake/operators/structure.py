@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirelake.functions import text as T
-from quirelake.functions.markdown import Parsed, parse, walk
-from quirelake.functions.scan import code_lists, documents, heading_lists, scan
+from quirelake.functions.markdown import Parsed, leaf_inlines, parse, walk
+from quirelake.functions.scan import Scan, anchored, code_lists, documents, heading_lists, leaves, scan
 from quirelake.operators import lines as L
 
 _L, _S, _B = pa.int64(), pa.string(), pa.bool_()
@@ -39,7 +39,7 @@ _WALKED = frozenset(("headings", "nodes", "code"))
 #: Bytes of text scanned at once; the arrays take some 40 times as much.
 SCAN_BYTES = 2 << 20
 #: Arrays that ``scan`` gives for plain texts.
-_SCANNED = frozenset(("headings", "code"))
+_SCANNED = frozenset(("headings", "code", "inlines", "regions", "dangling"))
 _ANCHORED = frozenset(("anchors", "regions", "dangling"))
 _ANCHOR = re.compile(r"<!--[ \t]*(/)?([A-Za-z][\w.-]*)(?:[ \t]*:[ \t]*([^\r\n]*?))?[ \t]*-->")
 
@@ -242,10 +242,63 @@ def _scanned(batch: pa.RecordBatch, want: tuple[str, ...]) -> tuple[pa.Array, li
     """Which texts are plain, and the columns of these."""
     s = scan(batch.column(1))
     plain = s.plain_code if "code" in want else s.plain
+    text = s.text() if not _PLACED.isdisjoint(want) else ""
+    if "inlines" in want:
+        ok, spans, owners = leaves(s, text)
+        plain = plain & ok
+    if not _ANCHORED.isdisjoint(want):
+        plain = plain & anchored(s)
     docs = np.flatnonzero(plain)
-    arrays = [{"headings": heading_lists, "code": code_lists}[a](s, docs, ARRAYS[a]) for a in want]
+    made = {}
+    if "headings" in want:
+        made["headings"] = heading_lists(s, docs, HEADING)
+    if "code" in want:
+        made["code"] = code_lists(s, docs, CODE)
+    if "inlines" in want:
+        made["inlines"] = _list_array(_leaf_inlines(s, text, docs, spans, owners), INLINE)
+    if not _ANCHORED.isdisjoint(want):
+        pairs = [_pair(rows) for rows in _plain_anchors(s, text, docs)]
+        made["regions"], made["dangling"] = (_list_array(list(x), ARRAYS[a]) for a, x in zip(("regions", "dangling"), zip(*pairs) if pairs else ((), ())))
     keep = pa.array(plain)
-    return keep, [batch.column(0).filter(keep), *documents(s, docs), *arrays]
+    return keep, [batch.column(0).filter(keep), *documents(s, docs), *(made[a] for a in want)]
+
+
+_PLACED = frozenset(("inlines", "regions", "dangling"))
+
+
+def _leaf_inlines(s: Scan, text: str, docs: np.ndarray, spans: list[list[int]], owners: list[int]) -> list[list[tuple]]:
+    """For each text the rows of its inlines."""
+    found: dict[int, list] = {d: [] for d in docs.tolist()}
+    for span, d in zip(spans, owners):
+        if d in found:
+            found[d] += leaf_inlines([(text[a:e], a) for a, e in zip(span[::2], span[1::2])])
+    out = []
+    for own in found.values():
+        own.sort(key=lambda x: x.start)
+    numbers = iter(s.number[s.line_at(np.array([x.start for own in found.values() for x in own], np.int64))].tolist())
+    for own, base in zip(found.values(), s.offsets[docs].tolist()):
+        rows = []
+        for k, x in enumerate(own, 1):
+            d = x.data
+            sub = d.get("text_span") or d.get("alias_span")
+            rows.append((k, x.kind, x.start - base, x.end - base, next(numbers), d.get("url", d.get("target")), d.get("title"), d.get("alias"), d.get("embed"), d.get("label"), sub[0] - base if sub else None, sub[1] - base if sub else None))
+        out.append(rows)
+    return out
+
+
+def _plain_anchors(s: Scan, text: str, docs: np.ndarray) -> list[list[tuple]]:
+    """For each text its anchors outside fences; none of them has a line of its own."""
+    out: list[list[tuple]] = []
+    places: list[int] = []
+    for a, e in zip(s.offsets[docs].tolist(), s.offsets[docs + 1].tolist()):
+        rows = []
+        for m in _ANCHOR.finditer(text, a, e):
+            places.append(m.start())
+            rows.append((m[2], m[3] or None, m[1] is None, False, m.start() - a, m.end() - a))
+        out.append(rows)
+    lines = s.line_at(np.array(places, np.int64))
+    numbers, hidden = iter(s.number[lines].tolist()), iter(s.fenced[lines].tolist())
+    return [[(0, *r, 0, 0, n) for r, n, h in [(r, next(numbers), next(hidden)) for r in rows] if not h] for rows in out]
 
 
 def _list_array(lists: tuple, kind: dict[str, pa.DataType]) -> pa.ListArray:
