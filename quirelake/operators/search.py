@@ -34,8 +34,10 @@ def analyze(text: str, stemmed: bool = True) -> list[str]:
 
 @F.arrow_udf(ArrayType(StringType()))
 def stem_tokens(column: pa.Array) -> pa.Array:
-    flat = column.flatten().to_pylist()
-    return pa.ListArray.from_arrays(_offsets(column), pa.array([stem(t) for t in flat], pa.string()))
+    # each distinct token is an object once, not each occurrence
+    coded = column.flatten().dictionary_encode()
+    stems = pa.array([stem(t) for t in coded.dictionary.to_pylist()], pa.string())
+    return pa.ListArray.from_arrays(_offsets(column), stems.take(coded.indices))
 
 
 def _offsets(column: pa.ListArray) -> pa.Array:
